@@ -7,33 +7,17 @@ nearly always need that trip, so ``long_text=True`` sends the whole column throu
 
 from __future__ import annotations
 
-import html
-import re
-import unicodedata
-
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Character classes with a set meaning in the cleaning rules.
-CONTROL_CHARS = r"\x00-\x08\x0b-\x0c\x0e-\x1f\x7f"
-CARRIAGE_RETURN = r"\r"
-ZERO_WIDTH_AND_BIDI = r"\u200b-\u200f\u202a-\u202e\ufeff"
-SPACE_RUN_OR_LINE_BREAK = r"\s{2,}|[\n\t]"
-
-_REMOVED = re.compile(f"[{CONTROL_CHARS}{CARRIAGE_RETURN}{ZERO_WIDTH_AND_BIDI}]+")
-_SPACING = re.compile(SPACE_RUN_OR_LINE_BREAK)
-
+from siltstone.functions import cleaning
+from siltstone.functions.cleaning import CARRIAGE_RETURN, CONTROL_CHARS, SPACE_RUN_OR_LINE_BREAK, clean_text
 
-def clean_text(text: str | None) -> str | None:
-    """Entities decoded once, NFKC, invisible characters gone, whitespace collapsed; blank is None."""
-    if text is None:
-        return None
-    text = html.unescape(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _SPACING.sub(" ", _REMOVED.sub("", text)).strip() or None
+# The rules travel with the UDF, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(cleaning)
 
 
 @F.arrow_udf(StringType())

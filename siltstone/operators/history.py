@@ -114,13 +114,16 @@ def scd2_replay(
     keys = [key] if isinstance(key, str) else list(key)
     fail = F.raise_error(F.lit("replay: NULL key or time"))
     required = {c: F.coalesce(column(c), fail.cast(batches.schema[c].dataType)) for c in [*keys, ts]}
-    rows = dedupe_by_key(batches.withColumns(required), [*keys, ts])
-    state = F.struct(*[column(c) for c in check_cols])
-    compared = ordered.previous_value(ordered.with_bucket(rows, ts, bucket), keys, ts, state, "_before")
-    before, now = F.col("_before"), state
-    changes = compared.filter(before.isNull() | _differs(before, now, check_cols)).drop("_before")
+    rows = ordered.with_bucket(dedupe_by_key(batches.withColumns(required), [*keys, ts]), ts, bucket)
+    now = F.struct(*[column(c) for c in check_cols])
+
+    def opens(before: Column) -> Column:
+        return before.isNull() | _differs(before, now, check_cols)
+
+    compared = ordered.neighbour(rows, keys, ts, now, "_before", -1, needed=opens)
+    changes = compared.filter(opens(F.col("_before"))).drop("_before")
     return (
-        ordered.next_order(changes, keys, ts, TO)
+        ordered.neighbour(changes, keys, ts, column(ts), TO, 1)
         .withColumnRenamed(ts, FROM)
         .select(*[column(c) for c in batches.columns if c != ts], FROM, TO)
     )
@@ -173,12 +176,12 @@ def asof_merge_join(
     row, version = F.struct(*[column(c) for c in fact.columns]), F.struct(*[column(c) for c in dim.columns])
     known = reduce(and_, [column(k).isNotNull() for k in [*keys, at]])
 
-    versions = dim.select(*dim_keys, column(FROM).alias(at), version.alias("_version")).filter(known)
-    facts = fact.select(*fact_keys, column(ts).alias(at), row.alias("_fact")).filter(known)
-    both = ordered.with_bucket(facts.unionByName(versions, allowMissingColumns=True), at, bucket)
     # At one moment the version comes first: it is valid from that moment on.
-    order = [F.col(at), F.col("_fact").isNotNull()]
-    matched = ordered.last_known(both, keys, order, "_version", "_valid").filter(F.col("_fact").isNotNull())
+    versions = dim.select(*dim_keys, column(FROM).alias(at), F.lit(0).alias("_turn"), version.alias("_version"))
+    facts = fact.select(*fact_keys, column(ts).alias(at), F.lit(1).alias("_turn"), row.alias("_fact"))
+    both = facts.filter(known).unionByName(versions.filter(known), allowMissingColumns=True)
+    both = ordered.with_bucket(both, at, bucket)
+    matched = ordered.last_known(both, keys, [at, "_turn"], "_version", "_valid").filter(F.col("_turn") == 1)
     ends = F.col("_valid")[TO]
     half = matched.filter(F.col("_valid").isNotNull() & (ends.isNull() | (F.col(at) < ends)))
     result = half.select("_fact.*", "_valid.*")
@@ -189,6 +192,27 @@ def asof_merge_join(
     return result.unionByName(fact.join(dim, ending))
 
 
+def asof_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    on: Mapping[str, str],
+    ts: str,
+    closed: str = "half",
+    max_versions: int = 64,
+    bucket: str = "day",
+) -> DataFrame:
+    """Inner as-of join by whichever way suits the history.
+
+    One aggregate over the dimension's keys finds the longest history. Up to ``max_versions`` the
+    equi-join compares each fact with few versions; beyond, facts and versions are merged in order.
+    """
+    versions = dim.groupBy(*[column(d) for d in on.values()]).agg(F.count(F.lit(1)).alias("_n"))
+    longest = versions.agg(F.max("_n")).first()[0] or 0
+    if longest <= max_versions:
+        return asof_dim_join(fact, dim, on, ts, closed)
+    return asof_merge_join(fact, dim, on, ts, closed, bucket)
+
+
 def resolve_surrogate(
     fact: DataFrame, dim: DataFrame, on: Mapping[str, str], ts: str, name: str = "dim_sk"
 ) -> DataFrame:

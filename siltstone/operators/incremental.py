@@ -52,18 +52,23 @@ def date_dimension(df: DataFrame, ts: str, grain: str = "minute") -> DataFrame:
     return dates.select(date_key(F.col("date"), grain).alias("date_key"), "date")
 
 
+def fresh_dates(
+    source: DataFrame, ts: str, target: DataFrame | None, grain: str = "minute", full_refresh: bool = False
+) -> DataFrame:
+    """The dates a load adds: those of the source rows above the dimension's high-water mark."""
+    return date_dimension(incremental_filter(source, ts, target, "date", full_refresh), ts, grain)
+
+
 def incremental_date_dimension(
     source: DataFrame, ts: str, target: DataFrame | None, grain: str = "minute", full_refresh: bool = False
 ) -> DataFrame:
-    """The date dimension after loading the rows of ``source`` above its high-water mark."""
-    fresh = date_dimension(incremental_filter(source, ts, target, "date", full_refresh), ts, grain)
+    """The date dimension after a load."""
+    fresh = fresh_dates(source, ts, target, grain, full_refresh)
     return upsert_delete_insert(None if full_refresh else target, fresh, ["date_key"], strict=False)
 
 
-def lookup_dim(fact: DataFrame, dim: DataFrame, on: dict[str, str] | Column, columns: list[str]) -> DataFrame:
+def lookup_dim(fact: DataFrame, dim: DataFrame, on: dict[str, str], columns: list[str]) -> DataFrame:
     """Left-join columns of a dimension; a fact without a member gets NULL there."""
-    if isinstance(on, Column):
-        return fact.join(dim, on, "left").select(*[fact[c] for c in fact.columns], *[dim[c] for c in columns])
     renamed = dim.select(*[column(d).alias(f"_d_{d}") for d in on.values()], *[column(c) for c in columns])
     same = [column(f) == column(f"_d_{d}") for f, d in on.items()]
     return fact.join(renamed, same, "left").drop(*[f"_d_{d}" for d in on.values()])
@@ -79,16 +84,22 @@ def fact_cutoff(fact: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def fact_rows(
-    source: DataFrame, dates: DataFrame, ts: str, columns: list[str], grain: str = "minute"
+    source: DataFrame, dates: DataFrame, ts: str, keys: list[str], measures: list[str], grain: str, strict: bool
 ) -> DataFrame:
-    """(date_key, columns…) of the source rows; a date missing from the dimension gives a NULL key."""
-    minute = truncate_time(column(ts), grain, source.schema[ts].dataType)
-    keyed = source.select(*[column(c) for c in columns], column(ts).alias("_ts"), minute.alias("_date"))
-    found = lookup_dim(keyed, dates, {"_date": "date"}, ["date_key"])
-    return found.select("date_key", *[column(c) for c in columns], "_ts")
+    """(date_key, keys…, measures…) of the source rows; a date missing from the dimension gives a NULL key.
 
+    ``strict`` keeps one row per keys and date, the latest. That comes before the lookup, which then
+    meets fewer rows and, being last, may have its hot dates split by adaptive execution.
+    """
+    date = truncate_time(column(ts), grain, source.schema[ts].dataType)
+    rows = source.select(*[column(c) for c in [*keys, *measures]], column(ts).alias("_ts"), date.alias("_date"))
+    if strict:
+        rows = dedupe_by_key(rows, ["_date", *keys], [F.col("_ts").desc_nulls_last()])
+    found = lookup_dim(rows, dates, {"_date": "date"}, ["date_key"])
+    return found.select("date_key", *[column(c) for c in [*keys, *measures]])
 
-def incremental_fact(
+
+def fresh_facts(
     source: DataFrame,
     dates: DataFrame,
     target: DataFrame | None,
@@ -99,20 +110,30 @@ def incremental_fact(
     full_refresh: bool = False,
     strict: bool = True,
 ) -> DataFrame:
-    """The fact (date_key, keys…, measures…) after loading the source rows above its cutoff.
+    """The facts (date_key, keys…, measures…) a load adds: those of the source rows above the cutoff.
 
     Two source rows of one key in one minute give one fact row, the later; ``strict=False`` keeps
     both. Above the cutoff only dates from the cutoff on can match, so the dimension is cut to them.
     """
-    if full_refresh:
-        target = None
-    mark = None if target is None else max_literal(fact_cutoff(target, dates), "cutoff")
+    known = target is not None and not full_refresh
+    mark = max_literal(fact_cutoff(target, dates), "cutoff") if known else None
     if mark is not None:
         source = source.filter(column(ts) > mark)
         dates = dates.filter(F.col("date") >= F.date_trunc(grain, mark).cast(dates.schema["date"].dataType))
-    columns = [*keys, *measures]
-    rows = fact_rows(source, dates, ts, columns, grain)
-    unique = ["date_key", *keys]
-    if strict:
-        rows = dedupe_by_key(rows, unique, [F.col("_ts").desc_nulls_last()])
-    return upsert_delete_insert(target, rows.select("date_key", *[column(c) for c in columns]), unique, strict=False)
+    return fact_rows(source, dates, ts, keys, measures, grain, strict)
+
+
+def incremental_fact(
+    source: DataFrame,
+    dates: DataFrame,
+    target: DataFrame | None,
+    ts: str,
+    keys: list[str],
+    measures: list[str],
+    grain: str = "minute",
+    full_refresh: bool = False,
+    strict: bool = True,
+) -> DataFrame:
+    """The fact after a load (see ``fresh_facts``)."""
+    fresh = fresh_facts(source, dates, target, ts, keys, measures, grain, full_refresh, strict)
+    return upsert_delete_insert(None if full_refresh else target, fresh, ["date_key", *keys], strict=False)

@@ -87,7 +87,7 @@ def land_map_payload(
     """Rows (base, key, value, time) from ``{"response": {"date", "base", "rates": {code: number}}}``.
 
     A payload whose ``rates`` arrives as an empty list instead of a map yields no row, a missing
-    date stays NULL. Numbers are read as text first, so no digit passes through a double.
+    date stays NULL. Numbers become decimals by way of their shortest text, so 1.08 is 1.0800000000.
     """
     rates = MapType(StringType(), StringType())
     body = StructType(

@@ -1,12 +1,14 @@
 """Neighbouring rows of a key in order, without putting a whole key into one task.
 
 A window partitioned by key alone hands every row of a hot key to one task. Here the key's rows are
-first cut into time buckets: windows run per (key, bucket), and what must cross a bucket's edge
-travels through a summary of one row per (key, bucket). Keys and order must not be NULL.
+first cut into time buckets. Windows run per (key, bucket); what must cross a bucket's edge travels
+through at most two rows, or one summary row, per (key, bucket). Keys and order must not be NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ _BUCKET = "_bucket"
 
 
 def with_bucket(df: DataFrame, order: str, grain: str) -> DataFrame:
-    """Add the time bucket that the other functions here work in."""
+    """Add the time bucket that the other functions here work in.
+
+    Choose a grain at which the rows of one key in one bucket fit a task.
+    """
     return df.withColumn(_BUCKET, F.date_trunc(grain, column(order)))
 
 
@@ -24,54 +29,60 @@ def _keyed(keys: list[str]) -> list[Column]:
     return [column(k) for k in keys]
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Left-join a one-row-per-(key, bucket) summary; ``df`` is already partitioned that way."""
-    names = [*keys, _BUCKET]
-    renamed = summary.withColumnsRenamed({n: f"_s_{n}" for n in names})
-    same = [column(n) == column(f"_s_{n}") for n in names]
-    return df.join(renamed, same, "left").drop(*[f"_s_{n}" for n in names])
-
-
-def previous_value(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """Add ``value`` of the preceding row of the same key. Needs a bucket, and (key, order) unique."""
-    here = Window.partitionBy(*_keyed(keys), _BUCKET).orderBy(column(order))
-    across = Window.partitionBy(*_keyed(keys)).orderBy(_BUCKET)
-    closing = df.groupBy(*_keyed(keys), _BUCKET).agg(F.max_by(value, column(order)).alias("_closing"))
-    carried = closing.select(*_keyed(keys), _BUCKET, F.lag("_closing").over(across).alias("_carried"))
-    # The first row of a bucket looks at the bucket before it, all others inside their own.
-    first = F.row_number().over(here) == 1
-    inside = df.withColumns({"_first": first, "_inside": F.lag(value).over(here)})
-    chosen = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside"))
-    return _attach(inside, carried, keys).withColumn(name, chosen).drop("_first", "_inside", "_carried")
-
-
-def next_order(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Add ``order`` of the following row of the same key. Needs a bucket, and (key, order) unique."""
+def neighbour(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: Column,
+    name: str,
+    step: int,
+    needed: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Add ``value`` of the previous (``step=-1``) or next (``step=1``) row of the same key.
+
+    Needs a bucket, and (key, order) unique. Rows inside a bucket are served there. Its first and
+    last row then share a lane with the other edges of the key, where an edge finds its neighbour in
+    the next bucket; the others keep the lane of their bucket. ``needed`` is a condition on the
+    neighbour's value: inner rows that fail it are dropped before that second shuffle.
+    """
+    look = F.lag if step < 0 else F.lead
     here = Window.partitionBy(*_keyed(keys), _BUCKET).orderBy(column(order))
-    across = Window.partitionBy(*_keyed(keys)).orderBy(_BUCKET)
-    opening = df.groupBy(*_keyed(keys), _BUCKET).agg(F.min(column(order)).alias("_opening"))
-    carried = opening.select(*_keyed(keys), _BUCKET, F.lead("_opening").over(across).alias("_carried"))
-    inside = df.withColumn("_inside", F.lead(column(order)).over(here))
-    chosen = F.coalesce("_inside", "_carried")
-    return _attach(inside, carried, keys).withColumn(name, chosen).drop("_inside", "_carried")
+    first, last = F.lag(column(order)).over(here).isNull(), F.lead(column(order)).over(here).isNull()
+    inside = df.withColumns({"_first": first, "_last": last, "_inside": look(value).over(here)})
+    edge = F.col("_first") | F.col("_last")
+    if needed is not None:
+        inside = inside.filter(edge | needed(F.col("_inside")))
+    lane = F.when(~edge, F.col(_BUCKET))
+    across = Window.partitionBy(*_keyed(keys), "_lane").orderBy(column(order))
+    crossing = F.col("_first" if step < 0 else "_last")
+    return (
+        inside.withColumn("_lane", lane)
+        .withColumn("_outside", look(value).over(across))
+        .withColumn(name, F.when(crossing, F.col("_outside")).otherwise(F.col("_inside")))
+        .drop("_first", "_last", "_inside", "_lane", "_outside")
+    )
 
 
-def last_known(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add the latest non-NULL ``value`` at or before each row of the same key. Needs a bucket.
 
-    ``order`` must put a value that applies from a moment on ahead of the rows of that moment.
+    ``order`` must put a value that applies from a moment on ahead of the rows of that moment. What a
+    bucket inherits comes from a summary of one row per (key, bucket), made from the narrow columns
+    alone and joined to rows that are partitioned that way already.
     """
-    here = Window.partitionBy(*_keyed(keys), _BUCKET).orderBy(*order)
+    names = [*keys, _BUCKET]
+    here = Window.partitionBy(*_keyed(names)).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*_keyed(keys)).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    present = F.when(column(value).isNotNull(), F.struct(*order))
-    closing = df.groupBy(*_keyed(keys), _BUCKET).agg(F.max_by(column(value), present).alias("_closing"))
-    carried = closing.select(
-        *_keyed(keys), _BUCKET, F.last("_closing", ignorenulls=True).over(before).alias("_carried")
+    moment = F.when(column(value).isNotNull(), F.struct(*order))
+    closing = df.groupBy(*_keyed(names)).agg(F.max_by(column(value), moment).alias("_closing"))
+    inherited = closing.select(
+        *[column(n).alias(f"_s_{n}") for n in names], F.last("_closing", ignorenulls=True).over(before).alias("_inherited")
     )
-    inside = df.withColumn("_inside", F.last(column(value), ignorenulls=True).over(upto))
+    same = [column(n) == column(f"_s_{n}") for n in names]
     return (
-        _attach(inside, carried, keys)
-        .withColumn(name, F.coalesce("_inside", "_carried"))
-        .drop("_inside", "_carried")
+        df.withColumn("_inside", F.last(column(value), ignorenulls=True).over(upto))
+        .join(inherited, same, "left")
+        .withColumn(name, F.coalesce("_inside", "_inherited"))
+        .drop("_inside", "_inherited", *[f"_s_{n}" for n in names])
     )

@@ -25,7 +25,7 @@ from siltstone.operators import star as S
 from siltstone.operators import validation as VAL
 from siltstone.plans import layers as P
 from siltstone.sinks import tables as K
-from siltstone.sinks.staging import staging_path
+from siltstone.sinks.staging import stage, staging_path
 from siltstone.sources import layers as SRC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +306,11 @@ def _star(rates: DataFrame, previous: P.Star | None = None, **options) -> P.Star
     return P.build_star(rates, "rate_date", list(fx.FACT_KEY), ["rate"], previous, **options)
 
 
+def _stored(star: P.Star) -> P.Star:
+    """A star as an earlier run left it: in tables."""
+    return P.Star(stage(star.dim_date, "dim-date"), stage(star.fact, "fact"))
+
+
 @query
 def dim_date_full(spark, folder):
     return I.date_dimension(_staged_rates(spark, folder), "rate_date")
@@ -314,7 +319,7 @@ def dim_date_full(spark, folder):
 @query
 def dim_date_incremental(spark, folder):
     rates = _staged_rates(spark, folder)
-    before = I.date_dimension(_loaded_before(rates), "rate_date")
+    before = stage(I.date_dimension(_loaded_before(rates), "rate_date"), "dim-date")
     return I.incremental_date_dimension(rates, "rate_date", before)
 
 
@@ -332,7 +337,7 @@ def fact_full_every_row(spark, folder):
 @query
 def fact_incremental(spark, folder):
     rates = _staged_rates(spark, folder)
-    return _star(rates, _star(_loaded_before(rates))).fact
+    return _star(rates, _stored(_star(_loaded_before(rates)))).fact
 
 
 @query
@@ -340,13 +345,24 @@ def fact_full_refresh(spark, folder):
     """A refresh forgets what earlier runs loaded."""
     rates = _staged_rates(spark, folder)
     late = rates.filter(F.col("rate_date") >= F.lit(_CUTOFF).cast("timestamp_ntz"))
-    return _star(late, _star(_loaded_before(rates)), full_refresh=True).fact
+    return _star(late, _stored(_star(_loaded_before(rates))), full_refresh=True).fact
 
 
 @query
 def empty_target_incremental(spark, folder):
     rates = _staged_rates(spark, folder)
-    return _star(rates, _star(rates.filter(F.col("curr_base") == "none"))).fact
+    return _star(rates, _stored(_star(rates.filter(F.col("curr_base") == "none")))).fact
+
+
+@query
+def star_loaded(spark, folder):
+    """Two loads into stored tables, the second touching only the days after the cutoff."""
+    rates = _staged_rates(spark, folder)
+    dims, facts = staging_path(spark, "dim-date"), staging_path(spark, "fact")
+    star = None
+    for batch in (_loaded_before(rates), rates):
+        star = P.load_star(spark, batch, dims, facts, "rate_date", fx.FACT_KEY, ["rate"])
+    return S.read_fact(star.fact, star.dim_date)
 
 
 @query
@@ -451,7 +467,7 @@ def scd2_replay(spark, folder):
 
 def _asof_long(spark: SparkSession, folder: str, closed: str) -> DataFrame:
     """Order dates of customers looked up in the long history of the same customers' states."""
-    states = scd2_replay(spark, folder).withColumnRenamed("o_custkey", "key")
+    states = stage(scd2_replay(spark, folder).withColumnRenamed("o_custkey", "key"), "states")
     facts = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return H.asof_merge_join(facts, states, {"o_custkey": "key"}, "o_orderdate", closed, "month").drop("key")
 
@@ -466,6 +482,12 @@ def scd2_asof_merge_closed(spark, folder):
     return _asof_long(spark, folder, "both")
 
 
+@query
+def scd2_asof_chosen(spark, folder):
+    """The way of joining picked by the length of the histories; here they are short."""
+    return _asof(H.asof_join(table(spark, folder, "orders"), _history(spark, folder), _ON_CUSTOMER, "o_orderdate"))
+
+
 @query
 def surrogate_key(spark, folder):
     return _history(spark, folder).select(
@@ -679,6 +701,6 @@ def events_star(spark, folder):
         "ts": {"required": True, "min_date": "2024-01-01"},
         "event_type": {"required": True},
     })
-    valid, _ = VAL.split_quarantine(checked)
+    valid = stage(VAL.split_quarantine(checked)[0], "silver")
     star = P.build_star(valid, "ts", ["event_type", "user_id"], ["value"])
     return S.read_fact(star.fact, star.dim_date)

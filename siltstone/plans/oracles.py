@@ -167,6 +167,9 @@ WITH {_RATES}, {_SEEN}, before AS ({_facts('seen')}), fresh AS ({_facts('rates',
 SELECT * FROM before b WHERE NOT EXISTS (SELECT 1 FROM fresh f
   WHERE f.date_key = b.date_key AND f.curr_base = b.curr_base AND f.currency = b.currency)
 UNION ALL SELECT * FROM fresh"""
+ORACLES["star_loaded"] = f"""
+SELECT strptime(date_key::VARCHAR, '%Y%m%d%H%M')::TIMESTAMP AS date, curr_base, currency, rate
+FROM ({ORACLES["fact_incremental"]})"""
 ORACLES["fact_full_refresh"] = f"WITH {_RATES} {_facts('rates', '''rate_date >= TIMESTAMP '2024-01-20 12:00:00' ''')}"
 ORACLES["empty_target_incremental"] = ORACLES["fact_full"]
 ORACLES["upsert_delete_insert"] = f"""
@@ -217,6 +220,7 @@ SELECT c_custkey AS customer_key, c_name AS name, c_mktsegment AS segment, valid
   valid_to IS NULL AS is_current FROM hist"""
 ORACLES["scd2_asof_closed"] = f"{_HIST} {_ASOF} AND {_BOTH}"
 ORACLES["scd2_asof_halfopen"] = f"{_HIST} {_ASOF} AND {_HALF}"
+ORACLES["scd2_asof_chosen"] = ORACLES["scd2_asof_halfopen"]
 ORACLES["surrogate_key"] = f"""{_HIST}
 SELECT c_custkey, valid_from, {_SK.format('valid_from')} AS customer_sk, {_SK.format('valid_to')} AS closing_sk FROM hist"""
 ORACLES["resolve_surrogate"] = f"""{_HIST}
@@ -337,7 +341,7 @@ QUALIFY row_number() OVER (
 _DECIMAL_COLUMNS = {
     "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "decimal_exact": ("price", "discount"),
     "fact_full": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
-    "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "fact_topn": ("rate",),
+    "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),
 }
 for _name, _columns in _DECIMAL_COLUMNS.items():

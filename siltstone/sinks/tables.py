@@ -101,11 +101,12 @@ def upsert_partitions(
     """
     new = stage(new, "upsert-new")
     part = column(partition_col)
-    target = spark.read.parquet(path)
+    # Partition values read back from folder names take the type the new rows give them.
+    target = spark.read.parquet(path).withColumn(partition_col, part.cast(new.schema[partition_col].dataType))
     lowest, highest = new.agg(F.min(part)).scalar(), new.agg(F.max(part)).scalar()
     touched = new.select(part.alias("_touched")).distinct()
-    near = target.filter((part >= lowest) & (part <= highest))
-    affected = near.join(touched, part == F.col("_touched"), "left_semi")
+    near = target.filter(((part >= lowest) & (part <= highest)) | part.isNull())
+    affected = near.join(touched, part.eqNullSafe(F.col("_touched")), "left_semi")
     merged = upsert_delete_insert(affected, new, list(keys), strict, order_by)
     write_layer(stage(merged, "upsert-merged"), path, "overwrite", [partition_col], list(keys), replace_partitions=True)
 
