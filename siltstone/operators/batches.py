@@ -37,10 +37,11 @@ def keep_known(df: DataFrame, reference: DataFrame, mapping: Mapping[str, str])
 
     Semi-joins: duplicate reference rows never multiply rows and NULL never matches. Spark
     broadcasts the list when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``;
-    beyond that it sorts and merges, and adaptive execution splits hot keys.
+    beyond that it sorts and merges, and adaptive execution splits hot keys. The list is reduced to
+    distinct codes before it is shuffled, since only the checked side can be split.
     """
     for name, ref_name in mapping.items():
-        known = reference.select(column(ref_name).alias("_known"))
+        known = reference.select(column(ref_name).alias("_known")).distinct()
         df = df.join(known, column(name) == F.col("_known"), "left_semi")
     return df
 

@@ -42,6 +42,8 @@ def upsert_delete_insert(
     if target is None:
         return new
     incoming = new.select(*[column(k).alias(f"_n_{k}") for k in keys])
+    if not strict:  # repeated keys meet the target once
+        incoming = incoming.distinct()
     same = [column(k) == column(f"_n_{k}") for k in keys]
     return target.join(incoming, same, "left_anti").unionByName(new.select(*target.columns))
 

@@ -50,7 +50,7 @@ def dq_relationships(
     names, parents = _names(columns), _names(parent_columns)
     present = child.filter(reduce(and_, [column(c).isNotNull() for c in names]))
     counted = present.groupBy(*[column(c) for c in names]).agg(F.count(F.lit(1)).alias("n_records"))
-    known = parent.select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parents)])
+    known = parent.select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parents)]).distinct()
     same = reduce(and_, [column(c) == F.col(f"_p{i}") for i, c in enumerate(names)])
     return counted.join(known, same, "left_anti")
 

@@ -419,6 +419,16 @@ def scd2_snapshot(spark, folder):
     return _history(spark, folder)
 
 
+@query
+def scd2_stored(spark, folder):
+    """Both snapshots, and a repetition of the second, taken into a stored history."""
+    customers, path = table(spark, folder, "customer"), staging_path(spark, "history")
+    later = _customers_later(customers)
+    for source, at in ((customers, _FIRST), (later, _SECOND), (later, _SECOND)):
+        history = K.save_snapshot(spark, path, source, "c_custkey", _CUSTOMER_CHECKS, at, time_type=TimestampNTZType())
+    return history
+
+
 @query
 def scd2_hard_deletes(spark, folder):
     return _history(spark, folder, hard_deletes="invalidate")

@@ -213,6 +213,7 @@ _BOTH = "o_orderdate BETWEEN valid_from AND coalesce(valid_to, TIMESTAMP '9999-1
 _SK = "md5(c_custkey::VARCHAR || '-' || coalesce({}::VARCHAR, '_dbt_utils_surrogate_key_null_'))"
 
 ORACLES["scd2_snapshot"] = f"{_HIST} SELECT * FROM hist"
+ORACLES["scd2_stored"] = ORACLES["scd2_snapshot"]
 ORACLES["scd2_hard_deletes"] = f"WITH {_versions(_SECOND)} SELECT * FROM hist"
 ORACLES["scd2_rerun"] = ORACLES["scd2_snapshot"]
 ORACLES["scd2_dim"] = f"""{_HIST}

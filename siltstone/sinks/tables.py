@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import datetime
+from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import column
+from siltstone.operators.batches import dedupe_by_key
+from siltstone.operators.history import TO, scd2_snapshot
 from siltstone.operators.incremental import upsert_delete_insert
 from siltstone.operators.validation import ERRORS
 from siltstone.sinks.staging import stage
@@ -15,6 +20,8 @@ from siltstone.sinks.staging import stage
 # Fixed value: rows per JDBC round trip.
 JDBC_BATCH_SIZE = 10_000
 
+_CLOSED, _OPEN = "closed_at", "open"
+
 
 def write_layer(
     df: DataFrame,
@@ -67,8 +74,6 @@ def write_split(
     and a lost executor costs nothing. ``unique`` keys are deduplicated among valid rows only. Returns
     the counts, observed while staging.
     """
-    from siltstone.operators.batches import dedupe_by_key
-
     counts = Observation("split")
     bad = F.col(ERRORS) != ""
     seen = annotated.withColumn("_rejected", bad).observe(
@@ -111,6 +116,46 @@ def upsert_partitions(
     write_layer(stage(merged, "upsert-merged"), path, "overwrite", [partition_col], list(keys), replace_partitions=True)
 
 
+def _closing_label(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd'T'HHmmss.SSSSSS")
+
+
+def save_snapshot(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    key: str | Sequence[str],
+    check_cols: Sequence[str],
+    as_of: str | datetime,
+    **options: Any,
+) -> DataFrame:
+    """Take a snapshot (see ``scd2_snapshot``) into a stored history, which is returned.
+
+    The history is kept in one partition of open versions and one per closing time, so a snapshot
+    reads and rewrites only the open versions and those closed at its own time; the past is not touched.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    stored = read_optional_history(spark, path)
+    if stored is not None:
+        own = _closing_label(F.lit(as_of).cast("timestamp_ntz"))
+        stored = stored.filter((F.col(_CLOSED) == _OPEN) | (F.col(_CLOSED) == own)).drop(_CLOSED)
+    taken = scd2_snapshot(stored, source, keys, list(check_cols), as_of, **options)
+    taken = stage(taken.withColumn(_CLOSED, F.coalesce(_closing_label(F.col(TO)), F.lit(_OPEN))), "snapshot")
+    write_layer(taken, path, "overwrite", [_CLOSED], keys, replace_partitions=True)
+    return read_optional_history(spark, path).drop(_CLOSED)
+
+
+def read_optional_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored history with the closing time its rows are kept under, or None."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found.withColumn(_CLOSED, F.col(_CLOSED).cast("string"))
+
+
 def materialize_table(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Drop and rebuild a catalogue table."""
     df.write.format(fmt).mode("overwrite").saveAsTable(name, path=path)

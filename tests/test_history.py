@@ -8,6 +8,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from siltstone.operators import history as H
 from siltstone.sinks.staging import stage
+from siltstone.sinks.tables import save_snapshot
 from conftest import rows
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
@@ -40,6 +41,25 @@ def test_snapshot(spark):
         ("x", T1, T2), ("y", T2, T3), ("x", T3, None)]
 
 
+def test_stored_history_leaves_the_past_alone(spark, tmp_path):
+    path = str(tmp_path / "history")
+
+    def save(data, at):
+        return rows(save_snapshot(spark, path, spark.createDataFrame(data, SCHEMA), "k", ["a", "b"], at, time_type=TimestampNTZType()))
+
+    first = snap(spark, None, FIRST, T1)
+    second = snap(spark, first, SECOND, T2)
+    assert save(FIRST, T1) == rows(first)
+    assert save(SECOND, T2) == rows(second) == save(SECOND, T2)
+    past = {p for p in (tmp_path / "history").glob("closed_at=2024*/*.parquet")}
+    assert past and save(FIRST, T3) == rows(snap(spark, second, FIRST, T3))
+    assert past <= {p for p in (tmp_path / "history").glob("closed_at=2024*/*.parquet")}
+    # a second look at the same moment adds to what the first one closed
+    third = snap(spark, second, FIRST, T3)
+    more = [*FIRST, ("new", "z", 2, "n")]
+    assert save(more, T3) == rows(snap(spark, third, more, T3))
+
+
 def test_hard_deletes_and_first_date(spark):
     first = snap(spark, None, FIRST, T1, first_valid_from=datetime(1900, 1, 1))
     second = snap(spark, first, SECOND, T2, hard_deletes="invalidate")
