@@ -1,31 +1,33 @@
-"""String normalisation.
+"""String normalisation as column expressions.
 
-``clean`` builds a column expression. Short field values stay inside code generation: only values
-holding an entity (``&``) or a non-ASCII character travel to Python, as Arrow batches. Long texts
-nearly always need that trip, so ``long_text=True`` sends the whole column through one Arrow UDF.
+Entities and NFKC have no built-in form, so cleaning is one Arrow UDF for the whole column. It was
+measured against the same rules split between built-in functions and a UDF for the rows that need
+it: the split was slower for field values, unique or repeated, and for long texts alike.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siltstone.functions import cleaning
-from siltstone.functions.cleaning import CARRIAGE_RETURN, CONTROL_CHARS, SPACE_RUN_OR_LINE_BREAK, clean_text
 
 # The rules travel with the UDF, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(cleaning)
 
+# Declared non-deterministic to be evaluated once. Otherwise a filter on a cleaned column, or on errors
+# found in it, is pushed below the cleaning (and below earlier joins) together with a second copy of it.
+_clean_batch = F.arrow_udf(cleaning.clean_values, StringType()).asNondeterministic()
 
-@F.arrow_udf(StringType())
-def _clean_batch(values: pa.Array) -> pa.Array:
-    # Field values repeat, so each distinct value of a batch is cleaned once.
-    encoded = values.dictionary_encode()
-    cleaned = pa.array([clean_text(v) for v in encoded.dictionary.to_pylist()], pa.string())
-    return cleaned.take(encoded.indices)
+
+def clean(value: Column) -> Column:
+    """Cleaned form of a string column (see ``cleaning.clean_text`` for the rules).
+
+    Filters written after it stay after it, so put those that shrink the input before it.
+    """
+    return _clean_batch(value)
 
 
 def blank_to_null(value: Column) -> Column:
@@ -33,23 +35,6 @@ def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 
 
-def clean(value: Column, long_text: bool = False) -> Column:
-    """Cleaned form of a string column (see ``clean_text`` for the rules)."""
-    if long_text:
-        return _clean_batch(value)
-    needs_python = value.contains("&") | (F.octet_length(value) != F.length(value))
-    untidy = value.rlike(r"[\x00-\x1f\x7f]|^ | $|  ")
-    # The guard nulls the *input*: Spark evaluates a Python UDF for every row, even under a CASE.
-    from_python = _clean_batch(F.when(needs_python, value))
-    visible = F.regexp_replace(value, f"[{CONTROL_CHARS}{CARRIAGE_RETURN}]+", "")
-    tidied = F.trim(F.regexp_replace(visible, SPACE_RUN_OR_LINE_BREAK, " "))
-    return (
-        F.when(needs_python, from_python)
-        .when(untidy, F.when(tidied != "", tidied))
-        .when(value != "", value)
-    )
-
-
 def pad_code(value: Column, width: int = 3, fill: str = "0", truncate: bool = True) -> Column:
     """Left-pad a code. ``lpad`` cuts longer input; ``truncate=False`` leaves it whole."""
     padded = F.lpad(value, width, fill)

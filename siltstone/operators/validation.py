@@ -39,14 +39,14 @@ def columns_of_type(df: DataFrame, *kinds: str) -> list[str]:
     return [f.name for kind in kinds for f in df.schema.fields if isinstance(f.dataType, _KINDS[kind])]
 
 
-def clean_strings(df: DataFrame, columns: Iterable[str] | None = None, long_text: bool = False) -> DataFrame:
+def clean_strings(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Clean the listed string columns; by default all but lineage (``_``-prefixed) ones.
 
     All columns are cleaned in one projection, so Spark ships them to Python in one batch.
     """
     if columns is None:
         columns = [c for c in columns_of_type(df, "string") if not c.startswith("_")]
-    return df.withColumns({c: X.clean(column(c), long_text) for c in columns if c in df.columns})
+    return df.withColumns({c: X.clean(column(c)) for c in columns if c in df.columns})
 
 
 def blank_strings_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -190,7 +190,7 @@ def clean_text_full(spark, folder):
     documents = table(spark, folder, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "text")
     pages = table(spark, folder, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("html").alias("text"))
     turns = table(spark, folder, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text")
-    return VAL.clean_strings(documents.unionByName(pages).unionByName(turns), ["text"], long_text=True)
+    return VAL.clean_strings(documents.unionByName(pages).unionByName(turns), ["text"])
 
 
 # --- landing ---------------------------------------------------------------------------------

@@ -1,13 +1,16 @@
 import html
 import re
+import subprocess
+import sys
 import unicodedata
 
-import pytest
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from siltstone.functions import text as X
+from siltstone.functions import cleaning, text as X
 from siltstone.operators import validation as VAL
 
 CASES = [
@@ -63,13 +66,12 @@ tricky = st.text(st.sampled_from("ab \t\n\r\x00\x0b\x0c\x1c\x1f\x7f\x85   
 @settings(max_examples=1500, deadline=None)
 @given(st.one_of(tricky, st.text()))
 def test_clean_text_equals_the_documented_steps(s):
-    assert X.clean_text(s) == eight_steps(s)
+    assert cleaning.clean_text(s) == eight_steps(s)
 
 
-@pytest.mark.parametrize("long_text", [False, True])
-def test_clean_expression(spark, long_text):
+def test_clean_expression(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(CASES)], "id int, s string")
-    got = {r.id: r.s for r in VAL.clean_strings(df, ["s"], long_text).collect()}
+    got = {r.id: r.s for r in VAL.clean_strings(df, ["s"]).collect()}
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
 
 
@@ -96,8 +98,23 @@ def test_blank_and_padding(spark):
     assert [tuple(r) for r in padded.collect()] == [("008", "008"), ("123", "1234"), (None, None)]
 
 
-def test_short_values_stay_on_the_jvm(spark):
-    """Only guarded values reach Python: the UDF's input is NULL for plain ASCII."""
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.one_of(st.none(), tricky, st.text(), st.text(st.sampled_from("ab &")))))
+def test_batches_equal_single_values(values):
+    """Also for the values that are passed over as clean already."""
+    assert cleaning.clean_values(pa.array(values, pa.string())).to_pylist() == [eight_steps(v) for v in values]
+
+
+def test_cleaning_is_evaluated_once_however_rows_are_split(spark):
     df = spark.range(3).select(F.col("id").cast("string").alias("s"))
-    plan = VAL.clean_strings(df, ["s"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "ArrowEvalPython [_clean_batch(CASE WHEN" in plan
+    annotated = VAL.validate(VAL.clean_strings(df, ["s"]), {"s": {"required": True, "length": 1}})
+    for part in VAL.split_quarantine(annotated):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    (tmp_path / "udf").write_bytes(cloudpickle.dumps(cleaning.clean_values))
+    code = ("import pickle, pyarrow as pa; f = pickle.load(open('udf', 'rb'));"
+            "print(f(pa.array(['&lt; ', None, '\\ufb01', ' '])).to_pylist())")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "['<', None, 'fi', None]", done.stderr
