@@ -69,9 +69,10 @@ def explode_map(
     A null value is kept, for the ``required`` rule to reject.
     """
     kept = [c for c in df.columns if c != entries]
-    return df.select(*[column(c) for c in kept], F.explode(column(entries)).alias(key, value)).withColumn(
-        value, V.exact_decimal(column(value), value_type)
-    )
+    # The outer form, less its rows without a key: for a plain explode Spark infers a filter on the
+    # map and pushes it below the parsing, which then runs twice.
+    rows = df.select(*[column(c) for c in kept], F.explode_outer(column(entries)).alias(key, value))
+    return rows.filter(column(key).isNotNull()).withColumn(value, V.exact_decimal(column(value), value_type))
 
 
 def land_map_payload(

@@ -27,6 +27,7 @@ from siltstone.plans import layers as P
 from siltstone.sinks import tables as K
 from siltstone.sinks.staging import stage, staging_path
 from siltstone.sources import layers as SRC
+from siltstone.streaming.landing import land_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,7 +225,28 @@ def payload_records(spark, folder):
     record = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
     listed = F.struct(F.array(record("status", "o_orderstatus"), record("priority", "o_orderpriority")).alias("response"))
     payloads = orders.select("o_orderkey", F.to_json(listed).alias("payload"))
-    return L.explode_records(payloads, "payload", StructType.fromDDL("kind string, name string")).drop(L.CORRUPT)
+    return L.explode_records(payloads, "payload", StructType().add("kind", "string").add("name", "string")).drop(L.CORRUPT)
+
+
+@query
+def payload_files(spark, folder):
+    """Record lists landed from files."""
+    orders, path = table(spark, folder, "orders"), staging_path(spark, "payloads")
+    record = lambda kind, c: F.struct("o_orderkey", F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    listed = F.array(record("status", "o_orderstatus"), record("priority", "o_orderpriority")).alias("response")
+    orders.select(listed).write.json(path)
+    schema = StructType().add("o_orderkey", "long").add("kind", "string").add("name", "string")
+    return L.land_records(spark, path, schema).drop(L.CORRUPT)
+
+
+@query
+def payload_files_streamed(spark, folder):
+    """Rate payloads picked up by the landing stream, which ends when it has caught up."""
+    arrived, landed, progress = (staging_path(spark, name) for name in ("arrived", "landed", "progress"))
+    _payloads(spark, folder).select("payload").write.text(arrived)
+    columns = ["curr_base", "currency", "rate", "rate_date"]
+    land_new_files(spark, arrived, landed, progress, lambda df: L.land_map_payload(df, "payload", ntz=True), columns).awaitTermination()
+    return spark.read.parquet(landed).select(*columns)
 
 
 @query
@@ -603,6 +625,14 @@ def layer_roundtrip(spark, folder):
     return SRC.read_layer(spark, path, schema=lines.schema).select(lines.columns)
 
 
+@query
+def layer_counts(spark, folder):
+    """Counts observed by the write itself."""
+    lines, seen = K.layer_counts(table(spark, folder, "lineitem"), "written", largest=F.max("l_orderkey"))
+    K.write_layer(lines, staging_path(spark, "lines"), partition_by=["l_returnflag"])
+    return spark.createDataFrame([(seen.get["rows"], seen.get["largest"])], "n_rows bigint, largest bigint")
+
+
 @query
 def read_optional(spark, folder):
     orders = table(spark, folder, "orders")

@@ -110,6 +110,8 @@ FROM (SELECT *, unnest(json_keys(props)) AS k FROM events WHERE event_type <> 'e
 ORACLES["payload_records"] = """
 SELECT o_orderkey, 'status' AS kind, o_orderstatus AS name FROM orders
 UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders"""
+ORACLES["payload_files"] = ORACLES["payload_records"]
+ORACLES["payload_files_streamed"] = f"SELECT * EXCLUDE (event_id) FROM ({ORACLES['payload_empty_guard']})"
 ORACLES["add_lineage"] = """
 SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS _ingested_at, 'events' AS _source_file,
   strftime(date_trunc('day', ts), '%Y%m%d_%H%M%S') AS _batch_id FROM events"""
@@ -284,6 +286,7 @@ UNION ALL SELECT 'relationships', 'orders', 'o_custkey', count(DISTINCT o_custke
 # --- layers ----------------------------------------------------------------------------------
 
 ORACLES["layer_roundtrip"] = "SELECT * FROM lineitem"
+ORACLES["layer_counts"] = "SELECT count(*) AS n_rows, max(l_orderkey) AS largest FROM lineitem"
 ORACLES["read_optional"] = "SELECT * FROM orders"
 ORACLES["materialize_table"] = f"""{_HIST}
 SELECT c_custkey AS customer_key, c_name AS name, c_mktsegment AS segment, valid_from, valid_to, true AS is_current
@@ -340,7 +343,7 @@ QUALIFY row_number() OVER (
 
 # Decimals leave every query as doubles.
 _DECIMAL_COLUMNS = {
-    "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "decimal_exact": ("price", "discount"),
+    "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
     "fact_full": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
     "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),

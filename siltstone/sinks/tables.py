@@ -31,17 +31,18 @@ def write_layer(
     sort_by: Sequence[str] = (),
     fmt: str = "parquet",
     replace_partitions: bool = False,
-    rebalance: bool = True,
+    rebalance: bool | None = None,
 ) -> None:
     """Write a layer table; a failed write raises.
 
-    Rows are rebalanced first: adaptive execution merges small shuffle partitions (a small table
-    becomes one file, a partition value one file) and splits big ones (a partition value holding a
-    third of the rows becomes many files, not one task). ``sort_by`` orders rows inside each file, so
-    that min/max statistics let readers skip. ``replace_partitions`` overwrites only the partitions
-    ``df`` holds.
+    A partitioned table is rebalanced first, which costs a shuffle and saves a file per task and
+    partition value: adaptive execution merges small shuffle partitions (a value becomes one file) and
+    splits big ones (a value holding a third of the rows becomes many files, not one task). Set
+    ``rebalance`` for a small unpartitioned table that should be one file. ``sort_by`` orders rows
+    inside each file, so that min/max statistics let readers skip. ``replace_partitions`` overwrites
+    only the partitions ``df`` holds.
     """
-    if rebalance:
+    if rebalance or (rebalance is None and partition_by):
         df = df.hint("rebalance", *[column(c) for c in partition_by])
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)

@@ -35,6 +35,12 @@ def test_too_many_integer_digits_raise(spark):
         L.land_map_payload(df, "p").collect()
 
 
+def test_payloads_are_parsed_once(spark):
+    df = spark.range(3).select(F.concat(F.lit(payload()), F.col("id").cast("string")).alias("p"))
+    plan = L.land_map_payload(df, "p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 RECORDS = '{"response": [{"id": 1, "name": "Euro", "short_code": "EUR", "symbol_first": true}, {"id": 2, "name": null}]}'
 
 

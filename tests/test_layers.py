@@ -61,7 +61,7 @@ def test_write_split_and_rerun(spark, tmp_path):
 
 def test_write_layer_files(spark, tmp_path):
     df = spark.range(1000, numPartitions=8).withColumn("p", F.col("id") % 3)
-    K.write_layer(df, str(tmp_path / "one"))
+    K.write_layer(df, str(tmp_path / "one"), rebalance=True)
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
     K.write_layer(df, str(tmp_path / "parts"), partition_by=["p"], sort_by=["id"])
     assert [len(list(d.glob("*.parquet"))) for d in sorted((tmp_path / "parts").glob("p=*"))] == [1, 1, 1]
