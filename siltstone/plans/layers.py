@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from siltstone.operators import batches as B
 from siltstone.operators import incremental as I
 from siltstone.operators import validation as V
 from siltstone.sinks import tables as K
+from siltstone.sources.layers import find_layer
 
 
 def annotate_dimension(landed: DataFrame, rules: RuleSet, padded: Sequence[str] = (), width: int = 3) -> DataFrame:
@@ -84,15 +84,6 @@ def build_star(
     return Star(dates, fact)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def load_star(
     spark: SparkSession,
     staged: DataFrame,
@@ -119,7 +110,7 @@ def load_star(
             K.upsert_partitions(spark, path, fresh, unique, "day", strict=False)
         return spark.read.parquet(path).drop("day")
 
-    old_dates, old_fact = _stored(spark, dim_path), _stored(spark, fact_path)
+    old_dates, old_fact = find_layer(spark, dim_path), find_layer(spark, fact_path)
     before = None if old_dates is None else old_dates.drop("day")
     dates = put(dim_path, old_dates, I.fresh_dates(staged, ts, before, grain, full_refresh), ["date_key"])
     before = None if old_fact is None else old_fact.drop("day")

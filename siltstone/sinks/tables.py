@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from siltstone.operators.history import TO, scd2_snapshot
 from siltstone.operators.incremental import upsert_delete_insert
 from siltstone.operators.validation import ERRORS
 from siltstone.sinks.staging import stage
+from siltstone.sources.layers import find_layer
 
 # Fixed value: rows per JDBC round trip.
 JDBC_BATCH_SIZE = 10_000
@@ -136,25 +136,19 @@ def save_snapshot(
     reads and rewrites only the open versions and those closed at its own time; the past is not touched.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    stored = read_optional_history(spark, path)
+    stored = _stored_history(spark, path)
     if stored is not None:
         own = _closing_label(F.lit(as_of).cast("timestamp_ntz"))
         stored = stored.filter((F.col(_CLOSED) == _OPEN) | (F.col(_CLOSED) == own)).drop(_CLOSED)
     taken = scd2_snapshot(stored, source, keys, list(check_cols), as_of, **options)
     taken = stage(taken.withColumn(_CLOSED, F.coalesce(_closing_label(F.col(TO)), F.lit(_OPEN))), "snapshot")
     write_layer(taken, path, "overwrite", [_CLOSED], keys, replace_partitions=True)
-    return read_optional_history(spark, path).drop(_CLOSED)
-
-
-def read_optional_history(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored history with the closing time its rows are kept under, or None."""
-    try:
-        found = spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return found.withColumn(_CLOSED, F.col(_CLOSED).cast("string"))
+    return _stored_history(spark, path).drop(_CLOSED)
+
+
+def _stored_history(spark: SparkSession, path: str) -> DataFrame | None:
+    found = find_layer(spark, path)
+    return None if found is None else found.withColumn(_CLOSED, F.col(_CLOSED).cast("string"))
 
 
 def materialize_table(df: DataFrame, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:

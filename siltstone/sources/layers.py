@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +15,37 @@ def layer_path(root: str, layer: str, table: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{table}"
 
 
-def read_layer(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
-    """A layer table; ``fmt="delta"`` where that package is on the cluster."""
+def read_layer(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, recursive: bool = False
+) -> DataFrame:
+    """A layer table; ``fmt="delta"`` where that package is on the cluster.
+
+    ``recursive`` takes every file below the path, without reading folder names as columns.
+    """
     reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    if schema is not None:
+        reader = reader.schema(schema)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.load(path)
 
 
-def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    """A layer table that may not exist yet: an absent path reads as no rows of the declared schema."""
+def find_layer(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, recursive: bool = False
+) -> DataFrame | None:
+    """A layer table, or None if its path does not exist."""
     try:
-        return read_layer(spark, path, fmt, schema)
+        return read_layer(spark, path, fmt, schema, recursive)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """A layer table that may not exist yet: an absent path reads as no rows of the declared schema."""
+    found = find_layer(spark, path, fmt, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def register_layer(spark: SparkSession, name: str, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -38,26 +54,18 @@ def register_layer(spark: SparkSession, name: str, path: str, schema: StructType
     return spark.table(name)
 
 
-def _files(spark: SparkSession, layer: str, path: str) -> DataFrame | None:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    try:
-        files = reader.load(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return files.select(F.lit(layer).alias("layer"), F.col("modificationTime").alias("modified"))
-
-
 def layer_inventory(spark: SparkSession, layers: Mapping[str, str]) -> DataFrame:
     """(layer, file_count, last_modified) per layer; 0 and NULL for an empty or absent one.
 
     Lists files without reading their bytes.
     """
-    found = [f for f in (_files(spark, layer, path) for layer, path in layers.items()) if f is not None]
+    listed = spark.createDataFrame([], "layer string, modified timestamp")
+    for layer, path in layers.items():
+        files = find_layer(spark, path, "binaryFile", recursive=True)
+        if files is not None:
+            listed = listed.unionByName(files.select(F.lit(layer).alias("layer"), F.col("modificationTime").alias("modified")))
     expected = spark.createDataFrame([(layer,) for layer in layers], "layer string")
-    nothing = spark.createDataFrame([], "layer string, modified timestamp")
-    seen = reduce(DataFrame.unionByName, found, nothing).groupBy("layer").agg(
+    seen = listed.groupBy("layer").agg(
         F.count(F.lit(1)).alias("file_count"), F.max("modified").alias("last_modified")
     )
     return expected.join(seen, "layer", "left").fillna(0, ["file_count"])
