@@ -136,6 +136,12 @@ def scd2_dimension(history: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
+def _no_shared_names(fact: DataFrame, dim: DataFrame) -> None:
+    shared = sorted(set(fact.columns) & set(dim.columns))
+    if shared:
+        raise ValueError(f"rename columns that fact and dimension share: {shared}")
+
+
 def asof_dim_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -152,6 +158,7 @@ def asof_dim_join(
     broadcast. For keys with long histories use ``asof_merge_join``, whose work does not grow with
     facts times versions.
     """
+    _no_shared_names(fact, dim)
     begins, ends = column(FROM), column(TO)
     if closed == "both":
         within = column(ts).between(begins, F.coalesce(ends, F.lit(FAR_FUTURE).cast(dim.schema[TO].dataType)))
@@ -169,6 +176,7 @@ def asof_merge_join(
     Work is linear in facts plus versions however many versions a key has, and a hot key is spread
     over its time ``bucket``s. Needs disjoint intervals per key, which is what snapshots produce.
     """
+    _no_shared_names(fact, dim)
     keys = [f"_k{i}" for i in range(len(on))]
     at = "_at"
     fact_keys = [column(f).alias(k) for f, k in zip(on, keys)]

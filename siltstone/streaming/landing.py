@@ -1,7 +1,7 @@
 """Landing new payload files as they turn up, each exactly once.
 
 The batch operators do the work; the stream only keeps track of which files are new. A run takes
-what has arrived, lands it as one batch per trigger, and ends.
+what has arrived, lands it and ends.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators.landing import add_lineage
-from siltstone.sinks.tables import write_layer
 
 
 def land_new_files(
@@ -23,13 +22,16 @@ def land_new_files(
     progress: str,
     land: Callable[[DataFrame], DataFrame],
     columns: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Append every payload file below ``folder`` not seen before to ``table``; ends when caught up.
 
-    ``land`` turns a frame with the JSON text in ``payload`` into rows. ``progress`` is the folder
-    that remembers what was read; it must be shared and durable. A batch is written as a partition of
-    its own, ``_batch``, replaced if the batch is repeated after a failure, so no row lands twice.
+    ``land`` turns a frame with the JSON text in ``payload`` into rows, keeping its other columns; it
+    works row by row, so nothing is shuffled. Lineage names the file and the time of the batch, which
+    can so be selected again. ``progress`` remembers what was read and must be shared and durable.
+    Together with the file sink's own log it makes a repeated batch land once; read the table through
+    Spark, which honours that log.
     """
     texts = (
         spark.readStream.format("text")
@@ -37,17 +39,12 @@ def land_new_files(
         .load(folder)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("_source_file"))
     )
-
-    def write(batch: DataFrame, number: int) -> None:
-        landed = land(batch.withColumn("_landed_at", F.current_timestamp()))
-        lineage = add_lineage(landed, F.col("_source_file"), F.col("_landed_at")).drop("_landed_at")
-        chosen = lineage.select(*columns) if columns else lineage
-        write_layer(
-            chosen.withColumn("_batch", F.lit(number)), table, "overwrite", ["_batch"], replace_partitions=True
-        )
-
+    landed = add_lineage(land(texts), F.col("_source_file"), F.current_timestamp())
     return (
-        texts.writeStream.foreachBatch(write)
+        (landed.select(*columns) if columns else landed)
+        .writeStream.format("parquet")
+        .partitionBy(*partition_by)
+        .option("path", table)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()

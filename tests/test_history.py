@@ -141,6 +141,13 @@ def test_replay_and_asof_merge_against_brute_force(spark, seed):
             assert len({e[0:2] for e in expected}) == len(expected)
 
 
+def test_asof_joins_refuse_shared_names(spark):
+    history = snap(spark, None, FIRST, T1)
+    for join in (H.asof_dim_join, H.asof_merge_join):
+        with pytest.raises(ValueError, match="share"):
+            join(spark.createDataFrame([("same", T2)], "k string, ts timestamp_ntz"), history, {"k": "k"}, "ts")
+
+
 def test_replay_rejects_null_keys(spark):
     batches = spark.createDataFrame([(None, "x", 1, "n", T1)], SCHEMA + ", at timestamp_ntz")
     with pytest.raises(PySparkException, match="NULL key"):

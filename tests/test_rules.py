@@ -98,3 +98,15 @@ def test_load_rules():
             load_rules(text)
     with pytest.raises(ValueError):
         load_rules('{"validation": {"rates": {"columns": {"rate": {"minimum": 1}}}}}')
+
+
+def test_load_rules_from_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    from siltstone.sources.rulesets import read_rules
+
+    file = tmp_path / "rules.yml"
+    file.write_text("validation:\n  rates:\n    columns:\n      rate:\n        required: true\n        min_rate_value: 0.000001\n")
+    assert read_rules(str(file)) == {"rates": {"rate": {"required": True, "min_rate_value": 1e-06}}}
+    file.write_text("")
+    with pytest.raises(ValueError):
+        read_rules(str(file))

@@ -1,4 +1,5 @@
 from siltstone.domains import exchange_rates as fx
+from siltstone.operators import batches as B
 from siltstone.operators import landing as L
 from siltstone.streaming.landing import land_new_files
 from conftest import rows
@@ -10,14 +11,16 @@ def test_each_file_lands_once(spark, tmp_path):
 
     def run():
         land_new_files(spark, str(tmp_path / "in"), str(tmp_path / "bronze"), str(tmp_path / "progress"),
-                       lambda df: L.land_map_payload(df, "payload"), fx.RATES_LANDED).awaitTermination()
+                       lambda df: L.land_map_payload(df, "payload"), fx.RATES_LANDED, ["curr_base"]).awaitTermination()
         df = spark.read.parquet(str(tmp_path / "bronze"))
-        return rows(df.select("curr_base", "currency", "_batch")), df
+        return rows(df.select("curr_base", "currency")), df
 
     (tmp_path / "in" / "a.json").write_text(text % "EUR")
     first, df = run()
-    assert first == [("EUR", "JPY", 0), ("EUR", "USD", 0)] and df.columns == [*fx.RATES_LANDED, "_batch"]
+    assert first == [("EUR", "JPY"), ("EUR", "USD")] and set(df.columns) == set(fx.RATES_LANDED)
     assert df.select("_source_file").distinct().first()[0].endswith("a.json")
     assert run()[0] == first
     (tmp_path / "in" / "b.json").write_text(text % "GBP" + '{"response": {"rates": []}}\n')
-    assert run()[0] == sorted([*first, ("GBP", "JPY", 1), ("GBP", "USD", 1)])
+    both, df = run()
+    assert both == [*first, ("GBP", "JPY"), ("GBP", "USD")]
+    assert rows(B.latest_batch(df).select("curr_base").distinct()) == [("GBP",)]
