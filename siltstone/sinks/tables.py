@@ -71,8 +71,9 @@ def write_split(
 ) -> Mapping[str, int]:
     """Write valid rows (replacing the table) and rejected rows (per batch) from one evaluation.
 
-    The annotated rows are staged once, parted by verdict, so that neither sink repeats the cleaning
-    and a lost executor costs nothing. ``unique`` keys are deduplicated among valid rows only. Returns
+    The annotated rows are staged once, so that neither sink repeats the cleaning and a lost executor
+    costs nothing; each sink then scans the staged rows for its verdict, which was faster than
+    sorting them into two partitions. ``unique`` keys are deduplicated among valid rows only. Returns
     the counts, observed while staging.
     """
     counts = Observation("split")
@@ -80,7 +81,7 @@ def write_split(
     seen = annotated.withColumn("_rejected", bad).observe(
         counts, F.count(F.lit(1)).alias("n_input"), F.count_if(bad).alias("n_rejected")
     )
-    staged = stage(seen, "split", ["_rejected"])
+    staged = stage(seen, "split")
     valid = staged.filter(~F.col("_rejected")).drop("_rejected", ERRORS)
     if unique:
         valid = dedupe_by_key(valid, list(unique))
