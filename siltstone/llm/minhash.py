@@ -25,8 +25,8 @@ from siltstone.llm.common import components, staged, table, texts
 WORDS, PERCENT = 5, 75
 #: 32 bands of 4 miss a pair at the threshold with a chance of 5e-6.
 HASHES, BANDS, BATCH, MISS = 128, 32, 16, 1e-5
-#: Members outside the largest component, and members they meet, in one block.
-_FEW, _MANY = 256, 4096
+#: Members outside the largest component, and members they meet, in one block, and the shingles of either.
+_FEW, _MANY, _FEW_SHINGLES, _MANY_SHINGLES = 256, 4096, 400_000, 1_600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = HASHES // BANDS
 
@@ -92,6 +92,14 @@ def survive(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets are similar enough."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, HASHES)
 
@@ -144,11 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similar(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -164,13 +168,13 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for _, text in texts(batch):
                 words = folded(text)
                 keys.append(int(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8")[0]))
-                found.append(shingles(words).view(np.int64))
+                found.append(shingles(words).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "h1", "shingles"])
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(found, pa.binary())], names=["node", "h1", "shingles"])
 
     wanted = nodes.select(F.col("node").alias("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    made = rows.mapInArrow(full, "node long, h1 long, shingles array<long>")
+    made = rows.mapInArrow(full, "node long, h1 long, shingles binary")
     return made.join(nodes.select("node", "h1"), ["node", "h1"], "left_semi").dropDuplicates(["node"])
 
 
@@ -188,16 +192,23 @@ def _met(members: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(likely("of_a", "of_b")).select("a", "b")
 
 
-def _rest(members: DataFrame, signed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidates (a, b) the pivots left open: members outside a bucket's largest component with members of other components."""
+def _rest(members: DataFrame, signed: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) the pivots left open: members outside a bucket's largest component with members of other components.
+
+    They meet in blocks bounded by the sizes of their sets, and are compared and verified there; a block names links that join what
+    it has not yet seen joined, so never more than it has members."""
     named = (
-        members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
-    sizes = named.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
+        members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        .join(sets.select("node", "shingles", (F.length("shingles") / 8).alias("weight")), "node"))
+    sizes = named.groupBy("band", "key", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     buckets = (
         sizes.groupBy("band", "key")
-        .agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        .where("all > 3 AND most < all")
-        .withColumn("few_blocks", F.ceil((F.col("all") - F.col("most")) / _FEW)).withColumn("many_blocks", F.ceil(F.col("all") / _MANY)))
+        .agg(F.max_by(F.struct("part", "n", "weight"), F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.sum("weight").alias("weighs"))
+        .where("all > 3 AND main.n < all")
+        .select(
+            "band", "key", F.col("main.part").alias("main"),
+            F.ceil(F.greatest((F.col("all") - F.col("main.n")) / _FEW, (F.col("weighs") - F.col("main.weight")) / _FEW_SHINGLES)).alias("few_blocks"),
+            F.ceil(F.greatest(F.col("all") / _MANY, F.col("weighs") / _MANY_SHINGLES)).alias("many_blocks")))
     open_ = (
         named.join(buckets, ["band", "key"]).where("node != first AND node != second")
         .withColumn("few", F.col("part") != F.col("main")).join(signed, "node"))
@@ -205,7 +216,7 @@ def _rest(members: DataFrame, signed: DataFrame, parts: DataFrame) -> DataFrame:
     other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("many_blocks"))
     every_few = F.sequence(F.lit(0).cast("long"), F.col("few_blocks") - 1)
     every_many = F.sequence(F.lit(0).cast("long"), F.col("many_blocks") - 1)
-    kept = ["band", "key", "node", "part", "signature"]
+    kept = ["band", "key", "node", "part", "signature", "shingles"]
     dealt = (
         open_.select(*kept, F.lit(False).alias("few"), other.alias("y"), F.explode(every_few).alias("x"))
         .unionByName(open_.where("few").select(*kept, "few", mine.alias("x"), F.explode(every_many).alias("y"))))
@@ -215,13 +226,24 @@ def _rest(members: DataFrame, signed: DataFrame, parts: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         if len(few) and len(many):
             band, theirs = int(group["band"].iloc[0]), _matrix(many["signature"])
-            nodes, labels = many["node"].to_numpy(), many["part"].to_numpy()
-            for node, label, mark in zip(few["node"], few["part"], _matrix(few["signature"]), strict=True):
+            nodes, labels = many["node"].to_numpy(), many["part"].to_numpy().copy()
+            sets_of = [np.frombuffer(x, "<i8") for x in many["shingles"]]
+            joined: dict[int, int] = {}
+            for node, label, mark, raw in zip(few["node"], few["part"], _matrix(few["signature"]), few["shingles"], strict=True):
+                own = np.frombuffer(raw, "<i8")
+                while label in joined:
+                    label = joined[label]
                 at = np.flatnonzero(labels != label)
                 at = at[survive(theirs[at], np.broadcast_to(mark, (len(at), HASHES)))]
-                same = (theirs[at] == mark).reshape(-1, BANDS, _ROWS).all(2)
-                at = at[same.argmax(1) == band]  # a pair that shares several buckets is named in the first
-                out += [(min(node, o), max(node, o)) for o in nodes[at].tolist()]
+                same = theirs[at] == mark
+                first = same.reshape(-1, BANDS, _ROWS).all(2).argmax(1) == band  # a pair that shares several buckets is met in the first
+                at, same = at[first], same[first].sum(1)
+                for i in at[np.argsort(-same, kind="stable")].tolist():
+                    if labels[i] != label and similar(own, sets_of[i]):
+                        out.append((min(node, nodes[i]), max(node, nodes[i])))
+                        joined[label] = int(labels[i])
+                        labels[labels == label] = labels[i]
+                        label = int(labels[i])
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("band", "key", "x", "y").applyInPandas(block, "a long, b long").distinct()
@@ -248,14 +270,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = staged(banded.join(pivots, ["band", "key"]), "buckets")
     found = members.select("node").distinct()
     signed = staged(nodes.join(found, "node", "left_semi").groupBy("node").agg(F.min("signature").alias("signature")), "candidates")
-    likely = staged(_met(members, signed), "survivors")
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = staged(_sets(docs, single.join(ends, "node", "left_semi")), "sets")
-    links = staged(_verified(likely, sets), "links")
-    rest = staged(_rest(members, signed, components(links)).join(likely, ["a", "b"], "left_anti"), "rest")
-    more = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-    all_sets = sets.unionByName(_sets(docs, single.join(more, "node", "left_semi")))
-    parts = components(links.unionByName(_verified(rest, all_sets)))
+    sets = staged(_sets(docs, single.join(found, "node", "left_semi")), "sets")
+    links = staged(_verified(_met(members, signed), sets), "links")
+    rest = staged(_rest(members, signed, sets, components(links)), "rest")
+    parts = components(links.unionByName(rest))
     of_class = classes.select("h1", "h2", "node").join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     linked = marked.select("doc_id", "h1", "h2", "n_shingles").join(of_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     one = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n_shingles"))
