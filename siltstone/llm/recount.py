@@ -244,7 +244,7 @@ def with_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFr
     overlap, so a document never gathers more than it has code points that count."""
     name = fresh("edits_of", docs.columns)
     lists = (
-        edits.select(F.col(key).alias(name), F.struct(F.col("start").cast("long"), F.col("stop").cast("long"), "new").alias("e")).distinct()
+        edits.select(F.col(key).alias(name), F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "new").alias("e")).distinct()
         .groupBy(name).agg(F.collect_list("e").alias("edits")))
     return docs.drop("edits").join(lists, docs[key] == F.col(name), "left").drop(name)
 
