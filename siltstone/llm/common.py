@@ -45,6 +45,9 @@ def texts(batch: pa.RecordBatch, column: str = "text", step: int = 256) -> Itera
             yield i, text or ""
 
 
+_LINKS_PER_TASK = 100_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each linked node can reach. Nodes without a link are absent.
 
@@ -54,22 +57,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = staged(
         links.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = None
+    most, state = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+        tasks = min(most, state[0] // _LINKS_PER_TASK + 1)  # few links are not worth many small files
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = (
             large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-        edges = staged(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        edges = staged(small.coalesce(tasks), "links")
     down = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return down.unionByName(down.select(F.col("component").alias("node"), "component").distinct())
 
