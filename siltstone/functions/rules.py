@@ -53,7 +53,7 @@ _VIOLATED: dict[str, Callable[[Column, Any, DataType | None], Column]] = {
     "max_rate_value": lambda c, v, t: c > v,
     "min_rate_value": lambda c, v, t: c < v,
     "length": lambda c, v, t: F.length(c) != v,
-    "format": lambda c, v, t: ~c.rlike(f"^(?:{v})$"),
+    "format": lambda c, v, t: ~c.rlike(rf"\A(?:{v})\z"),
 }
 
 

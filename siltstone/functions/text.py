@@ -35,7 +35,7 @@ def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 
 
-def pad_code(value: Column, width: int = 3, fill: str = "0", truncate: bool = True) -> Column:
-    """Left-pad a code. ``lpad`` cuts longer input; ``truncate=False`` leaves it whole."""
+def pad_code(value: Column, width: int = 3, fill: str = "0", truncate: bool = False) -> Column:
+    """Left-pad a code and leave longer ones whole; ``truncate`` cuts them as ``lpad`` does, so that distinct codes may merge."""
     padded = F.lpad(value, width, fill)
     return padded if truncate else F.when(F.length(value) < width, padded).otherwise(value)

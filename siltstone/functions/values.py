@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 # Formats and tokens other systems compare against.
-PAYLOAD_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+PAYLOAD_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ssX"
+PAYLOAD_WALL_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 BATCH_ID_FORMAT = "yyyyMMdd_HHmmss"
 DATE_KEY_FORMATS = {"minute": "yyyyMMddHHmm", "hour": "yyyyMMddHH", "day": "yyyyMMdd"}
 RATE_TYPE = "decimal(20,10)"
@@ -21,9 +22,10 @@ def column(name: str) -> Column:
 
 
 def parse_time(text: Column, ntz: bool = False) -> Column:
-    """``2026-05-11T11:29:37Z`` as a timestamp; NULL stays NULL, other text raises under ANSI."""
+    """``2026-05-11T11:29:37Z`` as a moment, whatever the session's zone (``ntz``: as UTC's wall clock); NULL stays NULL, other
+    text raises under ANSI."""
     parsed = F.to_timestamp_ntz if ntz else F.to_timestamp
-    fmt = F.lit(PAYLOAD_TIME_FORMAT) if ntz else PAYLOAD_TIME_FORMAT
+    fmt = F.lit(PAYLOAD_WALL_FORMAT) if ntz else PAYLOAD_TIME_FORMAT
     return parsed(text, fmt)
 
 

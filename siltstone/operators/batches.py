@@ -44,18 +44,3 @@ def keep_known(df: DataFrame, reference: DataFrame, mapping: Mapping[str, str])
         known = reference.select(column(ref_name).alias("_known")).distinct()
         df = df.join(known, column(name) == F.col("_known"), "left_semi")
     return df
-
-
-def pair_plan(reference: DataFrame, key: str, max_codes: int = 10_000) -> DataFrame:
-    """Per distinct code, the comma-joined sorted list of all other codes.
-
-    Each output row holds the whole list, so the list must be small by nature. It is gathered once,
-    as a scalar subquery, and each row removes its own code: no cross join, no row per pair. More
-    than ``max_codes`` codes is an error, found after gathering ``max_codes + 1``; never a cut list.
-    """
-    codes = reference.select(column(key).alias("base")).filter(F.col("base").isNotNull()).distinct()
-    gathered = codes.limit(max_codes + 1).agg(F.array_sort(F.collect_list("base")).alias("codes"))
-    too_many = F.raise_error(F.lit(f"pair_plan: more than {max_codes} codes"))
-    checked = gathered.select(F.when(F.size("codes") > max_codes, too_many).otherwise(F.col("codes")))
-    others = F.array_remove(F.col("codes"), F.col("base"))
-    return codes.withColumn("codes", checked.scalar()).select("base", F.concat_ws(",", others).alias("targets"))

@@ -201,23 +201,9 @@ def asof_merge_join(
 
 
 def asof_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Mapping[str, str],
-    ts: str,
-    closed: str = "half",
-    max_versions: int = 64,
-    bucket: str = "day",
+    fact: DataFrame, dim: DataFrame, on: Mapping[str, str], ts: str, closed: str = "half", bucket: str = "day"
 ) -> DataFrame:
-    """Inner as-of join by whichever way suits the history.
-
-    One aggregate over the dimension's keys finds the longest history. Up to ``max_versions`` the
-    equi-join compares each fact with few versions; beyond, facts and versions are merged in order.
-    """
-    versions = dim.groupBy(*[column(d) for d in on.values()]).agg(F.count(F.lit(1)).alias("_n"))
-    longest = versions.agg(F.max("_n")).first()[0] or 0
-    if longest <= max_versions:
-        return asof_dim_join(fact, dim, on, ts, closed)
+    """Inner as-of join of any history: facts and versions are merged in order, however many versions a key has."""
     return asof_merge_join(fact, dim, on, ts, closed, bucket)
 
 

@@ -175,7 +175,7 @@ def blank_to_null(spark, folder):
 def code_lpad(spark, folder):
     code = F.col("c_custkey").cast("string")
     return table(spark, folder, "customer").select(
-        "c_custkey", X.pad_code(code).alias("code"), X.pad_code(code, truncate=False).alias("code_whole")
+        "c_custkey", X.pad_code(code, truncate=True).alias("code"), X.pad_code(code).alias("code_whole")
     )
 
 
@@ -300,11 +300,6 @@ def known_semi_join_both(spark, folder):
     return B.keep_known(lines, codes, {"l_suppkey": "p_partkey", "l_partkey": "p_partkey"})
 
 
-@query
-def pair_plan(spark, folder):
-    return B.pair_plan(table(spark, folder, "part"), "p_brand")
-
-
 # --- dimensions and facts --------------------------------------------------------------------
 
 _CUTOFF = "2024-01-20 12:00:00"
@@ -639,13 +634,6 @@ def read_optional(spark, folder):
     return orders.unionByName(SRC.read_optional(spark, f"{folder}/absent_quarantine.parquet", orders.schema))
 
 
-@query
-def layer_inventory(spark, folder):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-             "embeddings", "pages", "benchmark", "labels", "conversations", "absent")
-    return SRC.layer_inventory(spark, {n: f"{folder}/{n}.parquet" for n in names})
-
-
 def _table_name(spark: SparkSession, name: str) -> tuple[str, str]:
     path = staging_path(spark, name)
     return "siltstone_" + path.rsplit("/", 1)[1].replace("-", "_"), path
@@ -685,14 +673,14 @@ def _currencies(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").cast("int").alias("id"),
         F.col("p_name").alias("name"),
-        F.substring("p_type", 1, 3).alias("short_code"),
+        (F.col("p_partkey") % 1200).cast("string").alias("short_code"),
         F.col("p_size").cast("string").alias("code"),
         F.length("p_brand").cast("int").alias("precision"),
         F.floor("p_retailprice").cast("int").alias("subunit"),
         F.col("p_brand").alias("symbol"),
         (F.col("p_size") > 25).alias("symbol_first"),
-        F.substring("p_name", 1, 1).alias("decimal_mark"),
-        F.when(F.col("p_size") > 10, F.substring("p_name", 2, 2)).alias("thousands_separator"),
+        (F.col("p_size") % 12).cast("string").alias("decimal_mark"),
+        F.when(F.col("p_size") > 10, (F.col("p_size") % 11).cast("string")).alias("thousands_separator"),
     ).withColumn("precision", F.col("precision") - 6)
 
 
@@ -709,13 +697,13 @@ def silver_dimension_rejected(spark, folder):
 def _silver_rates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, folder, "events")
     rates = events.select(
-        F.upper(F.substring("event_type", 1, 3)).alias("curr_base"),
+        (F.length("event_type") + 99 - F.pmod(F.col("event_id"), F.lit(7))).cast("string").alias("curr_base"),
         F.col("user_id").cast("string").alias("currency"),
         V.exact_decimal(F.col("value") - 1).alias("rate"),
         V.truncate_time(F.col("ts"), "hour", TimestampNTZType()).alias("rate_date"),
         V.truncate_time(F.col("ts"), "month", TimestampNTZType()).alias("_ingested_at"),
     )
-    bases = rates.select(F.col("curr_base").alias("short_code")).filter(F.col("short_code") != "ERR").distinct()
+    bases = rates.select(F.col("curr_base").alias("short_code")).filter(F.col("short_code") != "101").distinct()
     codes = table(spark, folder, "customer").filter(F.col("c_acctbal") > 0).select(F.col("c_custkey").cast("string").alias("short_code"))
     known = {"curr_base": "short_code", "currency": "short_code"}
     return P.silver_fact(rates, bases.unionByName(codes), known, fx.RATES_RULES, fx.RATES_KEY)

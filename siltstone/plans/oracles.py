@@ -136,11 +136,6 @@ SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_
 ORACLES["known_semi_join_both"] = """
 WITH codes AS (SELECT p_partkey FROM part WHERE p_size >= 10)
 SELECT * FROM lineitem WHERE l_suppkey IN (FROM codes) AND l_partkey IN (FROM codes)"""
-ORACLES["pair_plan"] = """
-WITH codes AS (SELECT DISTINCT p_brand AS code FROM part)
-SELECT a.code AS base, string_agg(b.code, ',' ORDER BY b.code) AS targets
-FROM codes a JOIN codes b ON a.code <> b.code GROUP BY a.code"""
-
 # --- dimensions and facts --------------------------------------------------------------------
 
 _RATES = """rates AS (SELECT event_type AS curr_base, user_id::VARCHAR AS currency,
@@ -297,10 +292,10 @@ ORACLES["register_layer"] = "SELECT l_returnflag, l_linestatus, count(*) AS n FR
 # --- recipes ---------------------------------------------------------------------------------
 
 _CURRENCIES = """landed AS (SELECT p_partkey::INT AS id, nullif(trim(p_name), '') AS name,
-  nullif(trim(substr(p_type, 1, 3)), '') AS short_code, lpad(p_size::VARCHAR, 3, '0') AS code,
+  (p_partkey % 1200)::VARCHAR AS short_code, lpad(p_size::VARCHAR, 3, '0') AS code,
   (length(p_brand) - 6)::INT AS precision, floor(p_retailprice)::INT AS subunit, p_brand AS symbol,
-  p_size > 25 AS symbol_first, nullif(trim(substr(p_name, 1, 1)), '') AS decimal_mark,
-  CASE WHEN p_size > 10 THEN nullif(trim(substr(p_name, 2, 2)), '') END AS thousands_separator FROM part),
+  p_size > 25 AS symbol_first, (p_size % 12)::VARCHAR AS decimal_mark,
+  CASE WHEN p_size > 10 THEN (p_size % 11)::VARCHAR END AS thousands_separator FROM part),
 checked AS (SELECT *, concat_ws('; ',
   CASE WHEN id IS NULL THEN 'id is required' WHEN id < 1 THEN 'id below min 1' END,
   CASE WHEN precision < 0 THEN 'precision below min 0' WHEN precision > 3 THEN 'precision above max 3' END,
@@ -318,10 +313,10 @@ checked AS (SELECT *, concat_ws('; ',
 ORACLES["silver_dimension_valid"] = f"WITH {_CURRENCIES} SELECT * EXCLUDE (errors) FROM checked WHERE errors = ''"
 ORACLES["silver_dimension_rejected"] = f"WITH {_CURRENCIES} SELECT id, errors FROM checked WHERE errors <> ''"
 
-_SILVER = """landed AS (SELECT upper(substr(event_type, 1, 3)) AS curr_base, user_id::VARCHAR AS currency,
+_SILVER = """landed AS (SELECT (length(event_type) + 99 - event_id % 7)::VARCHAR AS curr_base, user_id::VARCHAR AS currency,
   (value - 1)::VARCHAR::DECIMAL(20,10) AS rate, date_trunc('hour', ts)::TIMESTAMP AS rate_date,
   date_trunc('month', ts)::TIMESTAMP AS _ingested_at FROM events),
-codes AS (SELECT curr_base AS short_code FROM landed WHERE curr_base <> 'ERR'
+codes AS (SELECT curr_base AS short_code FROM landed WHERE curr_base <> '101'
   UNION SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal > 0),
 checked AS (SELECT *, concat_ws('; ',
   CASE WHEN rate_date < TIMESTAMP '2019-01-01' THEN 'rate_date must be later than "2019-01-01"' END,

@@ -1,28 +1,20 @@
 """Tables written aside: to cut lineage, to read a result twice, to replace a table it came from.
 
-They live in the folder the cluster names in ``spark.checkpoint.dir`` (shared, so they outlive any
-executor). Only where that is unset, as in a local test, is a temporary folder used.
+They live in the folder the cluster names in ``spark.checkpoint.dir`` or, where that is unset, below the warehouse: both are
+shared, so they outlive any executor.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _FALLBACK.setdefault("root", tempfile.mkdtemp(prefix="siltstone-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -60,6 +60,21 @@ def write_quarantine(rejected: DataFrame, path: str, batch_col: str = "_batch_id
     write_layer(rejected, path, "overwrite", [batch_col], fmt=fmt, replace_partitions=True)
 
 
+def _clear_batches(staged: DataFrame, path: str, batch_col: str, fmt: str) -> None:
+    """Empty the quarantine of batches that were seen and rejected nothing. The list has one value per batch of the run."""
+    spark, batch = staged.sparkSession, column(batch_col)
+    clean = staged.groupBy(batch.alias("batch")).agg(F.bool_or("_rejected").alias("rejected")).filter("NOT rejected").select("batch")
+    if find_layer(spark, path, fmt) is None:
+        return
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    nothing = staged.filter("false").drop("_rejected", batch_col)
+    for row in clean.collect():
+        value = None if row["batch"] is None else str(row["batch"])
+        part = f"{path.rstrip('/')}/{escape(batch_col, value)}"
+        if find_layer(spark, part, fmt) is not None:
+            nothing.write.format(fmt).mode("overwrite").save(part)
+
+
 def write_split(
     annotated: DataFrame,
     valid_path: str,
@@ -87,6 +102,7 @@ def write_split(
         valid = dedupe_by_key(valid, list(unique))
     write_layer(valid, valid_path, "overwrite", partition_by, fmt=fmt)
     write_quarantine(staged.filter("_rejected").drop("_rejected"), quarantine_path, batch_col, fmt)
+    _clear_batches(staged, quarantine_path, batch_col, fmt)
     found = counts.get
     return {**found, "n_valid": found["n_input"] - found["n_rejected"]}
 

@@ -52,20 +52,3 @@ def register_layer(spark: SparkSession, name: str, path: str, schema: StructType
     """Register files at a path as an external table with a declared schema."""
     spark.catalog.createTable(name, path=path, source=fmt, schema=schema)
     return spark.table(name)
-
-
-def layer_inventory(spark: SparkSession, layers: Mapping[str, str]) -> DataFrame:
-    """(layer, file_count, last_modified) per layer; 0 and NULL for an empty or absent one.
-
-    Lists files without reading their bytes.
-    """
-    listed = spark.createDataFrame([], "layer string, modified timestamp")
-    for layer, path in layers.items():
-        files = find_layer(spark, path, "binaryFile", recursive=True)
-        if files is not None:
-            listed = listed.unionByName(files.select(F.lit(layer).alias("layer"), F.col("modificationTime").alias("modified")))
-    expected = spark.createDataFrame([(layer,) for layer in layers], "layer string")
-    seen = listed.groupBy("layer").agg(
-        F.count(F.lit(1)).alias("file_count"), F.max("modified").alias("last_modified")
-    )
-    return expected.join(seen, "layer", "left").fillna(0, ["file_count"])

@@ -7,6 +7,7 @@ what has arrived, lands it and ends.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,13 @@ def land_new_files(
     columns: Sequence[str] = (),
     partition_by: Sequence[str] = (),
     files_per_batch: int = 1000,
+    ingested_at: datetime | None = None,
 ) -> StreamingQuery:
     """Append every payload file below ``folder`` not seen before to ``table``; ends when caught up.
 
     ``land`` turns a frame with the JSON text in ``payload`` into rows, keeping its other columns; it
-    works row by row, so nothing is shuffled. Lineage names the file and the time of the batch, which
-    can so be selected again. ``progress`` remembers what was read and must be shared and durable.
+    works row by row, so nothing is shuffled. Lineage names the file and the time of the run, fixed once,
+    so that all micro-batches of a run are one batch, which can be selected again. ``progress`` remembers what was read and must be shared and durable.
     Together with the file sink's own log it makes a repeated batch land once; read the table through
     Spark, which honours that log.
     """
@@ -39,7 +41,7 @@ def land_new_files(
         .load(folder)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("_source_file"))
     )
-    landed = add_lineage(land(texts), F.col("_source_file"), F.current_timestamp())
+    landed = add_lineage(land(texts), F.col("_source_file"), F.lit(ingested_at or datetime.now(timezone.utc)))
     return (
         (landed.select(*columns) if columns else landed)
         .writeStream.format("parquet")

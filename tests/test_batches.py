@@ -1,6 +1,5 @@
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import batches as B
@@ -42,11 +41,3 @@ def test_keep_known_never_fans_out(spark):
     df = spark.createDataFrame([("EUR", "USD"), ("EUR", "XAU"), ("BTC", "USD"), (None, "USD"), ("USD", "USD")], "base string, quote string")
     assert rows(B.keep_known(df, ref, {"base": "short_code", "quote": "short_code"})) == [("EUR", "USD"), ("USD", "USD")]
     assert B.keep_known(df, ref.filter("false"), {"base": "short_code"}).count() == 0
-
-
-def test_pair_plan(spark):
-    ref = spark.createDataFrame([("USD",), ("EUR",), ("EUR",), (None,), ("JPY",)], "c string")
-    assert rows(B.pair_plan(ref, "c")) == [("EUR", "JPY,USD"), ("JPY", "EUR,USD"), ("USD", "EUR,JPY")]
-    with pytest.raises(Exception, match="more than 2 codes"):
-        B.pair_plan(ref, "c", max_codes=2).collect()
-    assert "CartesianProduct" not in B.pair_plan(ref, "c")._jdf.queryExecution().executedPlan().toString()

@@ -22,11 +22,13 @@ def currencies(spark, *changes):
 
 
 def test_dimension_recipe(spark):
-    landed = currencies(spark, {}, {"id": 0, "precision": 4, "symbol_first": None, "symbol": " "}, {"code": "1234", "thousands_separator": " "},
+    landed = currencies(spark, {}, {"id": 0, "precision": 4, "symbol_first": None, "symbol": " "}, {"code": "123", "thousands_separator": " "},
+                        {"code": "1234"},
                         {"id": None, "short_code": "EURO", "decimal_mark": ",,", "thousands_separator": ".."})
     valid, rejected = P.silver_dimension(landed, fx.CURRENCIES_RULES, ["code"])
     assert rows(valid.select("name", "code", "thousands_separator")) == [("Euro", "008", "."), ("Euro", "123", None)]
     assert rows(rejected.select(VAL.ERRORS)) == sorted([
+        ("code must be 3 characters long",),
         ("id below min 1; precision above max 3; symbol_first is required; symbol is required",),
         ("id is required; short_code must be 3 characters long; decimal_mark must be 1 characters long; "
          "thousands_separator must be 1 characters long",)], key=str)
@@ -78,14 +80,6 @@ def test_read_optional(spark, tmp_path):
         SRC.read_layer(spark, str(tmp_path / "absent"))
 
 
-def test_inventory(spark, tmp_path):
-    (tmp_path / "empty").mkdir()
-    K.write_layer(spark.range(10).withColumn("p", F.col("id") % 2), str(tmp_path / "full"), partition_by=["p"])
-    paths = {n: str(tmp_path / n) for n in ("full", "empty", "absent")}
-    got = {r.layer: (r.file_count, r.last_modified is not None) for r in SRC.layer_inventory(spark, paths).collect()}
-    assert got == {"full": (2, True), "empty": (0, False), "absent": (0, False)}
-
-
 def test_registered_and_staged_tables(spark, tmp_path):
     df = L.add_lineage(currencies(spark, {}), "api", "2024-01-01 00:00:00")
     path = SRC.layer_path(str(tmp_path) + "/", "bronze", "currencies")
@@ -139,3 +133,16 @@ def test_jdbc_load_keeps_the_definition():
     K.load_stage(Frame, "public.rates_stage", "jdbc:postgresql://db/x", {"user": "u"})
     assert Frame.write.asked == {"mode": "overwrite", "truncate": "true", "batchsize": 10_000,
                                  "url": "jdbc:postgresql://db/x", "table": "public.rates_stage", "properties": {"user": "u"}}
+
+
+def test_a_rerun_without_rejects_empties_its_batches(spark, tmp_path):
+    valid, bad = str(tmp_path / "valid"), str(tmp_path / "bad")
+
+    def run(*found):
+        annotated = spark.createDataFrame(found, f"n int, _batch_id string, {VAL.ERRORS} string")
+        K.write_split(annotated, valid, bad)
+        return rows(spark.read.parquet(bad).select("n", "_batch_id"))
+
+    assert run((1, "b 1", "wrong"), (2, "b 2", "wrong")) == [(1, "b 1"), (2, "b 2")]
+    assert run((1, "b 1", ""), (3, "b 3", "wrong")) == [(2, "b 2"), (3, "b 3")]
+    assert run((2, "b 2", ""), (3, "b 3", "")) == []

@@ -16,59 +16,59 @@ def errors(spark, name, kind, values, rules, **options):
 
 
 @pytest.mark.parametrize("name, kind, rules, values, want", [
-    ("name", "string", {"required": True}, [None, "valid"], ["name is required", ""]),
-    ("name", "string", {"required": False, "length": 2}, [None], [""]),
-    ("age", "int", {"min": 18}, [17, 18, 25, None], ["age below min 18", "", "", ""]),
-    ("age", "int", {"min": 0}, [-1, 0], ["age below min 0", ""]),
-    ("age", "int", {"max": 100}, [101, 100], ["age above max 100", ""]),
-    ("code", "string", {"length": 3}, ["EU", "EUR", "EURO", "€€€"],
-     ["code must be 3 characters long", "", "code must be 3 characters long", ""]),
-    ("code", "string", {"length": 0, "required": True}, ["EU"], [""]),
-    ("age", "int", {"min": 0, "max": 150}, [-1, 200, 50], ["age below min 0", "age above max 150", ""]),
-    ("d", "timestamp", {"min_date": "2020-01-01"}, [datetime(2019, 1, 1), datetime(2020, 1, 1), None],
-     ['d must be later than "2020-01-01"', "", ""]),
-    ("d", "timestamp_ntz", {"min_date": "2020-01-01"}, [datetime(2019, 12, 31, 23, 59, 59), datetime(2020, 1, 1)],
-     ['d must be later than "2020-01-01"', ""]),
-    ("rate", "double", {"max_rate_value": 1000}, [1001.0, 1000.0], ["rate must be less than 1000", ""]),
-    ("rate", "double", {"min_rate_value": 0}, [-1.0, 0.0], ["rate must be more than 0", ""]),
+    ("title", "string", {"required": True}, ["Dune", None], ["", "title is required"]),
+    ("title", "string", {"required": False, "length": 4}, [None, "Emma"], ["", ""]),
+    ("pages", "int", {"min": 40}, [None, 41, 40, 39], ["", "", "", "pages below min 40"]),
+    ("floor", "int", {"min": -3}, [-4, -3], ["floor below min -3", ""]),
+    ("floor", "int", {"max": 12}, [12, 13], ["", "floor above max 12"]),
+    ("isbn", "string", {"length": 5}, ["1234", "12345", "ÄÖÜßé", "123456"],
+     ["isbn must be 5 characters long", "", "", "isbn must be 5 characters long"]),
+    ("isbn", "string", {"length": 0, "required": True}, ["any length"], [""]),
+    ("floor", "int", {"min": -3, "max": 12}, [7, 90, -8], ["", "floor above max 12", "floor below min -3"]),
+    ("printed", "timestamp", {"min_date": "1987-06-05"}, [datetime(1987, 6, 5), None, datetime(1987, 6, 4, 23)],
+     ["", "", 'printed must be later than "1987-06-05"']),
+    ("printed", "timestamp_ntz", {"min_date": "1987-06-05"}, [datetime(1987, 6, 5), datetime(1987, 6, 4, 23, 59, 59)],
+     ["", 'printed must be later than "1987-06-05"']),
+    ("price", "double", {"max_rate_value": 75}, [75.0, 75.5], ["", "price must be less than 75"]),
+    ("price", "double", {"min_rate_value": 2}, [1.5, 2.0], ["price must be more than 2", ""]),
     ("rate", "decimal(20,10)", fx.RATES_RULES["rate"],
-     [Decimal("0.0000009999"), Decimal("0.000001"), Decimal("100000000"), Decimal("100000000.0000000001"), None],
-     ["rate must be more than 1e-06", "", "", "rate must be less than 100000000", "rate is required"]),
-    ("n", "int", {"min": 10, "max": 5, "max_rate_value": 6}, [7],
-     ["n below min 10, n above max 5, n must be less than 6"]),
+     [Decimal("100000000.0000000001"), Decimal("0.0000009999"), None, Decimal("100000000"), Decimal("0.000001")],
+     ["rate must be less than 100000000", "rate must be more than 1e-06", "rate is required", "", ""]),
+    ("n", "int", {"min": 30, "max": 20, "max_rate_value": 22}, [25],
+     ["n below min 30, n above max 20, n must be less than 22"]),
 ])
 def test_messages(spark, name, kind, rules, values, want):
     assert errors(spark, name, kind, values, rules) == want
 
 
 def test_no_active_rule():
-    assert R.violations("name", {}) == []
-    assert R.error_column("name", {"type": "string", "required": False, "format": "x"}) is None
+    assert R.violations("title", {}) == []
+    assert R.error_column("title", {"type": "string", "required": False, "format": "x"}) is None
 
 
 def test_format_is_opt_in(spark):
     rule = {"format": "[.,]"}
-    df = spark.createDataFrame([(".",), ("..",), (None,)], "m string")
-    assert [r[0] for r in df.select(R.error_column("m", rule, check_format=True)).collect()] == ["", "m does not match [.,]", ""]
+    df = spark.createDataFrame([(".",), ("..",), (None,), (".\n",)], "m string")
+    assert [r[0] for r in df.select(R.error_column("m", rule, check_format=True)).collect()] == ["", "m does not match [.,]", "", "m does not match [.,]"]
 
 
 def test_unknown_rule_raises():
     with pytest.raises(ValueError, match="lenght"):
-        R.violations("code", {"lenght": 3})
+        R.violations("isbn", {"lenght": 5})
 
 
-def test_validate_accumulates_without_stray_separators(spark):
-    df = spark.createDataFrame([("X", 5), ("EUR", 25), ("X", 25)], "code string, age int")
-    once = VAL.validate(df, {"code": {"length": 3}})
-    twice = VAL.validate(once, {"age": {"min": 18}}, ["age", "nonexistent"])
-    assert [r[VAL.ERRORS] for r in twice.collect()] == [
-        "code must be 3 characters long; age below min 18", "", "code must be 3 characters long"]
+def test_errors_of_later_calls_are_added(spark):
+    df = spark.createDataFrame([("99", 3), ("12345", 300), ("99", 300)], "isbn string, pages int")
+    first = VAL.validate(df, {"isbn": {"length": 5}})
+    second = VAL.validate(first, {"pages": {"min": 40}}, ["pages", "shelf"])
+    assert [r[VAL.ERRORS] for r in second.collect()] == [
+        "isbn must be 5 characters long; pages below min 40", "", "isbn must be 5 characters long"]
 
 
-def test_validate_always_adds_the_column(spark):
-    df = spark.createDataFrame([(5,)], "age int")
-    assert VAL.validate(df, {"other": {"min": 1}}).first()[VAL.ERRORS] == ""
-    assert VAL.validate(df.filter("false"), {"age": {"min": 1}}).columns == ["age", VAL.ERRORS]
+def test_errors_column_is_there_without_rules_or_rows(spark):
+    df = spark.createDataFrame([(300,)], "pages int")
+    assert VAL.validate(df, {"shelf": {"min": 1}}).first()[VAL.ERRORS] == ""
+    assert VAL.validate(df.filter("false"), {"pages": {"min": 40}}).columns == ["pages", VAL.ERRORS]
 
 
 def test_split_is_disjoint_and_complete(spark):

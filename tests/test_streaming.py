@@ -24,3 +24,12 @@ def test_each_file_lands_once(spark, tmp_path):
     both, df = run()
     assert both == [*first, ("GBP", "JPY"), ("GBP", "USD")]
     assert rows(B.latest_batch(df).select("curr_base").distinct()) == [("GBP",)]
+
+
+def test_all_micro_batches_of_a_run_are_one_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.json").write_text('{"response": {"date": "2026-05-11T11:29:37Z", "base": "B%d", "rates": {"USD": 1.5}}}\n' % i)
+    land_new_files(spark, str(tmp_path / "in"), str(tmp_path / "bronze"), str(tmp_path / "progress"),
+                   lambda df: L.land_map_payload(df, "payload"), fx.RATES_LANDED, files_per_batch=2).awaitTermination()
+    assert B.latest_batch(spark.read.parquet(str(tmp_path / "bronze"))).count() == 5
