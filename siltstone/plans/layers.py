@@ -108,7 +108,7 @@ def load_star(
             K.write_layer(fresh, path, "overwrite", ["day"], unique)
         else:
             K.upsert_partitions(spark, path, fresh, unique, "day", strict=False)
-        return spark.read.parquet(path).drop("day")
+        return spark.read.schema(fresh.schema).parquet(path).drop("day")
 
     old_dates, old_fact = find_layer(spark, dim_path), find_layer(spark, fact_path)
     before = None if old_dates is None else old_dates.drop("day")

@@ -62,17 +62,20 @@ def write_quarantine(rejected: DataFrame, path: str, batch_col: str = "_batch_id
 
 def _clear_batches(staged: DataFrame, path: str, batch_col: str, fmt: str) -> None:
     """Empty the quarantine of batches that were seen and rejected nothing. The list has one value per batch of the run."""
-    spark, batch = staged.sparkSession, column(batch_col)
+    batch = column(batch_col)
     clean = staged.groupBy(batch.alias("batch")).agg(F.bool_or("_rejected").alias("rejected")).filter("NOT rejected").select("batch")
-    if find_layer(spark, path, fmt) is None:
-        return
+    if find_layer(staged.sparkSession, path, fmt) is not None:
+        _empty_partitions(staged.drop("_rejected"), path, batch_col, [r["batch"] for r in clean.collect()], fmt)
+
+
+def _empty_partitions(like: DataFrame, path: str, name: str, values: Iterable[Any], fmt: str = "parquet") -> None:
+    """Replace stored partitions by none of their rows, which a dynamic overwrite without rows leaves as they are."""
+    spark = like.sparkSession
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-    nothing = staged.filter("false").drop("_rejected", batch_col)
-    for row in clean.collect():
-        value = None if row["batch"] is None else str(row["batch"])
-        part = f"{path.rstrip('/')}/{escape(batch_col, value)}"
+    for value in values:
+        part = f"{path.rstrip('/')}/{escape(name, None if value is None else str(value))}"
         if find_layer(spark, part, fmt) is not None:
-            nothing.write.format(fmt).mode("overwrite").save(part)
+            like.filter("false").drop(name).write.format(fmt).mode("overwrite").save(part)
 
 
 def write_split(
@@ -154,12 +157,15 @@ def save_snapshot(
     """
     keys = [key] if isinstance(key, str) else list(key)
     stored = _stored_history(spark, path)
+    own = _closing_label(F.lit(as_of).cast("timestamp_ntz"))
     if stored is not None:
-        own = _closing_label(F.lit(as_of).cast("timestamp_ntz"))
         stored = stored.filter((F.col(_CLOSED) == _OPEN) | (F.col(_CLOSED) == own)).drop(_CLOSED)
     taken = scd2_snapshot(stored, source, keys, list(check_cols), as_of, **options)
     taken = stage(taken.withColumn(_CLOSED, F.coalesce(_closing_label(F.col(TO)), F.lit(_OPEN))), "snapshot")
     write_layer(taken, path, "overwrite", [_CLOSED], keys, replace_partitions=True)
+    read = spark.range(1).select(F.explode(F.array(F.lit(_OPEN), own)).alias("label"))
+    gone = read.join(taken.select(column(_CLOSED).alias("label")).distinct(), "label", "left_anti")
+    _empty_partitions(taken, path, _CLOSED, [r["label"] for r in gone.collect()])
     return _stored_history(spark, path).drop(_CLOSED)
 
 

@@ -33,11 +33,11 @@ def read_layer(
 def find_layer(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None, recursive: bool = False
 ) -> DataFrame | None:
-    """A layer table, or None if its path does not exist."""
+    """A layer table, or None if its path does not exist or holds no data file and no schema is given."""
     try:
         return read_layer(spark, path, fmt, schema, recursive)
     except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 

@@ -170,3 +170,15 @@ def test_dimension_and_surrogate(spark):
     fact = spark.createDataFrame([(1, "changed", T1), (2, "changed", T2), (3, "changed", datetime(2023, 1, 1)), (4, None, T2)], "n int, code string, ts timestamp_ntz")
     keyed = {r.n: r.dim_sk for r in H.resolve_surrogate(fact, history, {"code": "k"}, "ts").collect()}
     assert keyed[1] and keyed[2] and keyed[1] != keyed[2] and keyed[3] is None and keyed[4] is None
+
+
+def test_stored_snapshot_of_an_empty_source_closes_all(spark, tmp_path):
+    def take(data, at):
+        return save_snapshot(spark, str(tmp_path / "history"), spark.createDataFrame(data, SCHEMA), "k", ["a", "b"], at,
+                             time_type=TimestampNTZType(), hard_deletes="invalidate")
+
+    first = spark.createDataFrame([], SCHEMA).schema
+    some = [tuple(f"v{i}" if f.dataType.typeName() == "string" else i for f in first) for i in (1, 2)]
+    assert take(some, "2024-01-01 00:00:00").count() == 2
+    done = take([], "2024-01-02 00:00:00")
+    assert done.count() == 2 and done.filter(F.col(H.TO).isNull()).count() == 0

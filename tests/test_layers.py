@@ -146,3 +146,12 @@ def test_a_rerun_without_rejects_empties_its_batches(spark, tmp_path):
     assert run((1, "b 1", "wrong"), (2, "b 2", "wrong")) == [(1, "b 1"), (2, "b 2")]
     assert run((1, "b 1", ""), (3, "b 3", "wrong")) == [(2, "b 2"), (3, "b 3")]
     assert run((2, "b 2", ""), (3, "b 3", "")) == []
+
+
+def test_first_load_of_an_empty_batch(spark, tmp_path):
+    staged = spark.createDataFrame([], "ts timestamp_ntz, k string, v double")
+    dim, fact = str(tmp_path / "dim"), str(tmp_path / "fact")
+    star = P.load_star(spark, staged, dim, fact, "ts", ["k"], ["v"])
+    assert (star.dim_date.count(), star.fact.count()) == (0, 0)
+    one = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 10:00:00' AS ts, 'a' AS k, 1D AS v")
+    assert P.load_star(spark, one, dim, fact, "ts", ["k"], ["v"]).fact.count() == 1
