@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,24 @@ from siltstone.operators.batches import dedupe_by_key
 
 
 def incremental_filter(
-    df: DataFrame, ts: str, target: DataFrame | None, target_ts: str, full_refresh: bool = False
+    df: DataFrame,
+    ts: str,
+    target: DataFrame | None,
+    target_ts: str,
+    full_refresh: bool = False,
+    lookback: timedelta = timedelta(0),
 ) -> DataFrame:
-    """Rows later than the target's high-water mark.
+    """Rows later than the target's high-water mark less ``lookback``.
 
     All rows when there is no target, on a full refresh, and when the target is empty (a comparison
-    with a NULL mark would keep nothing, for good). Rows at or before the mark are never revisited.
+    with a NULL mark would keep nothing, for good). Without a ``lookback``, rows at or before the mark
+    are never revisited; with one, rows that arrive up to that much late are loaded, and the upsert
+    replaces what it meets again. ``df`` must then still hold the rows loaded within that time.
     """
     if target is None or full_refresh:
         return df
     mark = max_literal(target, target_ts)
-    return df if mark is None else df.filter(column(ts) > mark)
+    return df if mark is None else df.filter(column(ts) > mark - F.lit(lookback))
 
 
 def upsert_delete_insert(
@@ -55,17 +63,27 @@ def date_dimension(df: DataFrame, ts: str, grain: str = "minute") -> DataFrame:
 
 
 def fresh_dates(
-    source: DataFrame, ts: str, target: DataFrame | None, grain: str = "minute", full_refresh: bool = False
+    source: DataFrame,
+    ts: str,
+    target: DataFrame | None,
+    grain: str = "minute",
+    full_refresh: bool = False,
+    lookback: timedelta = timedelta(0),
 ) -> DataFrame:
-    """The dates a load adds: those of the source rows above the dimension's high-water mark."""
-    return date_dimension(incremental_filter(source, ts, target, "date", full_refresh), ts, grain)
+    """The dates a load adds: those of the source rows above the dimension's high-water mark less ``lookback``."""
+    return date_dimension(incremental_filter(source, ts, target, "date", full_refresh, lookback), ts, grain)
 
 
 def incremental_date_dimension(
-    source: DataFrame, ts: str, target: DataFrame | None, grain: str = "minute", full_refresh: bool = False
+    source: DataFrame,
+    ts: str,
+    target: DataFrame | None,
+    grain: str = "minute",
+    full_refresh: bool = False,
+    lookback: timedelta = timedelta(0),
 ) -> DataFrame:
     """The date dimension after a load."""
-    fresh = fresh_dates(source, ts, target, grain, full_refresh)
+    fresh = fresh_dates(source, ts, target, grain, full_refresh, lookback)
     return upsert_delete_insert(None if full_refresh else target, fresh, ["date_key"], strict=False)
 
 
@@ -111,15 +129,18 @@ def fresh_facts(
     grain: str = "minute",
     full_refresh: bool = False,
     strict: bool = True,
+    lookback: timedelta = timedelta(0),
 ) -> DataFrame:
     """The facts (date_key, keys…, measures…) a load adds: those of the source rows above the cutoff.
 
-    Two source rows of one key in one minute give one fact row, the later; ``strict=False`` keeps
-    both. Above the cutoff only dates from the cutoff on can match, so the dimension is cut to them.
+    The cutoff is lowered by ``lookback`` (see ``incremental_filter``). Two source rows of one key in one
+    minute give one fact row, the later; ``strict=False`` keeps both. Above the cutoff only dates from the
+    cutoff on can match, so the dimension is cut to them.
     """
     known = target is not None and not full_refresh
     mark = max_literal(fact_cutoff(target, dates), "cutoff") if known else None
     if mark is not None:
+        mark = mark - F.lit(lookback)
         source = source.filter(column(ts) > mark)
         dates = dates.filter(F.col("date") >= F.date_trunc(grain, mark).cast(dates.schema["date"].dataType))
     return fact_rows(source, dates, ts, keys, measures, grain, strict)
@@ -135,7 +156,8 @@ def incremental_fact(
     grain: str = "minute",
     full_refresh: bool = False,
     strict: bool = True,
+    lookback: timedelta = timedelta(0),
 ) -> DataFrame:
     """The fact after a load (see ``fresh_facts``)."""
-    fresh = fresh_facts(source, dates, target, ts, keys, measures, grain, full_refresh, strict)
+    fresh = fresh_facts(source, dates, target, ts, keys, measures, grain, full_refresh, strict, lookback)
     return upsert_delete_insert(None if full_refresh else target, fresh, ["date_key", *keys], strict=False)

@@ -7,6 +7,7 @@ attributes, ``customer`` for a dimension that changes, ``orders`` and ``lineitem
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -357,6 +358,14 @@ def fact_incremental(spark, folder):
     return _star(rates, _stored(_star(_loaded_before(rates)))).fact
 
 
+@query
+def fact_late_rows(spark, folder):
+    """The second load looks back as far as rows were late, and so ends with every fact."""
+    rates = _staged_rates(spark, folder)
+    span = rates.agg(F.max("rate_date") - F.min("rate_date")).first()[0] or timedelta(0)
+    return _star(rates, _stored(_star(_loaded_before(rates))), lookback=span + timedelta(minutes=1)).fact
+
+
 @query
 def fact_full_refresh(spark, folder):
     """A refresh forgets what earlier runs loaded."""

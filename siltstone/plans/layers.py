@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +75,16 @@ def build_star(
     grain: str = "minute",
     full_refresh: bool = False,
     strict: bool = True,
+    lookback: timedelta = timedelta(0),
 ) -> Star:
-    """Dates first, then the fact that looks them up; on top of ``previous`` unless refreshed in full."""
+    """Dates first, then the fact that looks them up; on top of ``previous`` unless refreshed in full.
+
+    Rows up to ``lookback`` late are loaded too (see ``incremental_filter``).
+    """
     old_dates, old_fact = (previous.dim_date, previous.fact) if previous is not None else (None, None)
-    dates = I.incremental_date_dimension(staged, ts, old_dates, grain, full_refresh)
+    dates = I.incremental_date_dimension(staged, ts, old_dates, grain, full_refresh, lookback)
     fact = I.incremental_fact(
-        staged, dates, old_fact, ts, list(keys), list(measures), grain, full_refresh, strict
+        staged, dates, old_fact, ts, list(keys), list(measures), grain, full_refresh, strict, lookback
     )
     return Star(dates, fact)
 
@@ -94,11 +99,12 @@ def load_star(
     measures: Sequence[str],
     grain: str = "minute",
     full_refresh: bool = False,
+    lookback: timedelta = timedelta(0),
 ) -> Star:
     """Bring the stored star up to date; both tables are kept by day.
 
     A load writes the days its rows fall on and reads no others, apart from the high-water marks.
-    Read time and disk use follow the batch, not the table.
+    Read time and disk use follow the batch and ``lookback`` (see ``incremental_filter``), not the table.
     """
     day = F.floor(F.col("date_key") / F.lit({"minute": 10_000, "hour": 100, "day": 1}[grain])).cast("int")
 
@@ -112,7 +118,7 @@ def load_star(
 
     old_dates, old_fact = find_layer(spark, dim_path), find_layer(spark, fact_path)
     before = None if old_dates is None else old_dates.drop("day")
-    dates = put(dim_path, old_dates, I.fresh_dates(staged, ts, before, grain, full_refresh), ["date_key"])
+    dates = put(dim_path, old_dates, I.fresh_dates(staged, ts, before, grain, full_refresh, lookback), ["date_key"])
     before = None if old_fact is None else old_fact.drop("day")
-    fresh = I.fresh_facts(staged, dates, before, ts, list(keys), list(measures), grain, full_refresh)
+    fresh = I.fresh_facts(staged, dates, before, ts, list(keys), list(measures), grain, full_refresh, lookback=lookback)
     return Star(dates, put(fact_path, old_fact, fresh, ["date_key", *keys]))

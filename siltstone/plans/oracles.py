@@ -158,6 +158,7 @@ WITH {_RATES}, {_SEEN}
 SELECT DISTINCT {_KEY.format('minute')} AS date_key, minute AS date FROM (
   SELECT minute FROM seen UNION ALL SELECT minute FROM rates WHERE rate_date > {_MARK})"""
 ORACLES["fact_full"] = f"WITH {_RATES} {_facts('rates')}"
+ORACLES["fact_late_rows"] = ORACLES["fact_full"]
 ORACLES["fact_full_every_row"] = f"WITH {_RATES} SELECT {_KEY.format('minute')} AS date_key, curr_base, currency, rate FROM rates"
 ORACLES["fact_incremental"] = f"""
 WITH {_RATES}, {_SEEN}, before AS ({_facts('seen')}), fresh AS ({_facts('rates', 'rate_date > ' + _MARK)})
@@ -339,7 +340,7 @@ QUALIFY row_number() OVER (
 # Decimals leave every query as doubles.
 _DECIMAL_COLUMNS = {
     "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
-    "fact_full": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
+    "fact_full": ("rate",), "fact_late_rows": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
     "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),
 }

@@ -110,6 +110,17 @@ def write_split(
     return {**found, "n_valid": found["n_input"] - found["n_rejected"]}
 
 
+def touched_partitions(target: DataFrame, new: DataFrame, partition_col: str) -> DataFrame:
+    """Rows of ``target`` in the partitions that ``new`` has rows in; only those are read.
+
+    A scalar subquery gathers the touched values, of which there are no more than partitions to be written.
+    """
+    part = column(partition_col)
+    touched = new.agg(F.collect_set(part)).scalar()
+    no_value = new.agg(F.bool_or(part.isNull())).scalar()
+    return target.filter(F.when(part.isNull(), no_value).otherwise(F.array_contains(touched, part)))
+
+
 def upsert_partitions(
     spark: SparkSession,
     path: str,
@@ -122,17 +133,13 @@ def upsert_partitions(
     """Delete-and-insert ``new`` into a partitioned Parquet table, rewriting only partitions it touches.
 
     ``partition_col`` must follow from the key (a day from a date key), so that a key cannot sit in
-    another partition. The range of ``new`` prunes the target's partitions before anything is read;
-    the merged rows are staged, then swapped in. The table is never read and overwritten in one plan.
+    another partition. The merged rows are staged, then swapped in. The table is never read and
+    overwritten in one plan.
     """
     new = stage(new, "upsert-new")
-    part = column(partition_col)
     # Partition values read back from folder names take the type the new rows give them.
-    target = spark.read.parquet(path).withColumn(partition_col, part.cast(new.schema[partition_col].dataType))
-    lowest, highest = new.agg(F.min(part)).scalar(), new.agg(F.max(part)).scalar()
-    touched = new.select(part.alias("_touched")).distinct()
-    near = target.filter(((part >= lowest) & (part <= highest)) | part.isNull())
-    affected = near.join(touched, part.eqNullSafe(F.col("_touched")), "left_semi")
+    target = spark.read.parquet(path).withColumn(partition_col, column(partition_col).cast(new.schema[partition_col].dataType))
+    affected = touched_partitions(target, new, partition_col)
     merged = upsert_delete_insert(affected, new, list(keys), strict, order_by)
     write_layer(stage(merged, "upsert-merged"), path, "overwrite", [partition_col], list(keys), replace_partitions=True)
 

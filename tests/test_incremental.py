@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -130,3 +130,49 @@ def test_star_roles_and_preview(spark):
     both = S.star_join(star.fact, S.Role(names, "base", "code", {"base_name": "name"}), S.Role(names, "quote", "code", {"quote_name": "name"}))
     assert rows(both.select("base_name", "quote_name", "rate")) == [("Dollar", "Euro", 2.0), ("Euro", "Dollar", 1.0)]
     assert [r.rate for r in S.preview(star.fact, 1).collect()] == [1.0]
+
+
+def partitions_read(spark, df):
+    """Of the one file scan in a frame's plan, once it has run."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        leaves = plan.collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if leaves.apply(i).nodeName().startswith("Scan parquet")]
+        return [s.metrics().apply("numPartitions").value() for s in scans]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_upsert_reads_only_the_partitions_it_rewrites(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    table = spark.range(300).select("id", (F.col("id") % 30).cast("int").alias("day"), F.lit(0).alias("v"))
+    table = table.unionByName(spark.range(300, 302).select("id", F.lit(None).cast("int").alias("day"), F.lit(0).alias("v")))
+    K.write_layer(table, path, partition_by=["day"])
+    new = table.filter("id IN (0, 29)").withColumn("v", F.lit(1))
+    stored = spark.read.parquet(path)
+    touched = K.touched_partitions(stored, new, "day")
+    assert partitions_read(spark, touched) == [2] and touched.count() == 20
+    with_null = K.touched_partitions(stored, new.unionByName(table.filter("id = 300")), "day")
+    assert partitions_read(spark, with_null) == [3] and with_null.count() == 22
+    assert K.touched_partitions(stored, new.filter("false"), "day").count() == 0
+    K.upsert_partitions(spark, path, new, ["id"], "day")
+    assert rows(spark.read.parquet(path).filter("v = 1").select("id", "day")) == [(0, 0), (29, 29)]
+    assert spark.read.parquet(path).count() == 302
+
+
+def test_lookback_loads_late_rows(spark, tmp_path):
+    first = [("E", "U", 1.0, at(1)), ("E", "J", 2.0, at(30))]
+    late = [("E", "X", 3.0, at(25)), ("E", "Y", 4.0, at(2)), ("E", "J", 5.0, at(30, 10))]
+    star = build(rates(spark, *first))
+    again = rates(spark, *first, *late)
+    got = build(again, star, lookback=timedelta(minutes=10))
+    assert rows(got.fact) == [(key(1), "E", "U", 1.0), (key(25), "E", "X", 3.0), (key(30), "E", "J", 5.0)]
+    assert rows(got.dim_date) == [(key(1), at(1)), (key(25), at(25)), (key(30), at(30))]
+    whole = build(again, star, lookback=timedelta(hours=1))
+    assert rows(whole.fact) == rows(build(again).fact) and rows(whole.dim_date) == rows(build(again).dim_date)
+    paths = str(tmp_path / "dim"), str(tmp_path / "fact")
+    for batch in (rates(spark, *first), again):
+        stored = P.load_star(spark, batch, *paths, "at", ["base", "quote"], ["rate"], lookback=timedelta(hours=1))
+    assert rows(stored.fact) == rows(whole.fact)
