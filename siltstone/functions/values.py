@@ -29,6 +29,21 @@ def parse_time(text: Column, ntz: bool = False) -> Column:
     return parsed(text, fmt)
 
 
+def try_parse_time(text: Column, ntz: bool = False) -> Column:
+    """Like ``parse_time``, with NULL for text that is no such time."""
+    moment = F.try_to_timestamp(text, F.lit(PAYLOAD_TIME_FORMAT))
+    if not ntz:
+        return moment
+    # From the moment's seconds: its wall clock in the session's zone may stand for two moments.
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(moment).cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+
+
+def try_exact_decimal(value: Column, decimal_type: str = RATE_TYPE) -> Column:
+    """Like ``exact_decimal``, with NULL for text that is no such number."""
+    return value.cast("string").try_cast(decimal_type)
+
+
 def exact_decimal(value: Column, decimal_type: str = RATE_TYPE) -> Column:
     """The number as written, not its binary approximation; too many integer digits raise."""
     return value.cast("string").cast(decimal_type)

@@ -85,28 +85,54 @@ def land_map_payload(
     value_type: str = V.RATE_TYPE,
     ntz: bool = False,
 ) -> DataFrame:
-    """Rows (base, key, value, time) from ``{"response": {"date", "base", "rates": {code: number}}}``.
+    """Rows (base, key, value, time, ``_corrupt``) from ``{"response": {"date", "base", "rates": {code: number}}}``.
 
     A payload whose ``rates`` arrives as an empty list instead of a map yields no row, a missing
     date stays NULL. Numbers become decimals by way of their shortest text, so 1.08 is 1.0800000000.
+
+    Nothing unreadable is lost, and nothing unreadable stops a run. A payload that is no such document
+    becomes one row whose ``_corrupt`` holds its text. A number or date that is none becomes NULL, and
+    ``_corrupt`` holds what stood there, as ``rate: n/a``. See ``split_corrupt``.
     """
     rates = MapType(StringType(), StringType())
     body = StructType(
         [StructField("date", StringType()), StructField("base", StringType()), StructField("rates", rates)]
     )
+    envelope = StructType([StructField("response", body), StructField(CORRUPT, StringType())])
     kept = [c for c in df.columns if c != payload]
-    parsed = df.select(
+    text = column(payload)
+    read = df.select(
         *[column(c) for c in kept],
-        F.from_json(column(payload), StructType([StructField("response", body)]))["response"].alias("_body"),
+        F.from_json(text, envelope, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_read"),
+        text.alias("_text"),
     )
-    flat = parsed.select(
-        *[column(c) for c in kept],
-        F.col("_body.base").alias(base),
-        F.col("_body.rates").alias("_rates"),
-        V.parse_time(F.col("_body.date"), ntz).alias(time),
+    # An empty list is no map, but a whole document all the same; only texts that failed are looked at again.
+    whole = F.get_json_object("_text", "$").isNotNull()
+    no_rates = whole & (F.coalesce(F.get_json_object("_text", "$.response.rates"), F.lit("")) == "[]")
+    failed = F.col("_read")[CORRUPT].isNotNull()
+    broken = F.when(failed, F.when(no_rates, None).otherwise(F.col("_text")))
+    body_of = lambda name: F.when(~failed, F.col("_read")["response"][name])
+    flat = read.select(
+        *[column(c) for c in kept], body_of("base").alias(base), body_of("date").alias("_date"), broken.alias("_broken"),
+        F.when(broken.isNotNull(), F.create_map(F.lit(""), F.lit(None).cast("string"))).otherwise(body_of("rates")).alias("_rates"),
+    )
+    # The outer form for the reason given in ``explode_map``.
+    entries = flat.select(
+        *[column(c) for c in [*kept, base]], "_date", "_broken", F.explode_outer("_rates").alias("_key", "_value")
+    ).filter(F.col("_key").isNotNull())
+    number, moment = V.try_exact_decimal(F.col("_value"), value_type), V.try_parse_time(F.col("_date"), ntz)
+    unread = lambda name, raw, made: F.when(raw.isNotNull() & made.isNull(), F.concat(F.lit(f"{name}: "), raw))
+    wrong = F.concat_ws(", ", unread(value, F.col("_value"), number), unread(time, F.col("_date"), moment))
+    return entries.select(
+        *[column(c) for c in [*kept, base]], F.when(F.col("_broken").isNull(), F.col("_key")).alias(key), number.alias(value),
+        moment.alias(time), F.coalesce("_broken", F.when(wrong != "", wrong)).alias(CORRUPT),
     )
-    landed = explode_map(flat, "_rates", key, value, value_type)
-    return landed.select(*[column(c) for c in kept], column(base), column(key), column(value), column(time))
+
+
+def split_corrupt(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows read in full, without ``_corrupt``; rows something of which could not be read, with it)."""
+    bad = column(CORRUPT).isNotNull()
+    return landed.filter(~bad).drop(CORRUPT), landed.filter(bad)
 
 
 def add_lineage(df: DataFrame, source: str | Column, ingested_at: datetime | str | Column) -> DataFrame:

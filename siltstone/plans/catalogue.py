@@ -216,7 +216,22 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def payload_empty_guard(spark, folder):
-    return L.land_map_payload(_payloads(spark, folder), "payload", ntz=True)
+    return L.split_corrupt(L.land_map_payload(_payloads(spark, folder), "payload", ntz=True))[0]
+
+
+@query
+def payload_corrupt(spark, folder):
+    """Payloads cut short, without a map, and with a number or a date that is none: every one leaves a row."""
+    events = table(spark, folder, "events")
+    kind = F.col("event_type")
+    rates = (
+        F.when(kind == "error", F.lit('"oops"')).when(kind == "signup", F.lit('{"k": "n/a"}')).when(kind == "view", F.lit("[]"))
+        .otherwise(F.col("props")))
+    date = F.when(kind == "click", F.lit("soon")).otherwise(F.date_format("ts", V.PAYLOAD_WALL_FORMAT))
+    end = F.when(kind == "purchase", F.lit("")).otherwise(F.lit("}}"))
+    text = F.concat(F.lit('{"response":{"date":"'), date, F.lit('","base":"'), kind, F.lit('","rates":'), rates, end)
+    landed = L.land_map_payload(events.select("event_id", text.alias("payload")), "payload", ntz=True)
+    return landed.withColumnRenamed(L.CORRUPT, "corrupt")
 
 
 @query

@@ -107,6 +107,15 @@ ORACLES["payload_empty_guard"] = """
 SELECT event_id, event_type AS curr_base, k AS currency,
   CAST(json_extract_string(props, '$.' || k) AS DECIMAL(20,10)) AS rate, date_trunc('second', ts) AS rate_date
 FROM (SELECT *, unnest(json_keys(props)) AS k FROM events WHERE event_type <> 'error')"""
+ORACLES["payload_corrupt"] = """
+SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN event_type END AS curr_base,
+  CASE WHEN event_type IN ('click', 'signup') THEN 'k' END AS currency,
+  CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS DECIMAL(20,10)) END AS rate,
+  CASE WHEN event_type = 'signup' THEN date_trunc('second', ts)::TIMESTAMP END AS rate_date,
+  CASE event_type WHEN 'click' THEN 'rate_date: soon' WHEN 'signup' THEN 'rate: n/a'
+    ELSE '{"response":{"date":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","base":"' || event_type || '","rates":'
+      || CASE event_type WHEN 'error' THEN '"oops"}}' ELSE props END END AS corrupt
+FROM events WHERE event_type <> 'view'"""
 ORACLES["payload_records"] = """
 SELECT o_orderkey, 'status' AS kind, o_orderstatus AS name FROM orders
 UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders"""
@@ -339,7 +348,7 @@ QUALIFY row_number() OVER (
 
 # Decimals leave every query as doubles.
 _DECIMAL_COLUMNS = {
-    "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
+    "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_corrupt": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
     "fact_full": ("rate",), "fact_late_rows": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
     "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),

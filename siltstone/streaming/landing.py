@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltstone.operators.landing import add_lineage
+from siltstone.operators.landing import CORRUPT, add_lineage
 
 
 def land_new_files(
@@ -26,6 +26,7 @@ def land_new_files(
     partition_by: Sequence[str] = (),
     files_per_batch: int = 1000,
     ingested_at: datetime | None = None,
+    whole_files: bool = False,
 ) -> StreamingQuery:
     """Append every payload file below ``folder`` not seen before to ``table``; ends when caught up.
 
@@ -34,17 +35,24 @@ def land_new_files(
     so that all micro-batches of a run are one batch, which can be selected again. ``progress`` remembers what was read and must be shared and durable.
     Together with the file sink's own log it makes a repeated batch land once; read the table through
     Spark, which honours that log.
+
+    A file holds a payload per line, or with ``whole_files`` one payload over all its lines. What ``land`` could
+    not read stays in ``_corrupt``, which is stored too whatever ``columns`` names, so a bad file neither
+    vanishes nor stops the stream.
     """
     texts = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("wholetext", whole_files)
         .load(folder)
         .select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("_source_file"))
     )
     landed = add_lineage(land(texts), F.col("_source_file"), F.lit(ingested_at or datetime.now(timezone.utc)))
+    if columns:
+        kept = [CORRUPT] if CORRUPT in landed.columns and CORRUPT not in columns else []
+        landed = landed.select(*columns, *kept)
     return (
-        (landed.select(*columns) if columns else landed)
-        .writeStream.format("parquet")
+        landed.writeStream.format("parquet")
         .partitionBy(*partition_by)
         .option("path", table)
         .option("checkpointLocation", progress)

@@ -19,7 +19,7 @@ def test_map_payload(spark):
     df = spark.createDataFrame([(payload(),), (payload(rates="[]"),), (payload(rates="{}"),), (payload(rates="null"),), (None,)], "p string")
     when = datetime(2026, 5, 11, 11, 29, 37)
     assert rows(L.land_map_payload(df, "p", ntz=True)) == [
-        ("EUR", "JPY", None, when), ("EUR", "USD", Decimal("1.2345678902"), when)]
+        ("EUR", "JPY", None, when, None), ("EUR", "USD", Decimal("1.2345678902"), when, None)]
     assert L.land_map_payload(df, "p").schema["rate"].dataType.simpleString() == "decimal(20,10)"
 
 
@@ -29,16 +29,45 @@ def test_map_payload_without_date_and_with_tiny_and_large_numbers(spark):
         ("A", Decimal("0.0000000001"), None), ("B", Decimal("0.0000001"), None), ("C", Decimal("9999999999.5"), None)]
 
 
-def test_too_many_integer_digits_raise(spark):
-    df = spark.createDataFrame([(payload(rates='{"A": 12345678901}'),)], "p string")
+def test_too_many_integer_digits_raise_or_are_reported(spark):
+    df = spark.createDataFrame([(payload(rates='{"A": 12345678901, "B": 2}'), {"A": "12345678901"})], "p string, m map<string,string>")
     with pytest.raises(PySparkException):
-        L.land_map_payload(df, "p").collect()
+        L.explode_map(df, "m", "k", "v").collect()
+    assert rows(L.land_map_payload(df, "p", ntz=True).select("currency", "rate", L.CORRUPT)) == [
+        ("A", None, "rate: 12345678901"), ("B", Decimal("2"), None)]
+
+
+def test_no_payload_is_lost(spark):
+    broken = [payload()[:-5], payload(rates='"oops"'), payload(rates="[1]"), payload(rates="[]")[:-1], "5", "no json"]
+    df = spark.createDataFrame(list(enumerate([*broken, payload(rates="[]"), payload(), payload(date='"soon"', rates='{"A": "n/a", "B": 1}')])), "n int, p string")
+    good, bad = L.split_corrupt(L.land_map_payload(df, "p", ntz=True))
+    assert good.columns == ["n", "curr_base", "currency", "rate", "rate_date"] and {r.n for r in good.collect()} == {7}
+    got = rows(bad)
+    assert got[: len(broken)] == [(i, None, None, None, None, text) for i, text in enumerate(broken)]
+    assert got[len(broken) :] == [
+        (8, "EUR", "A", None, None, "rate: n/a, rate_date: soon"), (8, "EUR", "B", Decimal("1"), None, "rate_date: soon")]
 
 
 def test_payloads_are_parsed_once(spark):
     df = spark.range(3).select(F.concat(F.lit(payload()), F.col("id").cast("string")).alias("p"))
-    plan = L.land_map_payload(df, "p")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_json") == 1
+    landed = L.land_map_payload(df, "p")
+    for frame in (landed, *L.split_corrupt(landed)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Europe/Berlin"])
+def test_payload_times_do_not_follow_the_session(spark, zone):
+    moments = ["2026-05-11T11:29:37Z", "2024-10-27T00:30:00Z", "2024-10-27T01:30:00Z", "2024-03-10T07:30:00Z", "1969-12-31T23:59:59Z"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(payload(date=f'"{m}"', rates='{"A": 1}'),) for m in moments], "p string")
+        walls = sorted(r.rate_date for r in L.land_map_payload(df, "p", ntz=True).collect())
+        seconds = sorted(r[0] for r in L.land_map_payload(df, "p").select(F.unix_seconds("rate_date")).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    wanted = sorted(datetime.strptime(m, "%Y-%m-%dT%H:%M:%SZ") for m in moments)
+    assert walls == wanted and seconds == [int((w - datetime(1970, 1, 1)).total_seconds()) for w in wanted]
 
 
 RECORDS = '{"response": [{"id": 1, "name": "Euro", "short_code": "EUR", "symbol_first": true}, {"id": 2, "name": null}]}'
