@@ -87,10 +87,8 @@ def error_column(
     name: str, rules: Mapping[str, Any], data_type: DataType | None = None, check_format: bool = False
 ) -> Column | None:
     """All messages of one column as one string, ``""`` when valid; None if no rule is active."""
-    found = violations(name, rules, data_type, check_format)
-    if not found:
-        return None
-    return F.concat_ws(WITHIN_COLUMN, *[F.when(v.when, v.message) for v in found])
+    found = error_or_null(name, rules, data_type, check_format)
+    return None if found is None else F.coalesce(found, F.lit(""))
 
 
 def error_or_null(

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.values import column
+from siltstone.functions.values import column, surrogate_key
+from siltstone.operators.history import FROM, TO, asof_dim_join
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,11 @@ class Role:
 
 
 def star_join(fact: DataFrame, *roles: Role) -> DataFrame:
-    """The fact with columns of each role; the same dimension may take part several times."""
+    """The fact with columns of each role; the same dimension may take part several times.
+
+    Every role joins the fact, so give a dimension that has roles of its own ready joined (a customer with
+    its nation): the fact then meets one dimension less.
+    """
     for i, role in enumerate(roles):
         key = f"_role{i}"
         picked = role.dim.select(
@@ -33,6 +38,38 @@ def star_join(fact: DataFrame, *roles: Role) -> DataFrame:
     return fact
 
 
+@dataclass(frozen=True)
+class AsOfRole:
+    """A history in one of its roles: ``{fact column: history key}``, ``{output: history column}``, and the output
+    that holds the surrogate key of the version, if wanted."""
+
+    history: DataFrame
+    on: Mapping[str, str]
+    columns: Mapping[str, str]
+    surrogate: str | None = None
+    how: str = "left"
+
+    @property
+    def outputs(self) -> list[str]:
+        return [*self.columns, *([self.surrogate] if self.surrogate else [])]
+
+
+def asof_star_join(fact: DataFrame, ts: str, *roles: AsOfRole) -> DataFrame:
+    """The fact with columns of the versions valid at ``ts``, one for each role; one history may take part several times.
+
+    Intervals are half-open, so no row is multiplied. Under ``how="left"`` a fact without a version gets NULL.
+    """
+    for role in roles:
+        keys = {d: f"_asof_{i}" for i, d in enumerate(role.on.values())}
+        picked = [column(c).alias(name) for name, c in role.columns.items()]
+        if role.surrogate:
+            picked.append(surrogate_key(*keys, FROM).alias(role.surrogate))
+        versions = role.history.select(*[column(d).alias(k) for d, k in keys.items()], FROM, TO, *picked)
+        joined = asof_dim_join(fact, versions, {f: keys[d] for f, d in role.on.items()}, ts, how=role.how)
+        fact = joined.select(*[column(c) for c in [*fact.columns, *role.outputs]])
+    return fact
+
+
 def read_fact(fact: DataFrame, dates: DataFrame) -> DataFrame:
     """The fact with the date spelled out in place of its key."""
     kept = [c for c in fact.columns if c != "date_key"]

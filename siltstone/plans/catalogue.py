@@ -446,13 +446,13 @@ def _customers_later(customers: DataFrame) -> DataFrame:
     return changed.unionByName(added)
 
 
-def _history(spark: SparkSession, folder: str, **options) -> DataFrame:
+def _history(spark: SparkSession, folder: str, at: tuple[str, str] = (_FIRST, _SECOND), **options) -> DataFrame:
     customers = table(spark, folder, "customer")
     take = lambda target, source, at, **o: H.scd2_snapshot(
         target, source, "c_custkey", _CUSTOMER_CHECKS, at, time_type=TimestampNTZType(), **o
     )
-    first = take(None, customers, _FIRST)
-    return take(first, _customers_later(customers), _SECOND, **options)
+    first = take(None, customers, at[0])
+    return take(first, _customers_later(customers), at[1], **options)
 
 
 @query
@@ -553,6 +553,32 @@ def resolve_surrogate(spark, folder):
     return H.resolve_surrogate(orders, _history(spark, folder), _ON_CUSTOMER, "o_orderdate", "customer_sk")
 
 
+@query
+def asof_two_roles(spark, folder):
+    """One history in two roles: lines with the versions of two codes valid when they shipped."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    history = _history(spark, folder)
+    return S.asof_star_join(
+        lines, "l_shipdate",
+        S.AsOfRole(history, {"l_suppkey": "c_custkey"}, {"seller_segment": "c_mktsegment", "seller_from": "valid_from"}),
+        S.AsOfRole(history, {"l_partkey": "c_custkey"}, {"buyer_segment": "c_mktsegment"}),
+    )
+
+
+@query
+def fact_with_surrogates(spark, folder):
+    """A stored fact, loaded twice, with the surrogate keys of both its codes' versions."""
+    rates = table(spark, folder, "events").select(
+        F.col("event_id").alias("curr_base"), F.col("user_id").alias("currency"), V.exact_decimal(F.col("value")).alias("rate"), F.col("ts").alias("rate_date"))
+    history = stage(_history(spark, folder, ("2023-01-01", _CUTOFF)), "history")
+    roles = [S.AsOfRole(history, {c: "c_custkey"}, {}, f"{c}_sk") for c in ("curr_base", "currency")]
+    dims, facts = staging_path(spark, "dim-date"), staging_path(spark, "fact")
+    early = rates.filter(F.col("rate_date") < F.lit(_CUTOFF).cast("timestamp_ntz"))
+    for batch in (early, rates):
+        star = P.load_star(spark, batch, dims, facts, "rate_date", fx.FACT_KEY, ["rate"], histories=roles)
+    return star.fact
+
+
 # --- star ------------------------------------------------------------------------------------
 
 @query
@@ -568,17 +594,16 @@ def fact_topn(spark, folder):
 
 @query
 def role_playing_dims(spark, folder):
-    """Lines with the nation in its two roles, as seller's and as buyer's."""
+    """Lines with the nation in its two roles, as seller's and as buyer's, each resolved before it meets the lines."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
-    suppliers, nations = table(spark, folder, "supplier"), table(spark, folder, "nation")
+    nations = table(spark, folder, "nation")
+    sellers = S.star_join(table(spark, folder, "supplier"), S.Role(nations, "s_nationkey", "n_nationkey", {"seller": "n_name"}))
+    buyers = S.star_join(table(spark, folder, "customer"), S.Role(nations, "c_nationkey", "n_nationkey", {"buyer": "n_name"}))
+    orders = S.star_join(table(spark, folder, "orders"), S.Role(buyers, "o_custkey", "c_custkey", {"buyer": "buyer"}))
     return S.star_join(
         lines,
-        S.Role(orders, "l_orderkey", "o_orderkey", {"custkey": "o_custkey"}),
-        S.Role(customers, "custkey", "c_custkey", {"buyer_nation": "c_nationkey"}),
-        S.Role(suppliers, "l_suppkey", "s_suppkey", {"seller_nation": "s_nationkey"}),
-        S.Role(nations, "buyer_nation", "n_nationkey", {"buyer": "n_name"}),
-        S.Role(nations, "seller_nation", "n_nationkey", {"seller": "n_name"}),
+        S.Role(orders, "l_orderkey", "o_orderkey", {"buyer": "buyer"}),
+        S.Role(sellers, "l_suppkey", "s_suppkey", {"seller": "seller"}),
     ).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "buyer", "seller")
 
 

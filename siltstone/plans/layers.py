@@ -14,20 +14,28 @@ from siltstone.functions.text import pad_code
 from siltstone.functions.values import column
 from siltstone.operators import batches as B
 from siltstone.operators import incremental as I
+from siltstone.operators import star as S
 from siltstone.operators import validation as V
 from siltstone.sinks import tables as K
 from siltstone.sources.layers import find_layer
 
 
-def annotate_dimension(landed: DataFrame, rules: RuleSet, padded: Sequence[str] = (), width: int = 3) -> DataFrame:
+def annotate_dimension(
+    landed: DataFrame, rules: RuleSet, padded: Sequence[str] = (), width: int = 3, check_format: bool = False
+) -> DataFrame:
     """Clean strings, pad codes, then check integers, booleans and strings, in this order."""
     cleaned = V.clean_strings(landed)
     cleaned = cleaned.withColumns({c: pad_code(column(c), width) for c in padded})
-    return V.validate(cleaned, rules, V.columns_of_type(cleaned, "integer", "boolean", "string"))
+    return V.validate(cleaned, rules, V.columns_of_type(cleaned, "integer", "boolean", "string"), check_format)
 
 
 def annotate_fact(
-    landed: DataFrame, reference: DataFrame, mapping: Mapping[str, str], rules: RuleSet, batch_col: str = "_ingested_at"
+    landed: DataFrame,
+    reference: DataFrame,
+    mapping: Mapping[str, str],
+    rules: RuleSet,
+    batch_col: str = "_ingested_at",
+    check_format: bool = False,
 ) -> DataFrame:
     """Latest batch, known codes only, clean strings, then check times, decimals and strings.
 
@@ -35,14 +43,14 @@ def annotate_fact(
     """
     known = B.keep_known(B.latest_batch(landed, batch_col), reference, mapping)
     cleaned = V.clean_strings(known)
-    return V.validate(cleaned, rules, V.columns_of_type(cleaned, "datetime", "decimal", "string"))
+    return V.validate(cleaned, rules, V.columns_of_type(cleaned, "datetime", "decimal", "string"), check_format)
 
 
 def silver_dimension(
-    landed: DataFrame, rules: RuleSet, padded: Sequence[str] = (), width: int = 3
+    landed: DataFrame, rules: RuleSet, padded: Sequence[str] = (), width: int = 3, check_format: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) rows of a dimension."""
-    return V.split_quarantine(annotate_dimension(landed, rules, padded, width))
+    return V.split_quarantine(annotate_dimension(landed, rules, padded, width, check_format))
 
 
 def silver_fact(
@@ -52,12 +60,20 @@ def silver_fact(
     rules: RuleSet,
     unique: Sequence[str],
     batch_col: str = "_ingested_at",
+    check_format: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(valid rows, one per key; rejected rows, all copies)."""
-    valid, rejected = V.split_quarantine(annotate_fact(landed, reference, mapping, rules, batch_col))
+    valid, rejected = V.split_quarantine(annotate_fact(landed, reference, mapping, rules, batch_col, check_format))
     return B.dedupe_by_key(valid, unique), rejected
 
 
+def _with_versions(
+    staged: DataFrame, ts: str, measures: Sequence[str], histories: Sequence[S.AsOfRole]
+) -> tuple[DataFrame, list[str]]:
+    """Staged rows with what each history says at their time, and the measures with those columns."""
+    return S.asof_star_join(staged, ts, *histories), [*measures, *[name for role in histories for name in role.outputs]]
+
+
 @dataclass(frozen=True)
 class Star:
     """A date dimension and the fact that refers to it."""
@@ -76,15 +92,18 @@ def build_star(
     full_refresh: bool = False,
     strict: bool = True,
     lookback: timedelta = timedelta(0),
+    histories: Sequence[S.AsOfRole] = (),
 ) -> Star:
     """Dates first, then the fact that looks them up; on top of ``previous`` unless refreshed in full.
 
-    Rows up to ``lookback`` late are loaded too (see ``incremental_filter``).
+    Rows up to ``lookback`` late are loaded too (see ``incremental_filter``). The fact stores what each of
+    ``histories`` gives for the version valid at a row's time, such as its surrogate key.
     """
     old_dates, old_fact = (previous.dim_date, previous.fact) if previous is not None else (None, None)
     dates = I.incremental_date_dimension(staged, ts, old_dates, grain, full_refresh, lookback)
+    rows, measures = _with_versions(staged, ts, measures, histories)
     fact = I.incremental_fact(
-        staged, dates, old_fact, ts, list(keys), list(measures), grain, full_refresh, strict, lookback
+        rows, dates, old_fact, ts, list(keys), measures, grain, full_refresh, strict, lookback
     )
     return Star(dates, fact)
 
@@ -100,8 +119,9 @@ def load_star(
     grain: str = "minute",
     full_refresh: bool = False,
     lookback: timedelta = timedelta(0),
+    histories: Sequence[S.AsOfRole] = (),
 ) -> Star:
-    """Bring the stored star up to date; both tables are kept by day.
+    """Bring the stored star up to date (see ``build_star``); both tables are kept by day.
 
     A load writes the days its rows fall on and reads no others, apart from the high-water marks.
     Read time and disk use follow the batch and ``lookback`` (see ``incremental_filter``), not the table.
@@ -120,5 +140,6 @@ def load_star(
     before = None if old_dates is None else old_dates.drop("day")
     dates = put(dim_path, old_dates, I.fresh_dates(staged, ts, before, grain, full_refresh, lookback), ["date_key"])
     before = None if old_fact is None else old_fact.drop("day")
-    fresh = I.fresh_facts(staged, dates, before, ts, list(keys), list(measures), grain, full_refresh, lookback=lookback)
+    rows, measures = _with_versions(staged, ts, measures, histories)
+    fresh = I.fresh_facts(rows, dates, before, ts, list(keys), measures, grain, full_refresh, lookback=lookback)
     return Star(dates, put(fact_path, old_fact, fresh, ["date_key", *keys]))

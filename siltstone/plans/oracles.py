@@ -235,6 +235,26 @@ ORACLES["resolve_surrogate"] = f"""{_HIST}
 SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN c_custkey IS NOT NULL THEN {_SK.format('valid_from')} END AS customer_sk
 FROM orders LEFT JOIN hist ON o_custkey = c_custkey AND {_HALF}"""
 
+
+
+def _valid_at(alias: str, code: str, moment: str) -> str:
+    return f"{code} = {alias}.c_custkey AND {moment} >= {alias}.valid_from AND ({alias}.valid_to IS NULL OR {moment} < {alias}.valid_to)"
+
+
+ORACLES["asof_two_roles"] = f"""{_HIST}
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, s.c_mktsegment AS seller_segment, s.valid_from AS seller_from,
+  b.c_mktsegment AS buyer_segment
+FROM lineitem LEFT JOIN hist s ON {_valid_at('s', 'l_suppkey', 'l_shipdate')} LEFT JOIN hist b ON {_valid_at('b', 'l_partkey', 'l_shipdate')}"""
+_LATE_HIST = _HIST.replace(_FIRST, "TIMESTAMP '2023-01-01'").replace(_SECOND, "TIMESTAMP '2024-01-20 12:00:00'")
+_VERSION_KEY = "CASE WHEN {0}.c_custkey IS NOT NULL THEN md5({0}.c_custkey::VARCHAR || '-' || {0}.valid_from::VARCHAR) END"
+ORACLES["fact_with_surrogates"] = f"""{_LATE_HIST}, rates AS (
+  SELECT event_id AS curr_base, user_id AS currency, value::VARCHAR::DECIMAL(20,10) AS rate, ts AS rate_date,
+    date_trunc('minute', ts)::TIMESTAMP AS minute FROM events),
+kept AS (SELECT * FROM rates QUALIFY {_LAST_OF_MINUTE})
+SELECT {_KEY.format('minute')} AS date_key, curr_base, currency, rate,
+  {_VERSION_KEY.format('b')} AS curr_base_sk, {_VERSION_KEY.format('q')} AS currency_sk
+FROM kept LEFT JOIN hist b ON {_valid_at('b', 'curr_base', 'rate_date')} LEFT JOIN hist q ON {_valid_at('q', 'currency', 'rate_date')}"""
+
 _STATES = """states AS (
   SELECT o_custkey, o_orderpriority, o_orderstatus, o_orderdate AS seen_at FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderpriority DESC, o_orderstatus DESC) = 1),
@@ -349,7 +369,7 @@ QUALIFY row_number() OVER (
 # Decimals leave every query as doubles.
 _DECIMAL_COLUMNS = {
     "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_corrupt": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
-    "fact_full": ("rate",), "fact_late_rows": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
+    "fact_full": ("rate",), "fact_late_rows": ("rate",), "fact_with_surrogates": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
     "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),
 }

@@ -182,3 +182,23 @@ def test_stored_snapshot_of_an_empty_source_closes_all(spark, tmp_path):
     assert take(some, "2024-01-01 00:00:00").count() == 2
     done = take([], "2024-01-02 00:00:00")
     assert done.count() == 2 and done.filter(F.col(H.TO).isNull()).count() == 0
+
+
+def test_one_history_in_two_roles(spark):
+    from siltstone.functions import values as V
+    from siltstone.operators import star as S
+
+    day = lambda n: datetime(2024, 1, n)
+    history = spark.createDataFrame(
+        [("E", "old", day(1), day(5)), ("E", "new", day(5), None), ("U", "only", day(3), None)],
+        "code string, name string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    fact = spark.createDataFrame(
+        [(1, "E", "U", day(4)), (2, "E", "E", day(5)), (3, "U", "E", day(2)), (4, None, "X", day(9)), (5, "E", "U", None)],
+        "n int, base string, quote string, at timestamp_ntz")
+    roles = [S.AsOfRole(history, {c: "code"}, {f"{c}_name": "name", f"{c}_since": "valid_from"}, f"{c}_sk") for c in ("base", "quote")]
+    got = S.asof_star_join(fact, "at", *roles)
+    assert got.columns == [*fact.columns, "base_name", "base_since", "base_sk", "quote_name", "quote_since", "quote_sk"]
+    assert [(r.n, r.base_name, r.quote_name) for r in got.orderBy("n").collect()] == [
+        (1, "old", "only"), (2, "new", "new"), (3, None, "old"), (4, None, None), (5, None, None)]
+    keys = {tuple(r) for r in history.select("name", V.surrogate_key("code", "valid_from")).collect()} | {(None, None)}
+    assert {(r.base_name, r.base_sk) for r in got.collect()} | {(r.quote_name, r.quote_sk) for r in got.collect()} <= keys
