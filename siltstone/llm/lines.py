@@ -1,10 +1,13 @@
-"""Operator 1: line dedup by a segment-partition edit join.
-
-A line of a given length is cut into one segment more than the edits allowed, so two lines within that distance share a
-segment whole. Segments of every line are looked up by the substrings, of lines up to that much longer, that can match
-them. What shares a segment is sifted by a parity of character pairs and verified by a banded bit-parallel edit distance.
-Equal lines are one class throughout. In each group of equal segments one line meets all others first; only what is still apart
-after that meets again, so a group of near copies is not spelled out in pairs.
+"""Operator 1: line dedup by an edit join on segments and rare grams.
+
+Near copies lie within a twentieth of the shorter line's length, and within two edits where that is less. For two edits a line
+is cut into three segments, so two lines within that distance share a segment whole. Segments of every line are looked up by the
+substrings, of lines up to that much longer, that can match them. For more edits the grams of a line are ranked, the rarer the
+earlier, by an order that all lines share. A line is entered under its first grams, as many as hold one more than its edits that do
+not overlap. One of those outlives the edits, so of two near copies, that which stops earlier has a gram the other is entered
+under too. What shares a segment or a gram is sifted by length and parities of character pairs and verified by a banded
+bit-parallel edit distance. Equal lines are one class throughout. In each group of equal keys one line meets all others first; only
+what is still apart after that meets again, so a group of near copies is not spelled out in pairs.
 """
 
 from __future__ import annotations
@@ -17,14 +20,31 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.common import BLANKS, components, fresh, key_filter, passes, staged, table, texts
 
-#: Edits allowed between near copies, and the fewest code points of a line that edits are allowed in.
-EDITS, LEAST_CHARS = 2, 20
+#: Edits allowed between near copies at least, per cent of the shorter line's length allowed, and the fewest code points of a line that
+#: edits are allowed in.
+EDITS, PERCENT, LEAST_CHARS = 2, 5, 20
+#: Code points of the shorter line from which more than ``EDITS`` are allowed, and length of the grams of such pairs: one more than the
+#: edits fit side by side.
+_LONG, _GRAM = (EDITS + 1) * 100 // PERCENT, 11
+#: Least lengths of the classes that such lines are entered in, each a fifth above the one before.
+_CLASSES = [_LONG]
+while _CLASSES[-1] < 1 << 31:
+    _CLASSES.append(_CLASSES[-1] * 6 // 5)
+#: Rounds of choosing grams apart, counters of grams, parts of the documents they are learned from, and longs of parities.
+_ROUNDS, _SLOT_BITS, _SAMPLE, _WORDS = 8, 18, 4, 4
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_PARITIES = [f"parity{i}" for i in range(_WORDS)]
+
+
+def edits(chars: int) -> int:
+    """Edits allowed in a pair whose shorter line has so many code points."""
+    return max(EDITS, chars * PERCENT // 100)
 
 
 @lru_cache(maxsize=20_000)
@@ -99,23 +119,25 @@ def _keys(lines: list[str]) -> np.ndarray:
 
 
 def _parities(text: str, numbers: list[int]) -> np.ndarray:
-    """For each of the lines numbered: of each of 64 kinds of neighbouring characters, whether their number is odd. An edit
+    """For each of the lines numbered: of each of 256 kinds of neighbouring characters, whether their number is odd. An edit
     changes four of them at most."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
     pairs = (codes[:-1] << np.uint64(21) | codes[1:]) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.uint64(1) << (pairs >> np.uint64(58))
+    kinds = pairs >> np.uint64(56)
+    bits = np.uint64(1) << (kinds & np.uint64(63))
     bits[(codes[:-1] == 10) | (codes[1:] == 10)] = 0
     begins = np.append(0, np.flatnonzero(codes == 10) + 1)
-    bits = np.append(bits, np.zeros(2, np.uint64))
-    return np.bitwise_xor.reduceat(bits, begins)[numbers].view(np.int64)
+    out = [np.bitwise_xor.reduceat(np.append(np.where(kinds >> np.uint64(6) == i, bits, np.uint64(0)), np.zeros(2, np.uint64)), begins)[numbers]
+           for i in range(_WORDS)]
+    return np.array(out).view(np.int64)
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h1, h2, chars, parity) of each line that is not blank."""
+    """(doc_id, line, h1, h2, chars, parity0 ...) of each line that is not blank."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), [[] for _ in range(6)]
+            ids, out = batch.column(0).to_pylist(), [[] for _ in range(5 + _WORDS)]
             for i, text in texts(batch):
                 found = _lines(text)
                 if not found or ids[i] is None:
@@ -123,57 +145,173 @@ def _marks(docs: DataFrame) -> DataFrame:
                 numbers, keys = [n for n, _ in found], _keys([x for _, x in found])
                 for column, values in zip(out, (
                         np.full(len(found), ids[i]), np.array(numbers, np.int32), keys[:, 0], keys[:, 1],
-                        np.array([len(x) for _, x in found], np.int32), _parities(text, numbers)), strict=True):
+                        np.array([len(x) for _, x in found], np.int32), *_parities(text, numbers)), strict=True):
                     column.append(values)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types, strict=True)], names=["doc_id", "line", "h1", "h2", "chars", "parity"])
+                [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types, strict=True)], names=["doc_id", "line", "h1", "h2", "chars", *_PARITIES])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        mark, "doc_id long, line int, h1 long, h2 long, chars int, parity long")
+        mark, "doc_id long, line int, h1 long, h2 long, chars int, " + ", ".join(f"{x} long" for x in _PARITIES))
 
 
-def _segments(docs: DataFrame) -> DataFrame:
-    """(key, line) for each segment and substring of each line long enough: ``line`` is h1 with the role in its last bit."""
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of the gram that begins at each code point; the last ``_GRAM - 1`` have none."""
+    out = np.full(max(len(codes) - _GRAM + 1, 0), _GRAM, np.uint64)
+    for k in range(_GRAM):
+        out = (out ^ (out >> np.uint64(29)) ^ codes[k : k + len(out)]) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(31))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+
+def _codes(found: list[str]) -> np.ndarray:
+    """Code points of all lines on end."""
+    return np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def _slots(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Of each of a fixed number of counters, how many doublings its grams stand above the mean. That only says which grams of a line are
+    taken first, so that common passages come last; results do not depend on it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << _SLOT_BITS, np.int64)
         for batch in batches:
-            ids, seen = batch.column(0).to_pylist(), set()
-            keys, names, counts, roles = [], [], [], []
+            held, size = set(), 0
+            for _, text in texts(batch):
+                held.update(x for _, x in _lines(text) if len(x) >= _LONG)
+                size += len(text)
+                if size > 1_000_000:
+                    n += np.bincount(_slots(_hashed(_codes(list(held)))), minlength=len(n))
+                    held, size = set(), 0
+            n += np.bincount(_slots(_hashed(_codes(list(held)))), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_SAMPLE)) == 0).select("doc_id", "text").mapInArrow(count, "slot int, n long")
+    counts, out = staged(sample.groupBy("slot").agg(F.sum("n").alias("n")), "counters"), np.zeros(1 << _SLOT_BITS, np.uint8)
+    mean = max((counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / len(out), 8.0)
+    for row in counts.where(F.col("n") >= 4 * mean).collect():  # a quarter of the counters at most
+        out[row["slot"]] = int(np.log2(row["n"] / mean)) - 1
+    return out
+
+
+def _least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least of the ``width`` entries before each one, and after it."""
+    low, reach = np.concatenate([np.full(width, _LAST), x, np.full(2 * width, _LAST)]), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        reach += step
+    return low[: len(x)], low[width + 1 : width + 1 + len(x)]
+
+
+def entries(found: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line number) of each gram that lines are entered under: of each line all grams up to a rank that leaves one more than
+    its edits without overlap, or all there are where a few rounds find no such rank."""
+    codes, chars = _codes(found), np.array([len(x) for x in found], np.int64)
+    ends, hashed = np.cumsum(chars), _hashed(codes)
+    line = np.repeat(np.arange(len(chars)), chars)[: len(hashed)]
+    valid = np.arange(len(hashed)) + _GRAM <= ends[line]
+    rank = (common[_slots(hashed)].astype(np.uint64) << np.uint64(56)) | (hashed & np.uint64((1 << 56) - 1))
+    allowed = np.array([edits(x) for x in chars.tolist()], np.int64)
+    limit, open_, width = np.full(len(chars), _LAST), np.ones(len(chars), bool), _GRAM - 1
+    left, chosen, active = np.where(valid, rank, _LAST), np.zeros(len(hashed), bool), np.arange(len(hashed))
+    for _ in range(_ROUNDS):
+        here = left[active]
+        before, after = _least(here, width)
+        at = np.flatnonzero((here != _LAST) & (here < before) & (here <= after))
+        if not len(at):
+            break
+        chosen[active[at]] = True
+        around = at[:, None] + np.arange(-width, width + 1)  # entries between lines are none, so this keeps within the line
+        left[active[np.clip(around.ravel(), 0, len(active) - 1)]] = _LAST
+        ready = open_ & (np.bincount(line[chosen], minlength=len(chars)) > allowed)
+        at = np.flatnonzero(chosen & ready[line])
+        at = at[np.lexsort((rank[at], line[at]))]
+        which, begins = np.unique(line[at], return_index=True)
+        limit[which] = rank[at[begins + allowed[which]]]
+        open_ &= ~ready
+        active = active[open_[line[active]]]
+    at = np.flatnonzero(valid & (rank <= limit[line]))
+    at = at[np.lexsort((hashed[at], line[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (hashed[at[1:]] != hashed[at[:-1]]) | (line[at[1:]] != line[at[:-1]])
+    return hashed[at[new]], line[at[new]]
+
+
+def gram_keys(found: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line number, role) of lines of ``_LONG`` code points or more: their grams in the class of their length (role 0), and in the
+    next one if the edits can make them as long (role 1)."""
+    hashed, line = entries(found, common)
+    chars = np.array([len(x) for x in found], np.int64)
+    own = np.searchsorted(_CLASSES, chars, "right")
+    next_ = np.searchsorted(_CLASSES, chars + np.array([edits(x) for x in chars.tolist()]), "right")
+    more = np.flatnonzero((own != next_)[line])
+    kind = np.concatenate([own[line], next_[line[more]]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.concatenate([np.arange(len(line)), more])
+    return (hashed[at] ^ kind) | np.uint64(1), line[at], (np.arange(len(at)) >= len(line)).astype(np.int64)
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    """(key, line) for each segment and substring of each line that may be in a pair with ``EDITS``, and for each gram that each
+    line that may be in another is entered under: ``line`` is h1 with the role in its last bit; the last bit of ``key`` says that it is
+    a gram's."""
+    common = _common(docs)
 
-            def out() -> pa.RecordBatch:
-                of = np.repeat(np.array(names, np.int64), counts) | np.array(roles, np.int64)  # noqa: B023
-                made = pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(of)], names=["key", "of"])  # noqa: B023
-                for x in (keys, names, counts, roles):  # noqa: B023
-                    x.clear()
-                return made
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
 
-            for i, text in texts(batch):
-                found = [x for _, x in _lines(text) if len(x) >= LEAST_CHARS] if ids[i] is not None else []
-                for line, key in zip(found, _keys(found)[:, 0].tolist() if found else [], strict=True):
-                    if key in seen:
-                        continue
-                    seen.add(key)
+        def out(held: dict[int, str]) -> pa.RecordBatch:
+            keys, names, counts, roles = [], [], [], []
+            for name, line in held.items():
+                if len(line) < _LONG + EDITS:
                     steps = plan(len(line))
                     keys += [digest(line[a:b], c) for a, b, c, _ in steps]
                     roles += [r for _, _, _, r in steps]
-                    names.append(key)
+                    names.append(name)
                     counts.append(len(steps))
-                if len(keys) > 200_000:
-                    yield out()
-            yield out()
+            of = np.repeat(np.array(names, np.int64), counts) | np.array(roles, np.int64)
+            long_ = {name: line for name, line in held.items() if len(line) >= _LONG}
+            grams, at, role = gram_keys(list(long_.values()), common) if long_ else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
+            all_keys = np.concatenate([np.array(keys, np.uint64) & ~np.uint64(1), grams]).view(np.int64)
+            all_of = np.concatenate([of, np.array(list(long_), np.int64)[at] | role])
+            return pa.RecordBatch.from_arrays([pa.array(all_keys), pa.array(all_of)], names=["key", "of"])
+
+        for batch in batches:
+            ids, seen, held, size = batch.column(0).to_pylist(), set(), {}, 0
+            for i, text in texts(batch):
+                found = [x for _, x in _lines(text) if len(x) >= LEAST_CHARS] if ids[i] is not None else []
+                for line, key in zip(found, _keys(found)[:, 0].tolist() if found else [], strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        held[key] = line
+                        size += len(line)
+                if size > 500_000:
+                    yield out(held)
+                    held, size = {}, 0
+            yield out(held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "key long, of long")
 
 
+def _may_match(x: str, y: str) -> Column:
+    """Whether lengths and parities of lines, in columns that end in ``x`` and ``y``, allow the edits."""
+    allowed = F.greatest(F.lit(EDITS), F.floor(F.least(f"chars_{x}", f"chars_{y}") * PERCENT / 100))
+    differ = sum((F.bit_count(F.col(f"{p}_{x}").bitwiseXOR(F.col(f"{p}_{y}"))) for p in _PARITIES), F.lit(0))
+    return (F.abs(F.col(f"chars_{x}") - F.col(f"chars_{y}")) <= allowed) & (differ <= 4 * allowed)
+
+
+def _side(rows: DataFrame, name: str, line: str, *others: str) -> DataFrame:
+    """``line`` as ``name``, and what ``_may_match`` asks of it."""
+    return rows.select(F.col(line).alias(name), *others, *(F.col(c).alias(f"{c}_{name}") for c in ("chars", *_PARITIES)))
+
+
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose lengths and parities allow the edits."""
-    near = classes.select(F.col("h1").alias("a"), F.col("chars").alias("chars_a"), F.col("parity").alias("parity_a"))
-    far = classes.select(F.col("h1").alias("b"), F.col("chars").alias("chars_b"), F.col("parity").alias("parity_b"))
-    return pairs.join(near, "a").join(far, "b").where(
-        (F.abs(F.col("chars_a") - F.col("chars_b")) <= EDITS) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * EDITS)
-    ).select("a", "b")
+    return pairs.join(_side(classes, "a", "h1"), "a").join(_side(classes, "b", "h1"), "b").where(_may_match("a", "b")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,7 +335,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within(a, b, EDITS) for a, b in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([within(a, b, edits(min(len(a), len(b)))) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     left = lines.select(F.col("h1").alias("a"), F.col("line").alias("line_a"))
     right = lines.select(F.col("h1").alias("b"), F.col("line").alias("line_b"))
@@ -209,7 +347,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     group = Window.partitionBy("key")
     line, probe = F.col("of").bitwiseAND(F.lit(-2)), F.col("of").bitwiseAND(F.lit(1)) == 1
     shared = staged(
-        _segments(docs)
+        _shared(docs)
         .select("key", line.alias("line"), probe.alias("probe"))
         .withColumn("first", F.min(F.when(~F.col("probe"), F.col("line"))).over(group))
         .withColumn("other", F.max("line").over(group) != F.min("line").over(group))
@@ -220,14 +358,14 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     parts = components(links)
     named = (
         shared.join(parts, shared["line"] == parts["node"], "left").withColumn("part", F.coalesce("component", "line")).drop("node", "component")
-        .join(classes.select(F.col("h1").alias("line"), "chars", "parity"), "line"))
+        .join(classes.select(F.col("h1").alias("line"), "chars", *_PARITIES), "line"))
     apart = named.groupBy("key").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("key")
     named = staged(named.join(apart, "key", "left_semi").where("line != first"), "apart")
-    x = named.where("NOT probe").select("key", F.col("line").alias("x"), F.col("part").alias("part_x"), F.col("chars").alias("chars_x"), F.col("parity").alias("parity_x"))
-    y = named.where("probe").select("key", F.col("line").alias("y"), F.col("part").alias("part_y"), F.col("chars").alias("chars_y"), F.col("parity").alias("parity_y"))
+    gram = F.col("key").bitwiseAND(F.lit(1)) == 1
+    x = _side(named.where("NOT probe"), "x", "line", "key", F.col("part").alias("part_x"))
+    y = _side(named.where(F.col("probe") | gram), "y", "line", "key", "probe", F.col("part").alias("part_y"))
     rest = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("part_x") != F.col("part_y")) & (F.abs(F.col("chars_x") - F.col("chars_y")) <= EDITS)
-               & (F.bit_count(F.col("parity_x").bitwiseXOR(F.col("parity_y"))) <= 4 * EDITS))
+        x.join(y, (x["key"] == y["key"]) & (F.col("probe") | (F.col("x") < F.col("y"))) & (F.col("part_x") != F.col("part_y")) & _may_match("x", "y"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     rest = staged(rest.join(star, ["a", "b"], "left_anti"), "rest")
     return components(links.unionByName(_verified(rest, docs)))
@@ -239,8 +377,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     marks = staged(_marks(docs), "marks")
     place = F.struct("doc_id", "line")
     classes = staged(
-        marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("chars").alias("chars"), F.min("parity").alias("parity")), "line-classes")
-    clear = classes.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("top"), F.min("chars").alias("chars"), F.min("parity").alias("parity")).where("h2 = top")
+        marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("chars").alias("chars"), *(F.min(p).alias(p) for p in _PARITIES)), "line-classes")
+    clear = classes.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("top"), F.min("chars").alias("chars"), *(F.min(p).alias(p) for p in _PARITIES)).where("h2 = top")
     parts = staged(_links(docs, clear.where(F.col("chars") >= LEAST_CHARS)), "parts")
     linked = classes.join(parts, classes["h1"] == parts["node"])
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
