@@ -84,3 +84,10 @@ def test_held_out_and_empty(spark, small, documents):
     assert all(r["n_tokens"] == len(word.findall(texts[r["doc_id"]])) + 1 for r in got)
     empty = documents([])
     assert ctw.scored(empty, empty["doc_id"] > 1).count() == 0
+
+
+def test_the_fifth_byte_of_context_tells(documents):
+    rows = [(1, "1bcdex " * 50), (2, "2bcdey " * 50), (11, "1bcdex"), (12, "1bcdey")]
+    df = documents(rows)
+    got = {r["doc_id"]: r["score"] for r in ctw.scored(df, df["doc_id"] > 10).collect()}
+    assert got[11] > got[12] + 1
