@@ -260,7 +260,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = (
         marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")))
     nodes = staged(classes, "classes")
-    single = nodes.groupBy("node").agg(F.min("h1").alias("h1"))
+    smaller = F.struct("h1", "h2")
+    single = nodes.groupBy("node").agg(F.min_by("h1", smaller).alias("h1"))
     banded = staged(_banded(nodes).distinct(), "bands")
     salted = F.xxhash64("band", "key", "node")
     pivots = (
@@ -269,7 +270,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .where("n > 1").drop("n"))
     members = staged(banded.join(pivots, ["band", "key"]), "buckets")
     found = members.select("node").distinct()
-    signed = staged(nodes.join(found, "node", "left_semi").groupBy("node").agg(F.min("signature").alias("signature")), "candidates")
+    signed = staged(nodes.join(found, "node", "left_semi").groupBy("node").agg(F.min_by("signature", smaller).alias("signature")), "candidates")
     sets = staged(_sets(docs, single.join(found, "node", "left_semi")), "sets")
     links = staged(_verified(_met(members, signed), sets), "links")
     rest = staged(_rest(members, signed, sets, components(links)), "rest")

@@ -70,3 +70,15 @@ def test_estimates_follow_similarity():
         made_ = minhash.signatures(np.concatenate([a, b]), np.array([0, len(a)]))
         assert abs((made_[0] == made_[1]).mean() - share) < 0.16
         assert minhash.survive(made_[:1], made_[1:])[0] == (share >= 0.75)
+
+
+def test_the_compared_text_of_a_repeated_id_brings_its_own_signature(documents):
+    draw, rows = random.Random(7), []
+    for i in range(12):
+        base, other = ([f"w{draw.randrange(10**6)}" for _ in range(150)] for _ in range(2))
+        by_hash = sorted([" ".join(base), " ".join(other)], key=lambda t: np.frombuffer(minhash.xxhash.xxh3_128_digest(t.encode()), "<i8").tolist())
+        near = by_hash[0].split()
+        near[-1] = "x"
+        rows += [(10 * i, by_hash[0]), (10 * i, by_hash[1]), (10 * i + 1, " ".join(near))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(documents(rows)).collect()}
+    assert all(got[10 * i + 1] == 10 * i for i in range(12))
