@@ -7,7 +7,7 @@ earlier, by an order that all lines share. A line is entered under its first gra
 not overlap. One of those outlives the edits, so of two near copies, that which stops earlier has a gram the other is entered
 under too. What shares a segment or a gram is sifted by length and parities of character pairs and verified by a banded
 bit-parallel edit distance. Equal lines are one class throughout. In each group of equal keys one line meets all others first; only
-what is still apart after that meets again, so a group of near copies is not spelled out in pairs.
+what is still apart after that meets again, in blocks bounded in rows, so a group of near copies is not spelled out in pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ while _CLASSES[-1] < 1 << 31:
 #: Rounds of choosing grams apart, counters of grams, parts of the documents they are learned from, and longs of parities.
 _ROUNDS, _SLOT_BITS, _SAMPLE, _WORDS = 8, 18, 4, 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Lines of a group of equal keys in one block.
+_BLOCK = 2048
 _PARITIES = [f"parity{i}" for i in range(_WORDS)]
 
 
@@ -361,11 +363,16 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .join(classes.select(F.col("h1").alias("line"), "chars", *_PARITIES), "line"))
     apart = named.groupBy("key").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("key")
     named = staged(named.join(apart, "key", "left_semi").where("line != first"), "apart")
+    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    dealt = named.join(sizes, "key")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = dealt.withColumn("row", F.pmod(F.xxhash64("line"), F.col("blocks"))).withColumn("column", every)
+    right = dealt.withColumn("column", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks"))).withColumn("row", every)
     gram = F.col("key").bitwiseAND(F.lit(1)) == 1
-    x = _side(named.where("NOT probe"), "x", "line", "key", F.col("part").alias("part_x"))
-    y = _side(named.where(F.col("probe") | gram), "y", "line", "key", "probe", F.col("part").alias("part_y"))
+    x = _side(left.where("NOT probe"), "x", "line", "key", "row", "column", F.col("part").alias("part_x"))
+    y = _side(right.where(F.col("probe") | gram), "y", "line", "key", "row", "column", "probe", F.col("part").alias("part_y"))
     rest = (
-        x.join(y, (x["key"] == y["key"]) & (F.col("probe") | (F.col("x") < F.col("y"))) & (F.col("part_x") != F.col("part_y")) & _may_match("x", "y"))
+        x.join(y, (x["key"] == y["key"]) & (x["row"] == y["row"]) & (x["column"] == y["column"]) & (F.col("probe") | (F.col("x") < F.col("y"))) & (F.col("part_x") != F.col("part_y")) & _may_match("x", "y"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     rest = staged(rest.join(star, ["a", "b"], "left_anti"), "rest")
     return components(links.unionByName(_verified(rest, docs)))

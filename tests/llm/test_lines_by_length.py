@@ -60,3 +60,13 @@ def test_long_near_copies_go(documents):
     assert sum(of[i] != i for i in range(len(of))) > 40
     got = {r["doc_id"]: r["text"] for r in lines.cleaned(documents(list(enumerate(found)))).collect()}
     assert {i for i, text in got.items() if text} == {i for i in range(len(found)) if of[i] == i}
+
+
+def test_a_hot_group_meets_in_blocks(documents, monkeypatch):
+    monkeypatch.setattr(lines, "_BLOCK", 4)
+    draw = random.Random(5)
+    found = ["a hot beginning, " + "".join(draw.choice("abcdefgh") for _ in range(27)) for _ in range(25)]
+    found += [edited(draw, x, 2) for x in found[:15]]
+    of = expected(found)
+    got = {r["doc_id"]: r["text"] for r in lines.cleaned(documents(list(enumerate(found)))).collect()}
+    assert {i for i, text in got.items() if text} == {i for i in range(len(found)) if of[i] == i} and len(set(of)) == 25
