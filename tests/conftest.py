@@ -35,8 +35,3 @@ def small():
     if not Path(SMALL).exists():
         pytest.skip("driver tables not present")
     return SMALL
-
-
-def rows(df, *order):
-    """All rows as plain tuples, sorted by their text."""
-    return sorted((tuple(r) for r in df.collect()), key=str)

@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from siltstone.operators import batches as B
-from conftest import rows
+from frames import rows
 
 
 def test_latest_batch(spark):

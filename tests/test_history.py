@@ -9,7 +9,7 @@ from pyspark.sql.types import TimestampNTZType
 from siltstone.operators import history as H
 from siltstone.sinks.staging import stage
 from siltstone.sinks.tables import save_snapshot
-from conftest import rows
+from frames import rows
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
 SCHEMA = "k string, a string, b int, note string"

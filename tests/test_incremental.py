@@ -6,7 +6,7 @@ from siltstone.operators import incremental as I
 from siltstone.operators import star as S
 from siltstone.plans import layers as P
 from siltstone.sinks import tables as K
-from conftest import rows
+from frames import rows
 
 SCHEMA = "base string, quote string, rate double, at timestamp_ntz"
 

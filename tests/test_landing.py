@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.domains import exchange_rates as fx
 from siltstone.functions import values as V
 from siltstone.operators import landing as L
-from conftest import rows
+from frames import rows
 
 
 def payload(date='"2026-05-11T11:29:37Z"', rates='{"USD": 1.23456789015, "JPY": null}'):

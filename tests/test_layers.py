@@ -11,7 +11,7 @@ from siltstone.operators import validation as VAL
 from siltstone.plans import layers as P
 from siltstone.sinks import staging, tables as K
 from siltstone.sources import layers as SRC
-from conftest import rows
+from frames import rows
 
 CURRENCY = {"id": 1, "name": " Euro&nbsp;", "short_code": "EUR", "code": "8", "precision": 2, "subunit": 100, "symbol": "€",
             "symbol_first": True, "decimal_mark": ",", "thousands_separator": "."}

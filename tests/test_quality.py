@@ -2,7 +2,7 @@ import pytest
 
 from siltstone.domains import exchange_rates as fx
 from siltstone.operators import quality as Q
-from conftest import rows
+from frames import rows
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@ from siltstone.domains import exchange_rates as fx
 from siltstone.operators import batches as B
 from siltstone.operators import landing as L
 from siltstone.streaming.landing import land_new_files
-from conftest import rows
+from frames import rows
 
 
 def test_each_file_lands_once(spark, tmp_path):
