@@ -31,6 +31,8 @@ MESSAGES = {
     "length": "{column} must be {value} characters long",
     "format": "{column} does not match {value}",
 }
+# Of a value that is not of the type declared for it; the wording is this library's own.
+TYPE_MESSAGE = "{column} is not of type {value}"
 WITHIN_COLUMN = ", "
 BETWEEN_COLUMNS = "; "
 # Rules that a falsy value (False, 0, "") switches off; for the others only None does.

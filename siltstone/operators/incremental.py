@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,32 @@ def incremental_filter(
     return df if mark is None else df.filter(column(ts) > mark - F.lit(lookback))
 
 
+def unloaded(landed: DataFrame, ledger: DataFrame | None, batch_col: str = "_batch_id") -> DataFrame:
+    """Rows of the batches that the ledger does not hold, whatever their time, so that nothing is too late to load.
+
+    The batch ids are compared first, one row per batch; a scalar subquery gathers the missing ones (no more than batches to load) and
+    prunes a table partitioned by batch to them. Rows without a batch id cannot be recorded and are returned every time.
+    """
+    if ledger is None:
+        return landed
+    batch = column(batch_col)
+    held = ledger.select(batch.alias("_held")).distinct()
+    missing = landed.select(batch.alias("_batch")).distinct().join(held, F.col("_batch") == F.col("_held"), "left_anti")
+    return landed.filter(batch.isNull() | F.array_contains(missing.agg(F.collect_set("_batch")).scalar(), batch))
+
+
+def batch_entries(loaded: DataFrame, batch_col: str = "_batch_id") -> DataFrame:
+    """What a ledger records of loaded rows: each batch and its number of rows."""
+    batch = column(batch_col)
+    return loaded.filter(batch.isNotNull()).groupBy(batch.alias(batch_col)).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def upsert_latest(target: DataFrame | None, new: DataFrame, keys: list[str], order_by: Iterable[Column]) -> DataFrame:
+    """Of target and new rows one per key, the first by ``order_by``: the result does not depend on which came first."""
+    both = new if target is None else target.unionByName(new.select(*target.columns))
+    return dedupe_by_key(both, keys, order_by)
+
+
 def upsert_delete_insert(
     target: DataFrame | None,
     new: DataFrame,
@@ -104,9 +130,11 @@ def fact_cutoff(fact: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def fact_rows(
-    source: DataFrame, dates: DataFrame, ts: str, keys: list[str], measures: list[str], grain: str, strict: bool
+    source: DataFrame, dates: DataFrame, ts: str, keys: list[str], measures: list[str], grain: str, strict: bool,
+    moment: str | None = None,
 ) -> DataFrame:
-    """(date_key, keys…, measures…) of the source rows; a date missing from the dimension gives a NULL key.
+    """(date_key, keys…, measures…) of the source rows; a date missing from the dimension gives a NULL key. ``moment`` names a column to keep
+    the rows' time in.
 
     ``strict`` keeps one row per keys and date, the latest. That comes before the lookup, which then
     meets fewer rows and, being last, may have its hot dates split by adaptive execution.
@@ -116,7 +144,8 @@ def fact_rows(
     if strict:
         rows = dedupe_by_key(rows, ["_date", *keys], [F.col("_ts").desc_nulls_last()])
     found = lookup_dim(rows, dates, {"_date": "date"}, ["date_key"])
-    return found.select("date_key", *[column(c) for c in [*keys, *measures]])
+    kept = [F.col("_ts").alias(moment)] if moment else []
+    return found.select("date_key", *[column(c) for c in [*keys, *measures]], *kept)
 
 
 def fresh_facts(
@@ -130,9 +159,13 @@ def fresh_facts(
     full_refresh: bool = False,
     strict: bool = True,
     lookback: timedelta = timedelta(0),
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The facts (date_key, keys…, measures…) a load adds: those of the source rows above the cutoff.
 
+    ``enrich`` adds columns to the rows that are loaded, and only to those.
+
+
     The cutoff is lowered by ``lookback`` (see ``incremental_filter``). Two source rows of one key in one
     minute give one fact row, the later; ``strict=False`` keeps both. Above the cutoff only dates from the
     cutoff on can match, so the dimension is cut to them.
@@ -143,6 +176,8 @@ def fresh_facts(
         mark = mark - F.lit(lookback)
         source = source.filter(column(ts) > mark)
         dates = dates.filter(F.col("date") >= F.date_trunc(grain, mark).cast(dates.schema["date"].dataType))
+    if enrich is not None:
+        source = enrich(source)
     return fact_rows(source, dates, ts, keys, measures, grain, strict)
 
 
@@ -157,7 +192,8 @@ def incremental_fact(
     full_refresh: bool = False,
     strict: bool = True,
     lookback: timedelta = timedelta(0),
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The fact after a load (see ``fresh_facts``)."""
-    fresh = fresh_facts(source, dates, target, ts, keys, measures, grain, full_refresh, strict, lookback)
+    fresh = fresh_facts(source, dates, target, ts, keys, measures, grain, full_refresh, strict, lookback, enrich)
     return upsert_delete_insert(None if full_refresh else target, fresh, ["date_key", *keys], strict=False)

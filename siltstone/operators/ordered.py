@@ -1,88 +1,118 @@
 """Neighbouring rows of a key in order, without putting a whole key into one task.
 
-A window partitioned by key alone hands every row of a hot key to one task. Here the key's rows are
-first cut into time buckets. Windows run per (key, bucket); what must cross a bucket's edge travels
-through at most two rows, or one summary row, per (key, bucket). Keys and order must not be NULL.
+A window partitioned by key alone hands every row of a hot key to one task. Here rows are first dealt to ranges of (key, order, tie) of
+about equal size, whatever the keys: a hot key fills many ranges, many small keys share one. Windows run per (key, range), a range to a task. A key goes on from
+one range to the next only as the last of the one and the first of the other, so all that must cross is one row per range. Keys and order
+must not be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import column
+from siltstone.sinks.staging import stage
 
-_BUCKET = "_bucket"
+RANGE = "_range"
 
 
-def with_bucket(df: DataFrame, order: str, grain: str) -> DataFrame:
-    """Add the time bucket that the other functions here work in.
+def _all(names: Sequence[str]) -> list[Column]:
+    return [column(n) for n in names]
 
-    Choose a grain at which the rows of one key in one bucket fit a task.
+
+@dataclass(frozen=True)
+class Ranges:
+    """Rows with the number of their range: as written, and how many numbers there are."""
+
+    table: DataFrame
+    n: int
+
+    @property
+    def dealt(self) -> DataFrame:
+        """Every range in a task of its own, which windows by (key, range) take as it is."""
+        return self.deal(self.table)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """Rows chosen from the table, dealt like it."""
+        return rows.repartitionById(self.n, column(RANGE))
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequence[str] = ()) -> Ranges:
+    """``df`` dealt to ranges and written once, with the number of each row's range.
+
+    Rows equal in keys, order and ``tie`` share a range, so name a ``tie`` where many rows of a key may fall on one moment. The table is
+    written because a range is found by sampling: read twice, it must be the same. Adaptive execution joins ranges that are small.
     """
-    return df.withColumn(_BUCKET, F.date_trunc(grain, column(order)))
+    last = Observation("ranges")
+    dealt = df.repartitionByRange(*_all([*keys, *order, *tie])).withColumn(RANGE, F.spark_partition_id())
+    written = stage(dealt.observe(last, F.max(RANGE).alias("last")), "ranged")
+    return Ranges(written, (last.get["last"] or 0) + 1)
+
+
+def _here(keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*_all([*keys, RANGE])).orderBy(*_all(order))
 
 
-def _keyed(keys: list[str]) -> list[Column]:
-    return [column(k) for k in keys]
+def spanning(ranges: Ranges, keys: Sequence[str]) -> DataFrame:
+    """(range, keys) of the keys that go on from the range before: one row per range at most."""
+    key = F.struct(*_all(keys))
+    ends = ranges.table.groupBy(RANGE).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    return ends.withColumn("_before", F.lag("_last").over(Window.orderBy(RANGE))).filter("_first = _before").select(RANGE, "_first.*")
+
+
+def _crossing(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, step: int) -> DataFrame:
+    """(range, keys, value): for each range the last non-NULL ``value`` of all ranges before it, or the first of all ranges after it, with its key.
+
+    One row per range, so ordering them in one task and broadcasting them is bounded by the number of ranges. For what lies before, ``rows``
+    must have rows of every range."""
+    place = F.when(value.isNotNull(), F.struct(*_all([*keys, *order])))
+    entry = F.struct(*[column(k).alias(f"_c{i}") for i, k in enumerate(keys)], value.alias("_crossed"))
+    edge = (F.max_by if step < 0 else F.min_by)(entry, place)
+    edges = rows.groupBy(column(RANGE).alias("_c_range")).agg(edge.alias("_edge"))
+    along = Window.orderBy("_c_range")
+    if step < 0:
+        passed = F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        return edges.withColumn("_edge", passed).filter("_edge IS NOT NULL").select("_c_range", "_edge.*")
+    # An edge is what comes next for every range back to that of the edge before it.
+    edges = edges.filter("_edge IS NOT NULL")
+    since = F.coalesce(F.lag("_c_range").over(along), F.lit(0))
+    return edges.withColumn("_since", since).filter("_c_range > 0").select(
+        F.explode(F.sequence("_since", F.col("_c_range") - 1)).alias("_c_range"), "_edge.*")
+
+
+def _with_crossing(rows: DataFrame, keys: Sequence[str], crossing: DataFrame) -> DataFrame:
+    same = column(RANGE) == F.col("_c_range")
+    for i, k in enumerate(keys):
+        same = same & (column(k) == F.col(f"_c{i}"))
+    return rows.join(F.broadcast(crossing), same, "left").drop("_c_range", *[f"_c{i}" for i in range(len(keys))])
 
 
 def neighbour(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    value: Column,
-    name: str,
-    step: int,
-    needed: Callable[[Column], Column] | None = None,
+    rows: DataFrame, edges: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, step: int
 ) -> DataFrame:
-    """Add ``value`` of the previous (``step=-1``) or next (``step=1``) row of the same key.
+    """Add ``value`` (never NULL) of the previous (``step=-1``) or next (``step=1``) row of the same key.
 
-    Needs a bucket, and (key, order) unique. Rows inside a bucket are served there. Its first and
-    last row then share a lane with the other edges of the key, where an edge finds its neighbour in
-    the next bucket; the others keep the lane of their bucket. ``needed`` is a condition on the
-    neighbour's value: inner rows that fail it are dropped before that second shuffle.
+    ``rows`` are dealt by range, and (keys, order) is unique. What crosses is taken from ``edges``: for the previous row the whole table that
+    ``rows`` were chosen from, for the next one rows that hold at least those of ``spanning`` keys.
     """
     look = F.lag if step < 0 else F.lead
-    here = Window.partitionBy(*_keyed(keys), _BUCKET).orderBy(column(order))
-    first, last = F.lag(column(order)).over(here).isNull(), F.lead(column(order)).over(here).isNull()
-    inside = df.withColumns({"_first": first, "_last": last, "_inside": look(value).over(here)})
-    edge = F.col("_first") | F.col("_last")
-    if needed is not None:
-        inside = inside.filter(edge | needed(F.col("_inside")))
-    lane = F.when(~edge, F.col(_BUCKET))
-    across = Window.partitionBy(*_keyed(keys), "_lane").orderBy(column(order))
-    crossing = F.col("_first" if step < 0 else "_last")
-    return (
-        inside.withColumn("_lane", lane)
-        .withColumn("_outside", look(value).over(across))
-        .withColumn(name, F.when(crossing, F.col("_outside")).otherwise(F.col("_inside")))
-        .drop("_first", "_last", "_inside", "_lane", "_outside")
-    )
-
-
-def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Add the latest non-NULL ``value`` at or before each row of the same key. Needs a bucket.
-
-    ``order`` must put a value that applies from a moment on ahead of the rows of that moment. What a
-    bucket inherits comes from a summary of one row per (key, bucket), made from the narrow columns
-    alone and joined to rows that are partitioned that way already.
+    here = _here(keys, order)
+    at_edge = look(F.lit(True)).over(here).isNull()
+    inside = rows.withColumns({"_inside": look(value).over(here), "_at_edge": at_edge})
+    crossed = _with_crossing(inside, keys, _crossing(edges, keys, order, value, step))
+    return crossed.withColumn(name, F.when(F.col("_at_edge"), F.col("_crossed")).otherwise(F.col("_inside"))).drop("_inside", "_at_edge", "_crossed")
+
+
+def last_known(ranges: Ranges, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the latest non-NULL ``value`` at or before each row of the same key.
+
+    ``order`` must put a value that applies from a moment on ahead of the rows of that moment.
     """
-    names = [*keys, _BUCKET]
-    here = Window.partitionBy(*_keyed(names)).orderBy(*order)
-    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*_keyed(keys)).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    moment = F.when(column(value).isNotNull(), F.struct(*order))
-    closing = df.groupBy(*_keyed(names)).agg(F.max_by(column(value), moment).alias("_closing"))
-    inherited = closing.select(
-        *[column(n).alias(f"_s_{n}") for n in names], F.last("_closing", ignorenulls=True).over(before).alias("_inherited")
-    )
-    same = [column(n) == column(f"_s_{n}") for n in names]
-    return (
-        df.withColumn("_inside", F.last(column(value), ignorenulls=True).over(upto))
-        .join(inherited, same, "left")
-        .withColumn(name, F.coalesce("_inside", "_inherited"))
-        .drop("_inside", "_inherited", *[f"_s_{n}" for n in names])
-    )
+    upto = _here(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranges.dealt.withColumn("_inside", F.last(column(value), ignorenulls=True).over(upto))
+    crossed = _with_crossing(inside, keys, _crossing(ranges.table, keys, order, column(value), -1))
+    return crossed.withColumn(name, F.coalesce("_inside", "_crossed")).drop("_inside", "_crossed")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import column
@@ -83,6 +83,14 @@ class Check:
         if self.kind not in _KINDS:
             raise ValueError(f"unknown check {self.kind!r}; known: {_KINDS}")
 
+    @property
+    def key_set(self) -> tuple[str, tuple[str, ...]]:
+        return self.table, tuple(_names(self.columns))
+
+    @property
+    def parent_set(self) -> tuple[str, tuple[str, ...]]:
+        return self.parent, tuple(_names(self.parent_columns))
+
     @property
     def label(self) -> str:
         return ",".join(_names(self.columns))
@@ -93,38 +101,62 @@ def dq_suite(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFr
 
     A not_null check over several columns gives one row per column.
 
-    ``failures`` counts failing rows for not_null, failing values for the others. All not_null
-    checks of one table share one pass over the columns they name.
+    ``failures`` counts failing rows for not_null, failing values for the others. All not_null checks of one table share one pass over the
+    columns they name. All other checks are planned by key set, which is a table with columns: sets that references tie together are counted
+    in one shuffle of their values, each set read once and combined before it is shuffled, however many checks it serves as unique, primary
+    key, child or parent.
     """
-    parts = []
-    for table in dict.fromkeys(c.table for c in checks if c.kind == "not_null"):
-        wanted = [c for c in checks if c.kind == "not_null" and c.table == table]
-        names = list(dict.fromkeys(n for c in wanted for n in _names(c.columns)))
-        nulls = tables[table].agg(*[F.count_if(column(n).isNull()).alias(f"_{i}") for i, n in enumerate(names)])
-        pairs = F.array(
-            *[F.struct(F.lit(n).alias("column"), F.col(f"_{i}").alias("failures")) for i, n in enumerate(names)]
-        )
-        parts.append(
-            nulls.select(F.explode(pairs).alias("_c")).select(
-                F.lit("not_null").alias("test"), F.lit(table).alias("table"), "_c.column", "_c.failures"
-            )
-        )
+    parts = [_null_failures(table, tables[table], checks) for table in dict.fromkeys(c.table for c in checks if c.kind == "not_null")]
+    parts += [_key_failures(tables, sets, [c for c in checks if c.kind != "not_null" and c.key_set in sets]) for sets in _tied(checks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _reported(counts: DataFrame, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """One row per (test, table, column) from one row of failures ``_0``, ``_1`` …"""
+    told = F.array(*[
+        F.struct(F.lit(test).alias("test"), F.lit(table).alias("table"), F.lit(name).alias("column"), F.col(f"_{i}").alias("failures"))
+        for i, (test, table, name) in enumerate(rows)])
+    return counts.select(F.explode(told).alias("_c")).select("_c.*")
+
+
+def _null_failures(table: str, df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    names = list(dict.fromkeys(n for c in checks if c.kind == "not_null" and c.table == table for n in _names(c.columns)))
+    nulls = df.agg(*[F.count_if(column(n).isNull()).alias(f"_{i}") for i, n in enumerate(names)])
+    return _reported(nulls, [("not_null", table, n) for n in names])
+
+
+_KeySet = tuple[str, tuple[str, ...]]
+
+
+def _tied(checks: Sequence[Check]) -> list[list[_KeySet]]:
+    """Key sets in groups that references tie together, each group counted as a whole."""
+    groups: list[list[_KeySet]] = []
     for check in checks:
         if check.kind == "not_null":
             continue
-        df = tables[check.table]
+        own = [check.key_set, *([check.parent_set] if check.parent else [])]
+        met = [g for g in groups if any(k in g for k in own)]
+        groups = [g for g in groups if g not in met] + [list(dict.fromkeys([k for g in met for k in g] + own))]
+    return groups
+
+
+def _key_failures(tables: Mapping[str, DataFrame], sets: Sequence[_KeySet], checks: Sequence[Check]) -> DataFrame:
+    keys = [f"_k{i}" for i in range(len(sets[0][1]))]
+    values = [
+        tables[table].select(*[column(n).alias(k) for n, k in zip(names, keys, strict=True)], F.lit(number).alias("_set"))
+        for number, (table, names) in enumerate(sets)]
+    counted = reduce(DataFrame.unionByName, values).groupBy(*keys).agg(
+        *[F.count_if(F.col("_set") == number).alias(f"_n{number}") for number in range(len(sets))])
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    n = lambda key_set: F.col(f"_n{sets.index(key_set)}")
+
+    def failing(check: Check) -> Column:
+        times = n(check.key_set)
         if check.kind == "unique":
-            failing = dq_unique(df, check.columns)
-        elif check.kind == "primary_key":
-            failing = dq_primary_key(df, check.columns)
-        else:
-            failing = dq_relationships(df, check.columns, tables[check.parent], check.parent_columns)
-        parts.append(
-            failing.agg(F.count(F.lit(1)).alias("failures")).select(
-                F.lit(check.kind).alias("test"),
-                F.lit(check.table).alias("table"),
-                F.lit(check.label).alias("column"),
-                "failures",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+            return whole & (times > 1)
+        if check.kind == "primary_key":
+            return (times > 1) | ((times > 0) & ~whole)
+        return whole & (times > 0) & (n(check.parent_set) == 0)
+
+    failures = counted.agg(*[F.count_if(failing(c)).alias(f"_{i}") for i, c in enumerate(checks)])
+    return _reported(failures, [(c.kind, c.table, c.label) for c in checks])

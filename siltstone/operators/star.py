@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.values import column, surrogate_key
-from siltstone.operators.history import FROM, TO, asof_dim_join
+from siltstone.functions.values import column
+from siltstone.operators.history import FROM, version_surrogate, versions_at
 
 
 @dataclass(frozen=True)
@@ -57,17 +57,32 @@ class AsOfRole:
 def asof_star_join(fact: DataFrame, ts: str, *roles: AsOfRole) -> DataFrame:
     """The fact with columns of the versions valid at ``ts``, one for each role; one history may take part several times.
 
-    Intervals are half-open, so no row is multiplied. Under ``how="left"`` a fact without a version gets NULL.
+    Intervals are half-open, so no row is multiplied. Under ``how="left"`` a fact without a version gets NULL. Versions are found for all
+    roles in one ordered pass (see ``versions_at``); attributes beyond the start and the surrogate are fetched by key and start, an
+    equality that shuffles or broadcasts like any lookup.
     """
-    for role in roles:
-        keys = {d: f"_asof_{i}" for i, d in enumerate(role.on.values())}
-        picked = [column(c).alias(name) for name, c in role.columns.items()]
+    if not roles:
+        return fact
+    found = versions_at(fact, ts, [(role.history, role.on) for role in roles])
+    outputs = [name for role in roles for name in role.outputs]
+    for i, role in enumerate(roles):
+        since = f"_from{i}"
+        if role.how == "inner":
+            found = found.filter(F.col(since).isNotNull())
         if role.surrogate:
-            picked.append(surrogate_key(*keys, FROM).alias(role.surrogate))
-        versions = role.history.select(*[column(d).alias(k) for d, k in keys.items()], FROM, TO, *picked)
-        joined = asof_dim_join(fact, versions, {f: keys[d] for f, d in role.on.items()}, ts, how=role.how)
-        fact = joined.select(*[column(c) for c in [*fact.columns, *role.outputs]])
-    return fact
+            found = found.withColumn(role.surrogate, version_surrogate(role.history, role.on, since))
+        late = {name: c for name, c in role.columns.items() if c != FROM}
+        found = found.withColumns({name: F.col(since) for name, c in role.columns.items() if c == FROM})
+        if late:
+            keys = {f: f"_asof_{n}" for n, f in enumerate(role.on)}
+            versions = role.history.select(
+                *[column(d).alias(keys[f]) for f, d in role.on.items()], column(FROM).alias("_since"),
+                *[column(c).alias(name) for name, c in late.items()])
+            same = F.col(since) == F.col("_since")
+            for f, k in keys.items():
+                same = same & (column(f) == F.col(k))
+            found = found.join(versions, same, "left").drop("_since", *keys.values())
+    return found.select(*[column(c) for c in [*fact.columns, *outputs]])
 
 
 def read_fact(fact: DataFrame, dates: DataFrame) -> DataFrame:

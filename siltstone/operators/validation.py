@@ -18,7 +18,7 @@ from pyspark.sql.types import (
 
 from siltstone.functions import rules as R
 from siltstone.functions import text as X
-from siltstone.functions.values import column
+from siltstone.functions.values import RATE_TYPE, column
 
 ERRORS = "_validation_errors"
 
@@ -66,6 +66,36 @@ def check_types(df: DataFrame, rule_set: R.RuleSet) -> None:
         raise TypeError(f"columns not of their declared type: {wrong}")
 
 
+# What a declared type reads text as.
+_READ_AS = {"integer": "int", "boolean": "boolean", "datetime": "timestamp", "decimal": RATE_TYPE}
+
+
+def cast_types(
+    df: DataFrame, rule_set: R.RuleSet, columns: Iterable[str] | None = None, read_as: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Columns that were landed as text, read as the ``type`` their rules declare, row by row.
+
+    Text that is none becomes NULL, and ``_validation_errors`` says so, after errors found earlier. So a required column is reported
+    by a later ``validate`` as missing too. Columns that are not text, or declared as ``string``, stay as they are. ``read_as`` gives the
+    SQL type for a kind, such as another decimal. NULL, and text of spaces only, is no value and breaks no type.
+    """
+    kinds = {**_READ_AS, **(read_as or {})}
+    order = list(rule_set) if columns is None else list(columns)
+    texts = columns_of_type(df, "string")
+    wanted = {c: rule_set[c]["type"] for c in order if c in texts and rule_set.get(c, {}).get("type", "string") != "string"}
+    unknown = {c: kind for c, kind in wanted.items() if kind not in kinds}
+    if unknown:
+        raise ValueError(f"unknown types: {unknown}")
+    made = {c: F.trim(column(c)).try_cast(kinds[kind]) for c, kind in wanted.items()}
+    wrong = [
+        F.when((F.trim(column(c)) != "") & made[c].isNull(), F.lit(R.TYPE_MESSAGE.format(column=c, value=wanted[c]))) for c in wanted]
+    if not wanted:
+        return df if ERRORS in df.columns else df.withColumn(ERRORS, F.lit(""))
+    earlier = [F.when(F.col(ERRORS) != "", F.col(ERRORS))] if ERRORS in df.columns else []
+    # Both in one projection, which reads the texts for the messages before they are replaced.
+    return df.withColumns({ERRORS: F.concat_ws(R.BETWEEN_COLUMNS, *earlier, *wrong), **made})
+
+
 def validate(
     df: DataFrame, rule_set: R.RuleSet, columns: Iterable[str] | None = None, check_format: bool = False
 ) -> DataFrame:

@@ -35,13 +35,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    """Register a query; decimals leave it as doubles, which every comparing tool reads alike."""
+    """Register a query; decimals leave it as their text, so that every digit is compared."""
 
-    def as_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    def spelled_out(spark: SparkSession, folder: str) -> DataFrame:
         df = build(spark, folder)
-        return df.withColumns({c: V.column(c).cast("double") for c in VAL.columns_of_type(df, "decimal")})
+        return df.withColumns({c: V.column(c).cast("string") for c in VAL.columns_of_type(df, "decimal")})
 
-    QUERIES[build.__name__] = as_doubles
+    QUERIES[build.__name__] = spelled_out
     return build
 
 
@@ -103,6 +103,27 @@ def rule_format(spark, folder):
     return _rule(table(spark, folder, "part"), ["p_partkey"], "p_brand", {"format": "Brand#[0-9]"}, True)
 
 
+@query
+def rule_type(spark, folder):
+    """Columns landed as text, some with text that is not of the declared type, read and checked row by row."""
+    parts = table(spark, folder, "part")
+    odd = F.pmod(F.col("p_partkey"), F.lit(7))
+    landed = parts.select(
+        "p_partkey",
+        F.when(odd == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_size").cast("string")).alias("size"),
+        F.when(odd == 1, F.lit(" ")).when(odd == 2, F.lit("n/a")).otherwise(F.col("p_retailprice").cast("string")).alias("price"),
+        F.when(odd == 3, F.lit("maybe")).otherwise((F.col("p_size") > 25).cast("string")).alias("large"),
+    )
+    rules = {
+        "size": {"type": "integer", "required": True, "max": 45},
+        "price": {"type": "decimal", "required": False, "min_rate_value": 1000},
+        "large": {"type": "boolean", "required": False},
+    }
+    checked = VAL.validate(VAL.cast_types(landed, rules), rules)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return checked.select("p_partkey", text("size"), "price", text("large"), F.col(VAL.ERRORS).alias("errors"))
+
+
 @query
 def rule_combined(spark, folder):
     rules = {"required": True, "min": 10, "max": 5, "max_rate_value": 30}
@@ -160,6 +181,19 @@ def quarantine_written(spark, folder):
     return kept.unionByName(out).groupBy("batch", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def quarantine_rerun(spark, folder):
+    """A batch run again replaces its rejected rows: fewer the second time, and none for a year that is clean by then."""
+    lines = table(spark, folder, "lineitem").withColumn("_batch_id", F.date_format("l_shipdate", "yyyy"))
+    valid, rejected = staging_path(spark, "valid"), staging_path(spark, "rejected")
+    K.write_split(VAL.validate(lines, {"l_quantity": {"max": 45}}), valid, rejected)
+    mended = lines.filter("l_shipdate >= TIMESTAMP_NTZ '1996-01-01'").withColumn(
+        "l_quantity", F.when(F.col("_batch_id") == "1996", 1).otherwise(F.col("l_quantity") - 2))
+    K.write_split(VAL.validate(mended, {"l_quantity": {"max": 45}}), valid, rejected)
+    out = spark.read.parquet(rejected).select(F.col("_batch_id").cast("string").alias("batch"), "l_orderkey", "l_linenumber", "l_quantity")
+    return out
+
+
 # --- cleaning --------------------------------------------------------------------------------
 
 def _lines_of_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,6 +268,34 @@ def payload_corrupt(spark, folder):
     return landed.withColumnRenamed(L.CORRUPT, "corrupt")
 
 
+@query
+def payload_rescued(spark, folder):
+    """Error messages, empty texts, empty codes and fields nobody named: all documents leave rows, and say what they held."""
+    events = table(spark, folder, "events")
+    kind, date = F.col("event_type"), F.date_format("ts", V.PAYLOAD_WALL_FORMAT)
+    body = lambda rates, more="", top="": F.concat(
+        F.lit('{"response":{"date":"'), date, F.lit('","base":"'), kind, F.lit('","rates":'), rates, F.lit(f"{more}}}{top}}}"))
+    text = (
+        F.when(kind == "error", F.lit('{"error":"quota"}'))
+        .when(kind == "signup", body(F.lit('{"":2.5}')))
+        .when(kind == "view", F.when(F.col("user_id") % 2 == 0, F.lit("")).otherwise(body(F.lit("null"))))
+        .when(kind == "click", body(F.col("props"), ',"note":"late"', ',"meta":7'))
+        .otherwise(body(F.col("props"))))
+    landed = L.land_map_payload(events.select("event_id", text.alias("payload")), "payload", ntz=True, rescue=True)
+    return landed.withColumnsRenamed({L.CORRUPT: "corrupt", L.RESCUED: "rescued"})
+
+
+@query
+def records_rescued(spark, folder):
+    """Lists of records with a field that the schema does not name, and documents without a list."""
+    orders = table(spark, folder, "orders")
+    listed = F.struct(F.array(F.struct(F.col("o_orderstatus").alias("name"), F.col("o_custkey").alias("extra"))).alias("response"))
+    text = F.when(F.col("o_orderstatus") == "P", F.lit('{"error":"quota"}')).when(F.col("o_orderstatus") == "O", F.lit('{"response":[]}')).otherwise(F.to_json(listed))
+    payloads = orders.select("o_orderkey", text.alias("payload"))
+    landed = L.explode_records(payloads, "payload", StructType().add("name", "string"), rescue=True)
+    return landed.withColumnsRenamed({L.CORRUPT: "corrupt", L.RESCUED: "rescued"})
+
+
 @query
 def payload_records(spark, folder):
     """A record list per order: its status and its priority."""
@@ -290,6 +352,17 @@ def decimal_exact(spark, folder):
 
 # --- batches and reference lists -------------------------------------------------------------
 
+@query
+def landed_run_latest(spark, folder):
+    """Two runs landed into one table, of which the later is read: all its rows, and no others."""
+    events, path = table(spark, folder, "events"), staging_path(spark, "landed")
+    middle = F.lit(_CUTOFF).cast("timestamp_ntz")
+    for run, at in ((events.filter(F.col("ts") < middle), "2024-02-01 06:00:00"), (events.filter(F.col("ts") >= middle), "2024-02-02 06:00:00")):
+        landed = L.add_lineage(run.select("event_id", "event_type", "user_id"), "events", F.lit(at).cast("timestamp_ntz"))
+        K.write_layer(landed, path, "append", ["_batch_id"])
+    return B.latest_batch(spark.read.parquet(path)).withColumn("_batch_id", F.col("_batch_id").cast("string"))
+
+
 @query
 def latest_batch(spark, folder):
     events = table(spark, folder, "events")
@@ -406,6 +479,44 @@ def star_loaded(spark, folder):
     return S.read_fact(star.fact, star.dim_date)
 
 
+@query
+def star_loaded_empty_first(spark, folder):
+    """A first load without rows, then one with all: the star is whole."""
+    rates = _staged_rates(spark, folder)
+    dims, facts = staging_path(spark, "dim-date"), staging_path(spark, "fact")
+    star = None
+    for batch in (rates.filter("false"), rates):
+        star = P.load_star(spark, batch, dims, facts, "rate_date", fx.FACT_KEY, ["rate"])
+    return star.fact
+
+
+@query
+def fact_by_ledger(spark, folder):
+    """Three batches that all cross the same days, loaded out of order, then everything landed once more: nothing is too late, and nothing
+    is loaded twice."""
+    rates = table(spark, folder, "events").select(
+        F.col("event_type").alias("curr_base"), F.col("user_id").cast("string").alias("currency"), V.exact_decimal(F.col("value")).alias("rate"),
+        F.col("ts").alias("rate_date"), F.concat(F.lit("b"), F.pmod("event_id", F.lit(3))).alias("_batch_id"))
+    dims, facts, ledger = (staging_path(spark, name) for name in ("dim-date", "fact", "ledger"))
+    star = None
+    for names in (["b2"], ["b0"], ["b0", "b1"], ["b0", "b1", "b2"]):
+        landed = rates.filter(F.col("_batch_id").isin(names))
+        star = P.load_batches(spark, landed, dims, facts, ledger, "rate_date", fx.FACT_KEY, ["rate"])
+    return star.fact
+
+
+@query
+def upsert_moved(spark, folder):
+    """An upsert whose partition does not follow from the key: rows leave the partition they are stored in for another."""
+    lines, path = table(spark, folder, "lineitem"), staging_path(spark, "lines")
+    key = ["l_orderkey", "l_linenumber"]
+    later = [F.col("l_shipdate").desc_nulls_last()]
+    K.write_layer(B.dedupe_by_key(lines, key, later), path, partition_by=["l_returnflag"], sort_by=key)
+    returned = B.dedupe_by_key(lines.filter(F.col("l_linenumber") == 2), key, later).withColumn("l_returnflag", F.lit("X"))
+    K.upsert_partitions(spark, path, returned, key, "l_returnflag", moving=True)
+    return spark.read.schema(lines.schema).parquet(path).select(lines.columns)
+
+
 @query
 def upsert_delete_insert(spark, folder):
     lines = table(spark, folder, "lineitem")
@@ -513,14 +624,60 @@ def _order_states(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def scd2_replay(spark, folder):
-    return H.scd2_replay(_order_states(spark, folder), "o_custkey", ["o_orderpriority", "o_orderstatus"], "seen_at", "month")
+    return H.scd2_replay(_order_states(spark, folder), "o_custkey", ["o_orderpriority", "o_orderstatus"], "seen_at")
+
+
+def _monthly_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers in the months they ordered in: most vanish from most batches."""
+    month = V.truncate_time(F.col("o_orderdate"), "month", TimestampNTZType())
+    return table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", month.alias("seen_at"))
+
+
+@query
+def scd2_replay_deletes(spark, folder):
+    return H.scd2_replay_deletes(_monthly_states(spark, folder), "o_custkey", ["o_orderpriority", "o_orderstatus"], "seen_at")
+
+
+def _three_batches(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Customers as seen on three days; one segment is renamed and back, nations are missing."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    renamed = F.when(F.col("c_mktsegment") == "BUILDING", "HOUSES").otherwise(F.col("c_mktsegment"))
+    return {
+        "1996-01-01": customers.filter("c_nationkey <> 4"),
+        "1997-01-01": customers.filter("c_nationkey NOT IN (3, 4)").withColumn("c_mktsegment", renamed),
+        "1998-01-01": customers.filter("c_nationkey <> 5"),
+    }
+
+
+@query
+def scd2_backdated(spark, folder):
+    """Three snapshots taken out of order give the history of the sorted order."""
+    batches, history, seen = _three_batches(spark, folder), None, []
+    checks = ["c_nationkey", "c_mktsegment"]
+    for at in ("1998-01-01", "1996-01-01", "1997-01-01"):
+        taken = spark.createDataFrame([(t,) for t in seen], "at string")
+        if history is None:
+            history = H.scd2_snapshot(None, batches[at], "c_custkey", checks, at, time_type=TimestampNTZType())
+        else:
+            history = stage(H.scd2_splice(history, taken, batches[at], "c_custkey", checks, at, "invalidate"), "history")
+        seen.append(at)
+    return history
+
+
+@query
+def scd2_stored_deletes(spark, folder):
+    """Stored snapshots that close what vanished: some customers first, then all of them."""
+    path, customers = staging_path(spark, "history"), table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    for source, at in ((customers, _FIRST), (customers.filter("c_custkey % 3 > 0"), _SECOND), (customers.filter("false"), "2000-01-01")):
+        history = K.save_snapshot(spark, path, source, "c_custkey", ["c_name"], at, time_type=TimestampNTZType(), hard_deletes="invalidate")
+    return history
 
 
 def _asof_long(spark: SparkSession, folder: str, closed: str) -> DataFrame:
     """Order dates of customers looked up in the long history of the same customers' states."""
     states = stage(scd2_replay(spark, folder).withColumnRenamed("o_custkey", "key"), "states")
     facts = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return H.asof_merge_join(facts, states, {"o_custkey": "key"}, "o_orderdate", closed, "month").drop("key")
+    return H.asof_merge_join(facts, states, {"o_custkey": "key"}, "o_orderdate", closed).drop("key")
 
 
 @query
@@ -659,8 +816,53 @@ def dq_suite(spark, folder):
     ])
 
 
+@query
+def dq_incremental(spark, folder):
+    """A primary key checked after each of two loads by stored counts: what the second report and the first one's untouched keys say together."""
+    lines, path = table(spark, folder, "lineitem"), staging_path(spark, "key-counts")
+    key = ["l_orderkey", "l_linenumber"]
+    first = K.count_keys(spark, path, lines.filter("l_returnflag = 'R'"), key)
+    second = K.count_keys(spark, path, lines.filter("l_returnflag <> 'R' OR l_returnflag IS NULL"), key)
+    untouched = first.join(second, key, "left_anti")
+    broken = (F.col("n_records") > 1) | F.col("l_orderkey").isNull() | F.col("l_linenumber").isNull()
+    return second.unionByName(untouched).filter(broken)
+
+
+@query
+def dq_incremental_references(spark, folder):
+    """References of one load checked against the stored key counts of their parent."""
+    parents, children = staging_path(spark, "parent-counts"), staging_path(spark, "child-counts")
+    K.count_keys(spark, parents, _sound_customers(spark, folder), ["c_custkey"])
+    met = K.count_keys(spark, children, table(spark, folder, "orders"), ["o_custkey"])
+    return K.unknown_keys(met, ["o_custkey"], spark.read.parquet(parents), ["c_custkey"])
+
+
+@query
+def dq_star(spark, folder):
+    """Every check that the domain declares, on stored tables made from currencies and rates: valid rows, history, star."""
+    currencies = stage(P.silver_dimension(_currencies(spark, folder), fx.CURRENCIES_RULES, ["code"])[0], "currencies")
+    landed = _landed_rates(spark, folder)
+    rates = stage(landed[0], "rates")
+    history = H.scd2_snapshot(
+        None, B.dedupe_by_key(currencies, [fx.CURRENCY_KEY]), fx.CURRENCY_KEY, list(fx.CURRENCY_CHECK_COLS), _FIRST, time_type=TimestampNTZType())
+    dim = stage(H.scd2_dimension(history, fx.DIM_CURRENCIES), "dim")
+    star = _stored(_star(rates))
+    return Q.dq_suite(
+        {"currencies": currencies, "rates": rates, "dim_currencies": dim, "dim_date": star.dim_date, "fact_rates": star.fact}, fx.CHECKS)
+
+
 # --- layers ----------------------------------------------------------------------------------
 
+@query
+def layer_overwritten(spark, folder):
+    """A small table kept as one file, written twice: the second run replaces the first."""
+    path = staging_path(spark, "suppliers")
+    suppliers = table(spark, folder, "supplier")
+    for part in (suppliers, suppliers.filter("s_acctbal > 0")):
+        K.write_layer(part, path, "overwrite", rebalance=True)
+    return spark.read.parquet(path)
+
+
 @query
 def layer_roundtrip(spark, folder):
     lines = table(spark, folder, "lineitem")
@@ -743,6 +945,16 @@ def silver_dimension_rejected(spark, folder):
     return P.silver_dimension(_currencies(spark, folder), fx.CURRENCIES_RULES, ["code"])[1].select("id", F.col(VAL.ERRORS).alias("errors"))
 
 
+def _landed_rates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected rates between codes of the currencies and some that they lack."""
+    rates = table(spark, folder, "events").select(
+        F.pmod("event_id", F.lit(1200)).cast("string").alias("curr_base"), F.pmod("user_id", F.lit(1300)).cast("string").alias("currency"),
+        V.exact_decimal(F.col("value")).alias("rate"), V.truncate_time(F.col("ts"), "hour", TimestampNTZType()).alias("rate_date"),
+        V.truncate_time(F.col("ts"), "year", TimestampNTZType()).alias("_ingested_at"))
+    codes = rates.select(F.col("curr_base").alias("short_code")).unionByName(rates.select(F.col("currency").alias("short_code"))).distinct()
+    return P.silver_fact(rates, codes, {"curr_base": "short_code", "currency": "short_code"}, fx.RATES_RULES, fx.RATES_KEY)
+
+
 def _silver_rates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, folder, "events")
     rates = events.select(

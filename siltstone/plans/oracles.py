@@ -27,6 +27,16 @@ SELECT p_partkey, CASE WHEN length(p_name) <> 9 THEN 'p_name must be 9 character
 ORACLES["rule_format"] = """
 SELECT p_partkey, CASE WHEN NOT regexp_full_match(p_brand, 'Brand#[0-9]')
   THEN 'p_brand does not match Brand#[0-9]' ELSE '' END AS errors FROM part"""
+ORACLES["rule_type"] = """
+WITH landed AS (SELECT p_partkey, p_partkey % 7 AS odd, p_size, p_retailprice FROM part)
+SELECT p_partkey, CASE WHEN odd <> 0 THEN p_size::VARCHAR END AS size,
+  CASE WHEN odd NOT IN (1, 2) THEN p_retailprice::VARCHAR::DECIMAL(20,10) END AS price,
+  CASE WHEN odd <> 3 THEN (p_size > 25)::VARCHAR END AS large,
+  concat_ws('; ', CASE WHEN odd = 0 THEN 'size is not of type integer' END, CASE WHEN odd = 2 THEN 'price is not of type decimal' END,
+    CASE WHEN odd = 3 THEN 'large is not of type boolean' END,
+    CASE WHEN odd = 0 THEN 'size is required' WHEN p_size > 45 THEN 'size above max 45' END,
+    CASE WHEN odd NOT IN (1, 2) AND p_retailprice::VARCHAR::DECIMAL(20,10) < 1000 THEN 'price must be more than 1000' END) AS errors
+FROM landed"""
 ORACLES["rule_combined"] = """
 SELECT p_partkey, concat_ws(', ',
   CASE WHEN p_size IS NULL THEN 'p_size is required' END,
@@ -67,6 +77,12 @@ kept AS (
 SELECT batch, 'valid' AS verdict, count(*) AS n FROM kept GROUP BY batch
 UNION ALL SELECT batch, 'rejected', count(*) FROM c WHERE errors <> '' GROUP BY batch"""
 
+ORACLES["quarantine_rerun"] = """
+SELECT strftime(l_shipdate, '%Y') AS batch, l_orderkey, l_linenumber, l_quantity FROM lineitem
+WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_quantity > 45
+UNION ALL SELECT strftime(l_shipdate, '%Y'), l_orderkey, l_linenumber, l_quantity - 2 FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity - 2 > 45"""
+
 # --- cleaning --------------------------------------------------------------------------------
 
 _TEXT_LINES = """(SELECT doc_id, i::INT AS pos, string_split(text, chr(10))[i + 1] AS line
@@ -116,6 +132,23 @@ SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN event_type END
     ELSE '{"response":{"date":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","base":"' || event_type || '","rates":'
       || CASE event_type WHEN 'error' THEN '"oops"}}' ELSE props END END AS corrupt
 FROM events WHERE event_type <> 'view'"""
+_EMPTY_TEXT = "event_type = 'view' AND user_id % 2 = 0"
+_NO_ENVELOPE = f"(event_type = 'error' OR ({_EMPTY_TEXT}))"
+_FULL = "event_type NOT IN ('error', 'signup', 'view')"
+ORACLES["payload_rescued"] = f"""
+SELECT event_id, NULL AS curr_base, NULL AS currency, NULL::DECIMAL(20,10) AS rate, NULL::TIMESTAMP AS rate_date,
+  CASE WHEN event_type = 'error' THEN '{{"error":"quota"}}' ELSE '' END AS corrupt,
+  CASE WHEN event_type = 'error' THEN '{{"error":"quota"}}' END AS rescued
+FROM events WHERE {_NO_ENVELOPE}
+UNION ALL SELECT event_id, event_type, NULL, 2.5, date_trunc('second', ts)::TIMESTAMP, 'currency: ', NULL FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, event_type, k, CAST(json_extract_string(props, '$.' || k) AS DECIMAL(20,10)), date_trunc('second', ts)::TIMESTAMP, NULL,
+  CASE WHEN event_type = 'click' THEN '{{"meta":"7","response.note":"late"}}' END
+FROM (SELECT *, unnest(json_keys(props)) AS k FROM events WHERE {_FULL})"""
+ORACLES["records_rescued"] = """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS name,
+  CASE WHEN o_orderstatus = 'P' THEN '{"error":"quota"}' END AS corrupt,
+  CASE WHEN o_orderstatus <> 'P' THEN '{"extra":"' || o_custkey || '"}' END AS rescued
+FROM orders WHERE o_orderstatus <> 'O'"""
 ORACLES["payload_records"] = """
 SELECT o_orderkey, 'status' AS kind, o_orderstatus AS name FROM orders
 UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders"""
@@ -136,6 +169,9 @@ _LATER_LINE = """row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER
   l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC,
   l_linestatus DESC) = 1"""
 
+ORACLES["landed_run_latest"] = """
+SELECT event_id, event_type, user_id, TIMESTAMP '2024-02-02 06:00:00' AS _ingested_at, 'events' AS _source_file,
+  '20240202_060000' AS _batch_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00'"""
 ORACLES["latest_batch"] = """
 SELECT *, date_trunc('day', ts)::TIMESTAMP AS _ingested_at FROM events
 WHERE date_trunc('day', ts) = (SELECT max(date_trunc('day', ts)) FROM events)"""
@@ -179,6 +215,11 @@ SELECT strptime(date_key::VARCHAR, '%Y%m%d%H%M')::TIMESTAMP AS date, curr_base,
 FROM ({ORACLES["fact_incremental"]})"""
 ORACLES["fact_full_refresh"] = f"WITH {_RATES} {_facts('rates', '''rate_date >= TIMESTAMP '2024-01-20 12:00:00' ''')}"
 ORACLES["empty_target_incremental"] = ORACLES["fact_full"]
+ORACLES["star_loaded_empty_first"] = ORACLES["fact_full"]
+ORACLES["fact_by_ledger"] = ORACLES["fact_full"]
+ORACLES["upsert_moved"] = f"""
+SELECT * EXCLUDE (l_returnflag), CASE WHEN l_linenumber = 2 THEN 'X' ELSE l_returnflag END AS l_returnflag
+FROM lineitem QUALIFY {_LATER_LINE}"""
 ORACLES["upsert_delete_insert"] = f"""
 WITH target AS (SELECT * FROM lineitem WHERE l_returnflag <> 'R' QUALIFY {_LATER_LINE}),
 fresh AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY {_LATER_LINE})
@@ -272,6 +313,37 @@ ORACLES["scd2_replay"] = f"WITH {_STATES} SELECT * FROM long_hist"
 ORACLES["scd2_asof_merge"] = f"WITH {_STATES} {_LONG} AND {_HALF}"
 ORACLES["scd2_asof_merge_closed"] = f"WITH {_STATES} {_LONG} AND {_BOTH}"
 
+
+
+def _islands(states: str, key: str, checks: tuple[str, ...]) -> str:
+    """The history of states seen in batches, closed where a key is missing from a batch."""
+    changed = " OR ".join(f"{c} IS DISTINCT FROM lag({c}) OVER w" for c in checks)
+    return f"""WITH {states},
+calendar AS (SELECT seen_at, row_number() OVER (ORDER BY seen_at) AS b, lead(seen_at) OVER (ORDER BY seen_at) AS after
+  FROM (SELECT DISTINCT seen_at FROM states)),
+placed AS (SELECT s.*, b, after, lag(b) OVER w IS NULL OR lag(b) OVER w <> b - 1 OR {changed} AS opens, lead(b) OVER w AS then_b
+  FROM states s JOIN calendar USING (seen_at) WINDOW w AS (PARTITION BY {key} ORDER BY b)),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY {key} ORDER BY b) AS version FROM placed),
+ends AS (SELECT {key}, version, after AS valid_to FROM numbered
+  QUALIFY row_number() OVER (PARTITION BY {key}, version ORDER BY b DESC) = 1)
+SELECT n.{key}, {", ".join(f"n.{c}" for c in checks)}, n.seen_at AS valid_from, e.valid_to
+FROM numbered n JOIN ends e ON n.{key} = e.{key} AND n.version = e.version WHERE n.opens"""
+
+
+ORACLES["scd2_replay_deletes"] = _islands("""states AS (
+  SELECT o_custkey, o_orderpriority, o_orderstatus, date_trunc('month', o_orderdate)::TIMESTAMP AS seen_at FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderpriority DESC, o_orderstatus DESC) = 1)""",
+    "o_custkey", ("o_orderpriority", "o_orderstatus"))
+ORACLES["scd2_backdated"] = _islands("""states AS (
+  SELECT c_custkey, c_nationkey, c_mktsegment, TIMESTAMP '1996-01-01' AS seen_at FROM customer WHERE c_nationkey <> 4
+  UNION ALL SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END, TIMESTAMP '1997-01-01'
+  FROM customer WHERE c_nationkey NOT IN (3, 4)
+  UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment, TIMESTAMP '1998-01-01' FROM customer WHERE c_nationkey <> 5)""",
+    "c_custkey", ("c_nationkey", "c_mktsegment"))
+ORACLES["scd2_stored_deletes"] = f"""
+SELECT c_custkey, c_name, c_mktsegment, {_FIRST} AS valid_from,
+  CASE WHEN c_custkey % 3 = 0 THEN {_SECOND} ELSE TIMESTAMP '2000-01-01' END AS valid_to FROM customer"""
+
 # --- star ------------------------------------------------------------------------------------
 
 ORACLES["fact_readback"] = f"""
@@ -308,8 +380,12 @@ UNION ALL SELECT 'foreign_key', 'lineitem', 'l_orderkey', count(DISTINCT l_order
 UNION ALL SELECT 'relationships', 'orders', 'o_custkey', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'relationships', 'orders', 'o_custkey', count(DISTINCT o_custkey) FROM {_ORPHANS}"""
 
+ORACLES["dq_incremental"] = ORACLES["dq_primary_key"]
+ORACLES["dq_incremental_references"] = ORACLES["dq_relationships"]
+
 # --- layers ----------------------------------------------------------------------------------
 
+ORACLES["layer_overwritten"] = "SELECT * FROM supplier WHERE s_acctbal > 0"
 ORACLES["layer_roundtrip"] = "SELECT * FROM lineitem"
 ORACLES["layer_counts"] = "SELECT count(*) AS n_rows, max(l_orderkey) AS largest FROM lineitem"
 ORACLES["read_optional"] = "SELECT * FROM orders"
@@ -360,19 +436,59 @@ checked AS (SELECT *, concat_ws('; ',
 ORACLES["silver_fact_valid"] = f"""WITH {_SILVER} SELECT * EXCLUDE (errors) FROM checked WHERE errors = ''
 QUALIFY row_number() OVER (PARTITION BY curr_base, currency, rate_date ORDER BY rate DESC) = 1"""
 ORACLES["silver_fact_rejected"] = f"WITH {_SILVER} SELECT * FROM checked WHERE errors <> ''"
+
+
+def _nulls(name: str, columns: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT 'not_null' AS test, '{name}' AS "table", '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS failures FROM {name}""" for c in columns.split())
+
+
+def _repeats(test: str, name: str, columns: str) -> str:
+    return f"""SELECT '{test}', '{name}', '{columns}', count(*) FROM (SELECT 1 FROM {name} GROUP BY {columns} HAVING count(*) > 1)"""
+
+
+def _strays(test: str, name: str, c: str, parent: str, p: str) -> str:
+    return f"SELECT '{test}', '{name}', '{c}', count(DISTINCT {c}) FROM {name} WHERE {c} NOT IN (SELECT {p} FROM {parent})"
+
+
+ORACLES["dq_star"] = f"""WITH {_CURRENCIES},
+currencies AS (SELECT * EXCLUDE (errors) FROM checked WHERE errors = ''),
+rates AS (SELECT * FROM (
+    SELECT (event_id % 1200)::VARCHAR AS curr_base, (user_id % 1300)::VARCHAR AS currency, value::VARCHAR::DECIMAL(20,10) AS rate,
+      date_trunc('hour', ts)::TIMESTAMP AS rate_date, date_trunc('year', ts) AS year FROM events)
+  WHERE year = (SELECT max(date_trunc('year', ts)) FROM events) AND length(curr_base) = 3 AND length(currency) = 3
+    AND rate BETWEEN 0.000001 AND 100000000
+  QUALIFY row_number() OVER (PARTITION BY curr_base, currency, rate_date ORDER BY rate DESC) = 1),
+dim_currencies AS (SELECT short_code AS currency_key, * EXCLUDE (id, short_code), {_FIRST} AS valid_from, true AS is_current FROM currencies
+  QUALIFY row_number() OVER (PARTITION BY short_code ORDER BY id DESC) = 1),
+dim_date AS (SELECT DISTINCT rate_date AS date, {_KEY.format('rate_date')} AS date_key FROM rates),
+fact_rates AS (SELECT *, {_KEY.format('rate_date')} AS date_key FROM rates)
+{_nulls('currencies', 'id name short_code code precision subunit symbol symbol_first decimal_mark')}
+UNION ALL {_nulls('rates', 'curr_base currency rate_date')}
+UNION ALL {_nulls('dim_currencies', 'currency_key name code precision subunit symbol symbol_first decimal_mark valid_from is_current')}
+UNION ALL {_nulls('dim_date', 'date_key date')}
+UNION ALL {_nulls('fact_rates', 'curr_base currency date_key')}
+UNION ALL {_repeats('unique', 'currencies', 'short_code')} UNION ALL {_repeats('unique', 'currencies', 'code')}
+UNION ALL {_repeats('primary_key', 'currencies', 'short_code')} UNION ALL {_repeats('primary_key', 'rates', 'curr_base,currency,rate_date')}
+UNION ALL {_repeats('unique', 'dim_currencies', 'currency_key,valid_from')} UNION ALL {_repeats('unique', 'dim_date', 'date_key')}
+UNION ALL {_strays('foreign_key', 'rates', 'curr_base', 'currencies', 'short_code')}
+UNION ALL {_strays('foreign_key', 'rates', 'currency', 'currencies', 'short_code')}
+UNION ALL {_strays('relationships', 'fact_rates', 'curr_base', 'dim_currencies', 'currency_key')}
+UNION ALL {_strays('relationships', 'fact_rates', 'currency', 'dim_currencies', 'currency_key')}
+UNION ALL {_strays('relationships', 'fact_rates', 'date_key', 'dim_date', 'date_key')}"""
 ORACLES["events_star"] = """
 SELECT date_trunc('minute', ts)::TIMESTAMP AS date, event_type, user_id, value FROM events
 WHERE value BETWEEN 1 AND 300 AND ts >= TIMESTAMP '2024-01-01'
 QUALIFY row_number() OVER (
   PARTITION BY date_trunc('minute', ts), event_type, user_id ORDER BY ts DESC, value DESC) = 1"""
 
-# Decimals leave every query as doubles.
+# Decimals leave every query as their text.
 _DECIMAL_COLUMNS = {
     "payload_explode": ("rate",), "payload_empty_guard": ("rate",), "payload_corrupt": ("rate",), "payload_files_streamed": ("rate",), "decimal_exact": ("price", "discount"),
-    "fact_full": ("rate",), "fact_late_rows": ("rate",), "fact_with_surrogates": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
+    "fact_full": ("rate",), "fact_by_ledger": ("rate",), "star_loaded_empty_first": ("rate",), "payload_rescued": ("rate",), "rule_type": ("price",), "fact_late_rows": ("rate",), "fact_with_surrogates": ("rate",), "fact_full_every_row": ("rate",), "fact_incremental": ("rate",), "fact_full_refresh": ("rate",),
     "empty_target_incremental": ("rate",), "fact_readback": ("rate",), "star_loaded": ("rate",), "fact_topn": ("rate",),
     "silver_fact_valid": ("rate",), "silver_fact_rejected": ("rate",),
 }
 for _name, _columns in _DECIMAL_COLUMNS.items():
-    _doubles = ", ".join(f"{c}::DOUBLE AS {c}" for c in _columns)
-    ORACLES[_name] = f"SELECT * REPLACE ({_doubles}) FROM ({ORACLES[_name]})"
+    _texts = ", ".join(f"{c}::VARCHAR AS {c}" for c in _columns)
+    ORACLES[_name] = f"SELECT * REPLACE ({_texts}) FROM ({ORACLES[_name]})"

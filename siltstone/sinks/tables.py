@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.values import column
 from siltstone.operators.batches import dedupe_by_key
 from siltstone.operators.history import TO, scd2_snapshot
-from siltstone.operators.incremental import upsert_delete_insert
+from siltstone.operators.incremental import upsert_delete_insert, upsert_latest
 from siltstone.operators.validation import ERRORS
 from siltstone.sinks.staging import stage
 from siltstone.sources.layers import find_layer
@@ -121,6 +123,19 @@ def touched_partitions(target: DataFrame, new: DataFrame, partition_col: str) ->
     return target.filter(F.when(part.isNull(), no_value).otherwise(F.array_contains(touched, part)))
 
 
+def holding_partitions(target: DataFrame, new: DataFrame, keys: Sequence[str], partition_col: str) -> DataFrame:
+    """Values of ``partition_col`` in which ``target`` holds a key of ``new``.
+
+    Reads the keys alone, and of them only files and row groups whose statistics reach the keys' span, a scalar subquery."""
+    near = target
+    for k in keys:
+        low, high = (new.agg(f(column(k))).scalar() for f in (F.min, F.max))
+        near = near.filter((column(k) >= low) & (column(k) <= high))
+    wanted = new.select(*[column(k).alias(f"_n_{k}") for k in keys]).distinct()
+    same = [column(k) == column(f"_n_{k}") for k in keys]
+    return near.select(*[column(k) for k in keys], column(partition_col)).join(wanted, same, "left_semi").select(column(partition_col)).distinct()
+
+
 def upsert_partitions(
     spark: SparkSession,
     path: str,
@@ -129,19 +144,62 @@ def upsert_partitions(
     partition_col: str,
     strict: bool = True,
     order_by: Iterable[Column] = (),
+    moving: bool = False,
+    latest: bool = False,
 ) -> None:
     """Delete-and-insert ``new`` into a partitioned Parquet table, rewriting only partitions it touches.
 
-    ``partition_col`` must follow from the key (a day from a date key), so that a key cannot sit in
-    another partition. The merged rows are staged, then swapped in. The table is never read and
-    overwritten in one plan.
+    ``partition_col`` must follow from the key (a day from a date key), so that a key cannot sit in another partition; with ``moving`` it
+    need not: partitions that hold a key of ``new`` are found first and rewritten too, and a row whose partition changed moves.
+    ``latest`` keeps, of stored and new rows of a key, the first by ``order_by`` instead of the new one. The merged rows are staged, then
+    swapped in. The table is never read and overwritten in one plan.
     """
     new = stage(new, "upsert-new")
     # Partition values read back from folder names take the type the new rows give them.
     target = spark.read.parquet(path).withColumn(partition_col, column(partition_col).cast(new.schema[partition_col].dataType))
-    affected = touched_partitions(target, new, partition_col)
-    merged = upsert_delete_insert(affected, new, list(keys), strict, order_by)
-    write_layer(stage(merged, "upsert-merged"), path, "overwrite", [partition_col], list(keys), replace_partitions=True)
+    touched = new.select(column(partition_col))
+    if moving:
+        touched = stage(touched.unionByName(holding_partitions(target, new, keys, partition_col)).distinct(), "upsert-touched")
+    affected = touched_partitions(target, touched, partition_col)
+    if latest:
+        merged = upsert_latest(affected, new, list(keys), order_by)
+    else:
+        merged = upsert_delete_insert(affected, new, list(keys), strict, order_by)
+    merged = stage(merged, "upsert-merged")
+    write_layer(merged, path, "overwrite", [partition_col], list(keys), replace_partitions=True)
+    if moving:  # a partition that all rows have left
+        left = touched.join(merged.select(column(partition_col).alias("_p")).distinct(), column(partition_col).eqNullSafe(F.col("_p")), "left_anti")
+        _empty_partitions(merged, path, partition_col, [r[0] for r in left.distinct().collect()])
+
+
+def count_keys(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], buckets: int = 256) -> DataFrame:
+    """Add a batch to the stored number of rows per key, and return (keys, ``n_records``) of the keys the batch holds.
+
+    The counts are kept by a hash of the key and sorted by it, so a load reads and rewrites only the buckets its keys fall in; the table
+    they count is not read. ``n_records`` over 1, or a NULL in a key, breaks a primary key. Adding a batch twice counts it twice.
+    """
+    names = [column(k) for k in keys]
+    bucket = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
+    new = stage(batch.groupBy(*names).agg(F.count(F.lit(1)).alias("n_records")).withColumn("_bucket", bucket), "keys-new")
+    stored = find_layer(spark, path)
+    merged = new.withColumn("_met", F.lit(True))
+    if stored is not None:
+        near = touched_partitions(stored, new, "_bucket").withColumn("_met", F.lit(False))
+        merged = merged.unionByName(near.select(*merged.columns)).groupBy(*names, "_bucket").agg(
+            F.sum("n_records").alias("n_records"), F.bool_or("_met").alias("_met"))
+    merged = stage(merged, "keys-merged")
+    write_layer(merged.drop("_met"), path, "overwrite", ["_bucket"], list(keys), replace_partitions=True)
+    return merged.filter("_met").select(*names, "n_records")
+
+
+def unknown_keys(met: DataFrame, keys: Sequence[str], stored_parent: DataFrame, parent_keys: Sequence[str], buckets: int = 256) -> DataFrame:
+    """Of the keys a batch holds (see ``count_keys``), those that a parent's stored counts lack; only the buckets they fall in are read."""
+    names = [column(k) for k in keys]
+    types = [stored_parent.schema[p].dataType for p in parent_keys]
+    asked = met.filter(reduce(and_, [n.isNotNull() for n in names])).withColumn(
+        "_bucket", F.pmod(F.xxhash64(*[n.cast(t) for n, t in zip(names, types)]), F.lit(buckets)).cast("int"))
+    near = touched_partitions(stored_parent, asked, "_bucket").select(*[column(p).alias(f"_p{i}") for i, p in enumerate(parent_keys)])
+    return asked.join(near, [n == F.col(f"_p{i}") for i, n in enumerate(names)], "left_anti").drop("_bucket")
 
 
 def _closing_label(at: Column) -> Column:

@@ -176,3 +176,77 @@ def test_lookback_loads_late_rows(spark, tmp_path):
     for batch in (rates(spark, *first), again):
         stored = P.load_star(spark, batch, *paths, "at", ["base", "quote"], ["rate"], lookback=timedelta(hours=1))
     assert rows(stored.fact) == rows(whole.fact)
+
+
+BATCHED = SCHEMA + ", _batch_id string"
+
+
+def test_batches_of_any_age_load_once(spark, tmp_path):
+    """Every order of batches gives the star of all rows; what is loaded need not be landed any more, and is not loaded twice."""
+    import itertools
+
+    data = {
+        "b1": [("E", "U", 1.0, at(1, 5)), ("E", "J", 2.0, at(30)), ("E", "X", 7.0, None)],
+        "b2": [("E", "U", 1.5, at(1, 50)), ("E", "J", 3.0, at(2, day=2))],
+        "b3": [("E", "U", 1.2, at(1, 20)), ("U", "E", 4.0, at(0, day=3)), ("U", "E", 4.5, at(0, day=3))],
+    }
+    whole = build(rates(spark, *[r for b in data.values() for r in b]))
+    for n, order in enumerate(itertools.permutations(data)):
+        paths = [str(tmp_path / f"{n}{name}") for name in ("dim", "fact", "ledger")]
+        for i, name in enumerate(order):
+            landed = [(*r, b) for b in (order[: i + 1] if n % 2 else (name,)) for r in data[b]]
+            star = P.load_batches(spark, spark.createDataFrame(landed, BATCHED), *paths, "at", ["base", "quote"], ["rate"])
+        assert rows(star.fact) == rows(whole.fact) and rows(star.dim_date) == rows(whole.dim_date)
+        if n:
+            continue
+        files = {p.name for p in (tmp_path / f"{n}fact").rglob("*.parquet")}
+        again = P.load_batches(spark, spark.createDataFrame(landed, BATCHED), *paths, "at", ["base", "quote"], ["rate"])
+        assert rows(again.fact) == rows(whole.fact) and files == {p.name for p in (tmp_path / f"{n}fact").rglob("*.parquet")}
+        assert rows(spark.read.parquet(paths[2])) == [("b1", 3), ("b2", 2), ("b3", 3)]
+
+
+def test_a_load_reads_only_missing_batches(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    landed = spark.range(40).select("id", F.concat(F.lit("b"), (F.col("id") % 10).cast("string")).alias("_batch_id"))
+    K.write_layer(landed.unionByName(landed.filter("id = 0").withColumn("_batch_id", F.lit(None).cast("string"))), path, partition_by=["_batch_id"])
+    ledger = spark.createDataFrame([(f"b{i}", 4) for i in range(8)], "_batch_id string, n_rows bigint")
+    missing = I.unloaded(spark.read.parquet(path), ledger)
+    assert partitions_read(spark, missing)[0] == 3 and missing.count() == 9  # b8, b9 and the rows without a batch
+    assert I.unloaded(landed, None) is landed
+    assert rows(I.batch_entries(missing)) == [("b8", 4), ("b9", 4)]
+
+
+def test_ledger_facts_hold_surrogates(spark, tmp_path):
+    history = spark.createDataFrame(
+        [("E", at(0), at(10)), ("E", at(10), None)], "code string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    role = S.AsOfRole(history, {"base": "code"}, {"since": "valid_from"})
+    paths = [str(tmp_path / name) for name in ("dim", "fact", "ledger")]
+    for batch in ([("E", "U", 1.0, at(11), "b2")], [("E", "U", 2.0, at(9), "b1"), ("Z", "U", 2.0, at(9), "b1")]):
+        star = P.load_batches(spark, spark.createDataFrame(batch, BATCHED), *paths, "at", ["base", "quote"], ["rate"], histories=[role])
+    assert rows(star.fact.select("base", "rate", "since")) == sorted([("E", 1.0, at(10)), ("E", 2.0, at(0)), ("Z", 2.0, None)], key=str)
+
+
+def test_moving_upsert_leaves_one_row_per_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "k int, j int, part string, v int"
+    old = [(k, j, "abc"[(k + j) % 3], 0) for k in range(30) for j in range(2)] + [(99, 0, None, 0), (98, 0, "lone", 0)]
+    K.write_layer(spark.createDataFrame(old, schema), path, partition_by=["part"])
+    new = [(1, 0, "c", 1), (2, 1, "new", 1), (3, 0, "b", 1), (99, 0, "a", 1), (98, 0, "a", 1), (500, 0, "a", 1), (4, 0, None, 1)]
+    frame = spark.createDataFrame(new, schema)
+    for _ in range(2):
+        K.upsert_partitions(spark, path, frame, ["k", "j"], "part", moving=True)
+        want = [r for r in old if r[:2] not in {n[:2] for n in new}] + new
+        assert rows(spark.read.parquet(path).select("k", "j", "part", "v")) == sorted(want, key=str)
+    holding = K.holding_partitions(spark.read.parquet(path), frame, ["k", "j"], "part")
+    assert {r[0] for r in holding.collect()} == {"a", "b", "c", "new", None}
+    plan = holding._jdf.queryExecution().executedPlan().toString()
+    assert "v#" not in plan.split("ReadSchema")[1][:40]
+
+
+def test_moving_upsert_leaves_other_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    K.write_layer(spark.createDataFrame([(k, k % 5, 0) for k in range(50)], "k int, part int, v int"), path, partition_by=["part"])
+    kept = {p.name for p in (tmp_path / "t").glob("part=[124]/*.parquet")}
+    K.upsert_partitions(spark, path, spark.createDataFrame([(3, 0, 1)], "k int, part int, v int"), ["k"], "part", moving=True)
+    assert kept and kept == {p.name for p in (tmp_path / "t").glob("part=[124]/*.parquet")}
+    assert rows(spark.read.parquet(path).filter("k = 3").select("k", "part", "v")) == [(3, 0, 1)]

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 from decimal import Decimal
 
@@ -16,7 +17,7 @@ def payload(date='"2026-05-11T11:29:37Z"', rates='{"USD": 1.23456789015, "JPY":
 
 
 def test_map_payload(spark):
-    df = spark.createDataFrame([(payload(),), (payload(rates="[]"),), (payload(rates="{}"),), (payload(rates="null"),), (None,)], "p string")
+    df = spark.createDataFrame([(payload(),), (payload(rates="[]"),), (payload(rates="{}"),), (payload(rates="null"),)], "p string")
     when = datetime(2026, 5, 11, 11, 29, 37)
     assert rows(L.land_map_payload(df, "p", ntz=True)) == [
         ("EUR", "JPY", None, when, None), ("EUR", "USD", Decimal("1.2345678902"), when, None)]
@@ -81,8 +82,52 @@ def test_records_keep_corrupt_payloads(spark):
         (1, 1, "EUR", True, None), (1, 2, None, None, None), (2, None, None, None, "{broken")]
 
 
+def test_no_document_is_lost(spark):
+    """Rows in are rows landed, rows corrupt, and documents that declare themselves empty."""
+    kinds = {
+        "rows": ['{"response": {"date": "2026-05-11T11:29:37Z", "base": "EUR", "rates": {"USD": 1.5}}}', '{"response": {"rates": {"USD": 2}}}'],
+        "empty": ['{"response": {"rates": []}}', '{"response": {"rates": {}}}', '{"response": {"rates": null}}', '{"response": {"base": "EUR", "rates": [ ]}}'],
+        "corrupt": ['{"error": "quota"}', "", "  ", None, "[]", "{}", '{"response": {}}', '{"response": null}', '{"response": []}', "42", '"x"', "{cut", '{"response": {"rates": "n/a"}}', '{"response": {"base": "EUR"}}', "null"],
+    }
+    data = [(kind, i, t) for kind, texts in kinds.items() for i, t in enumerate(texts)]
+    landed = L.land_map_payload(spark.createDataFrame(data, "kind string, i int, p string"), "p", ntz=True)
+    good, bad = L.split_corrupt(landed)
+    assert sorted((r.kind, r.i) for r in good.collect()) == [("rows", 0), ("rows", 1)]
+    found = {(r.kind, r.i): r[L.CORRUPT] for r in bad.collect()}
+    assert found == {("corrupt", i): t or "" for i, t in enumerate(kinds["corrupt"])} and len(found) == bad.count()
+
+
+def test_fields_beyond_the_schema_are_rescued(spark):
+    texts = [
+        '{"response": {"date": null, "base": "EUR", "rates": {"USD": 1.5}, "note": "x", "more": {"a": [1]}}, "version": 2}',
+        '{"response": {"base": "EUR", "rates": {"USD": 1.5, "": 2}}}', '{"error": {"code": 7}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, p string")
+    got = L.land_map_payload(df, "p", rescue=True)
+    assert got.columns == ["i", "curr_base", "currency", "rate", "rate_date", L.CORRUPT, L.RESCUED]
+    assert sorted((r.i, r.currency or "", r[L.CORRUPT], json.loads(r[L.RESCUED] or "null")) for r in got.collect()) == [
+        (0, "USD", None, {"version": "2", "response.note": "x", "response.more": '{"a":[1]}'}),
+        (1, "", "currency: ", None), (1, "USD", None, None), (2, "", texts[2], {"error": '{"code":7}'})]
+
+
+def test_records_rescue_and_report(spark):
+    schema = fx.CURRENCIES_SCHEMA
+    texts = ['{"response": [{"id": 1, "extra": true}, {"id": 2}, {"extra": {"a": 1}}]}', '{"error": "quota"}', "", None, "[1]", '{"response": []}', '{"response": null}']
+    got = L.explode_records(spark.createDataFrame(list(enumerate(texts)), "n int, p string"), "p", schema, rescue=True)
+    assert got.columns == ["n", *schema.names, L.CORRUPT, L.RESCUED]
+    assert rows(got.select("n", "id", L.CORRUPT, L.RESCUED)) == sorted([
+        (0, 1, None, '{"extra":"true"}'), (0, 2, None, None), (0, None, None, '{"extra":"{\\"a\\":1}"}'),
+        (1, None, texts[1], None), (2, None, "", None), (3, None, "", None), (4, None, "[1]", None)], key=str)
+
+
+def test_land_whole_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n"response": [\n{"id": 1},\n{"id": 2}]\n}\n')
+    (tmp_path / "b.json").write_text('{"error":\n"quota"}')
+    got = L.land_records(spark, str(tmp_path), fx.CURRENCIES_SCHEMA, multi_line=True)
+    assert rows(got.select("id", L.CORRUPT)) == sorted([(1, None), (2, None), (None, '{"error":\n"quota"}')], key=str)
+
+
 def test_land_records_from_files(spark, tmp_path):
-    (tmp_path / "a.json").write_text(RECORDS + "\n{broken\n")
+    (tmp_path / "a.json").write_text(RECORDS + "\n\n{broken\n")
     got = L.land_records(spark, str(tmp_path), fx.CURRENCIES_SCHEMA)
     assert rows(got.select("id", L.CORRUPT)) == [(1, None), (2, None), (None, "{broken")]
 

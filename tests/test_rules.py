@@ -110,3 +110,33 @@ def test_load_rules_from_yaml(tmp_path):
     file.write_text("")
     with pytest.raises(ValueError):
         read_rules(str(file))
+
+
+def test_types_are_read_row_by_row(spark):
+    rules = {
+        "id": {"type": "integer", "required": True, "min": 1}, "rate": {"type": "decimal", "max_rate_value": 10},
+        "at": {"type": "datetime"}, "flag": {"type": "boolean"}, "name": {"type": "string", "required": True}, "n": {"type": "integer"}}
+    data = [
+        ("1", "1.5", "2024-01-02 03:04:05", "true", "a", 1), ("x", "12", "soon", "maybe", None, 2), (" 7 ", " ", "", None, "b", None),
+        (None, "1e2", "2024-13-01", "0", "c", 3), ("99999999999", "n/a", None, "no", "d", 4)]
+    df = spark.createDataFrame(data, "id string, rate string, at string, flag string, name string, n int")
+    read = VAL.cast_types(df, rules)
+    assert dict(read.dtypes) | {VAL.ERRORS: "string"} == {
+        "id": "int", "rate": "decimal(20,10)", "at": "timestamp", "flag": "boolean", "name": "string", "n": "int", VAL.ERRORS: "string"}
+    assert [r.id for r in read.collect()] == [1, None, 7, None, None]
+    found = [r[VAL.ERRORS] for r in VAL.validate(read, rules).collect()]
+    assert found == [
+        "", "id is not of type integer; at is not of type datetime; flag is not of type boolean; id is required; rate must be less than 10; name is required",
+        "", "at is not of type datetime; id is required; rate must be less than 10",
+        "id is not of type integer; rate is not of type decimal; id is required"]
+
+
+def test_types_keep_earlier_errors_and_refuse_unknown_ones(spark):
+    df = spark.createDataFrame([("x", "was"), ("1", "")], f"id string, {VAL.ERRORS} string")
+    read = VAL.cast_types(df, {"id": {"type": "integer"}})
+    assert [r[VAL.ERRORS] for r in read.collect()] == ["was; id is not of type integer", ""]
+    assert VAL.cast_types(df, {"id": {"type": "string"}}) is df
+    assert VAL.cast_types(df.drop(VAL.ERRORS), {}).columns == ["id", VAL.ERRORS]
+    assert VAL.cast_types(df, {"id": {"type": "decimal"}}, read_as={"decimal": "decimal(5,2)"}).schema["id"].dataType.simpleString() == "decimal(5,2)"
+    with pytest.raises(ValueError, match="unknown types"):
+        VAL.cast_types(df, {"id": {"type": "money"}})

@@ -47,15 +47,15 @@ def main(copies: int) -> None:
         states = stage(replicated(spark, copies, hot).repartition(16), "states")
         n = states.count()
         rank = [F.col("at").desc()]
-        versions = stage(H.scd2_replay(states, "key", ["o_orderstatus"], "at", "week"), "versions").withColumnRenamed("key", "k")
+        versions = stage(H.scd2_replay(states, "key", ["o_orderstatus"], "at"), "versions").withColumnRenamed("key", "k")
         runs = {
             "dedupe_by_key": lambda: B.dedupe_by_key(states, ["key"], rank),
             "keep_known": lambda: B.keep_known(states, states.select("key"), {"key": "key"}),
             "dq_primary_key": lambda: Q.dq_primary_key(states, ["key"]),
             "date_dimension": lambda: I.date_dimension(states, "at"),
             "upsert": lambda: I.upsert_delete_insert(states, states.filter("o_orderpriority = '1-URGENT'"), ["key", "at"]),
-            "scd2_replay": lambda: H.scd2_replay(states, "key", ["o_orderstatus"], "at", "week"),
-            "asof_merge_join": lambda: H.asof_merge_join(states, versions.drop("o_orderpriority", "o_totalprice"), {"key": "k"}, "at", bucket="week"),
+            "scd2_replay": lambda: H.scd2_replay(states, "key", ["o_orderstatus"], "at"),
+            "asof_merge_join": lambda: H.asof_merge_join(states, versions.drop("o_orderpriority", "o_totalprice"), {"key": "k"}, "at"),
         }
         for name, run in runs.items():
             begun = time.perf_counter()
