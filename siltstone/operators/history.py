@@ -165,26 +165,29 @@ def scd2_splice(
     return past.unionByName(changed).unionByName(later)
 
 
-def _changes(rows: DataFrame, table: DataFrame, keys: list[str], check_cols: list[str], ts: str) -> DataFrame:
-    """Of rows dealt from a table with ranges, those that differ from the row of their key before, or have none."""
+def _changes(part: ordered.Ordered, rows: DataFrame, check_cols: list[str], ts: str) -> DataFrame:
+    """Of rows chosen by key and range, those that differ from the row of their key before, or have none."""
     now = F.struct(*[column(c) for c in check_cols])
-    compared = ordered.neighbour(rows, table, keys, [ts], now, "_before", -1)
+    compared = ordered.neighbour(part, rows, [ts], now, "_before", -1)
     return compared.filter(F.col("_before").isNull() | _differs(F.col("_before"), now, check_cols)).drop("_before")
 
 
 def scd2_replay(batches: DataFrame, key: str | list[str], check_cols: list[str], ts: str) -> DataFrame:
     """The history that snapshots of every batch in turn would have built, in one go, where no key vanishes.
 
-    Changes and interval ends are found inside ranges of (key, time); one row per range crosses to the next. So a key with a third of
-    all rows is spread over a third of the ranges, also where they fall on one day. See ``scd2_replay_deletes`` for keys that vanish.
+    Changes and interval ends are found per key and, for hot keys, per range of (key, time), of which one row crosses to the next. So a
+    key with a third of all rows is spread over many tasks, also where they fall on one day. See ``scd2_replay_deletes`` for keys that vanish.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    ranges = ordered.ranged(_batch_rows(batches, keys, ts), keys, [ts])
-    changes = _changes(ranges.dealt, ranges.table, keys, check_cols, ts)
-    # What crosses from later ranges belongs to keys that span ranges: only their changes are looked for again.
-    crossing = ranges.table.join(F.broadcast(ordered.spanning(ranges, keys)), [ordered.RANGE, *keys], "left_semi")
-    ahead = _changes(ranges.deal(crossing), ranges.table, keys, check_cols, ts)
-    ended = ordered.neighbour(changes, ahead, keys, [ts], column(ts), TO, 1)
+
+    def versions(part: ordered.Ordered) -> DataFrame:
+        changes = _changes(part, part.rows, check_cols, ts)
+        # What crosses from later ranges belongs to keys that span ranges: only their changes are looked for again.
+        ahead = _changes(part, part.deal(part.spanning(part.table)), check_cols, ts) if part.n else None
+        return ordered.neighbour(part, changes, [ts], column(ts), TO, 1, ahead)
+
+    rows = _batch_rows(batches, keys, ts)
+    ended = ordered.in_order(rows, keys, [ts], versions, counted=batches)
     return ended.withColumnRenamed(ts, FROM).select(*[column(c) for c in batches.columns if c != ts], FROM, TO)
 
 
@@ -206,23 +209,26 @@ def scd2_replay_deletes(batches: DataFrame, key: str | list[str], check_cols: li
     keys = [key] if isinstance(key, str) else list(key)
     calendar = _calendar(batches, ts)
     rows = _batch_rows(batches, keys, ts).join(calendar, column(ts) == F.col("_at"), "left").drop("_at")
-    ranges = ordered.ranged(rows, keys, [ts])
-    rows, table = ranges.dealt, ranges.table
-
     now = F.struct("_batch", *[column(c) for c in check_cols])
-    compared = ordered.neighbour(rows, table, keys, [ts], now, "_before", -1)
-    before = F.col("_before")
+    before, following = F.col("_before"), F.col("_following")
     absent = before.isNull() | (before["_batch"] != F.col("_batch") - 1)
-    opened = compared.filter(absent | _differs(before, now, check_cols)).drop("_before")
-    following = ordered.neighbour(rows, table, keys, [ts], F.col("_batch"), "_following", 1)
-    missing = F.col("_following").isNull() | (F.col("_following") != F.col("_batch") + 1)
-    last_seen = following.filter(F.col("_next").isNotNull() & missing).drop("_following")
-    # At one batch a version may open and the key be last seen: the opening stands first, the end is that of the batch after it.
-    both = opened.withColumn("_ends", F.lit(False)).unionByName(last_seen.withColumn("_ends", F.lit(True)))
-    marks = stage(both.withColumn("_turn", F.col("_ends").cast("int")), "marks")
-    near = marks.join(F.broadcast(ordered.spanning(ranges, keys)), [ordered.RANGE, *keys], "left_semi")
+    missing = F.col("_next").isNotNull() & (following.isNull() | (following != F.col("_batch") + 1))
     what = F.struct(column(ts).alias("at"), F.col("_ends").alias("ends"), F.col("_next").alias("next"))
-    ended = ordered.neighbour(ranges.deal(marks), near, keys, [ts, "_turn"], what, "_then", 1)
+
+    def versions(part: ordered.Ordered) -> DataFrame:
+        compared = ordered.neighbour(part, part.rows, [ts], now, "_before", -1)
+        compared = ordered.neighbour(part, compared, [ts], F.col("_batch"), "_following", 1)
+        # At one batch a version may open and the key be last seen: the opening stands first, the end is that of the batch after it.
+        marks = F.array_compact(F.array(
+            F.when(absent | _differs(before, now, check_cols), F.lit(False)), F.when(missing, F.lit(True))))
+        marked = compared.withColumn("_ends", F.explode(marks)).withColumn("_turn", F.col("_ends").cast("int"))
+        marked = marked.drop("_before", "_following")
+        if part.n:
+            marked = stage(marked, "marks")
+        near = part.spanning(marked) if part.n else None
+        return ordered.neighbour(part, part.deal(marked), [ts, "_turn"], what, "_then", 1, near)
+
+    ended = ordered.in_order(rows, keys, [ts], versions, counted=batches)
     then = F.col("_then")
     to = F.when(then["ends"], then["next"]).otherwise(then["at"])
     return ended.filter(~F.col("_ends")).withColumn(TO, to).withColumnRenamed(ts, FROM).select(
@@ -307,12 +313,20 @@ def _known(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(reduce(and_, [column(k).isNotNull() for k in [*keys, "_at"]]))
 
 
+def _latest_versions(both: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts (turn 1) of a tagged union, each with the latest ``_version`` (turn 0) that began by its moment as ``_valid``, NULL without one."""
+    order = ["_at", "_turn"]
+
+    def matched(part: ordered.Ordered) -> DataFrame:
+        return ordered.last_known(part, order, "_version", "_valid").filter(F.col("_turn") == 1)
+
+    return ordered.in_order(both, keys, order, matched, ["_tie"])
+
+
 def _valid_versions(both: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts (turn 1) of a tagged union, each with the ``_version`` (turn 0) open at its moment as ``_valid``."""
-    ranges = ordered.ranged(both, keys, ["_at", "_turn"], ["_tie"])
-    matched = ordered.last_known(ranges, keys, ["_at", "_turn"], "_version", "_valid").filter(F.col("_turn") == 1)
+    """Of these, the facts whose version is still open at their moment."""
     ends = F.col("_valid")[TO]
-    return matched.filter(F.col("_valid").isNotNull() & (ends.isNull() | (F.col("_at") < ends)))
+    return _latest_versions(both, keys).filter(F.col("_valid").isNotNull() & (ends.isNull() | (F.col("_at") < ends)))
 
 
 def asof_join(fact: DataFrame, dim: DataFrame, on: Mapping[str, str], ts: str, closed: str = "half") -> DataFrame:
@@ -325,9 +339,11 @@ def versions_at(fact: DataFrame, ts: str, wanted: Sequence[tuple[DataFrame, Mapp
     ``ts``, NULL without one. Key and ``valid_from`` name a version, so its attributes can be fetched afterwards.
 
     One tagged union holds the marks of all facts, once per wanted history, and every history's versions, once however often it is
-    wanted. One ordered pass over its ranges finds all versions: no fact is paired with a version it does not get. Marks are narrow; the
-    facts are written once, numbered, and meet the results by number.
+    wanted. One ordered pass over it finds all versions: no fact is paired with a version it does not get. Marks are narrow; the
+    facts are written once, numbered, and meet the results by number. A single history is met by the facts themselves.
     """
+    if len(wanted) == 1:
+        return _version_at(fact, ts, *wanted[0])
     numbered = stage(fact.withColumn("_row", F.monotonically_increasing_id()), "facts")
     groups: dict[tuple, int] = {}
     asked, given = [], []
@@ -343,6 +359,8 @@ def versions_at(fact: DataFrame, ts: str, wanted: Sequence[tuple[DataFrame, Mapp
             given.append(_spelled(versions, keys).select(F.lit(groups[group]).alias("_group"), "_key", "_at", "_turn", "_version"))
         asked.append(_spelled(_known(facts, keys), keys).select(
             F.lit(groups[group]).alias("_group"), "_key", "_at", "_turn", F.col("_row").alias("_tie"), F.lit(i).alias("_wanted")))
+    # Written once, as they are counted before they are ordered; they are narrow.
+    given = [stage(reduce(DataFrame.unionByName, given), "versions")]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*asked, *given])
     found = _valid_versions(both, ["_group", "_key"]).select("_tie", "_wanted", F.col("_valid")[FROM].alias("_from"))
     names = [f"_from{i}" for i in range(len(wanted))]
@@ -352,6 +370,23 @@ def versions_at(fact: DataFrame, ts: str, wanted: Sequence[tuple[DataFrame, Mapp
     return joined.select(*[column(c) for c in fact.columns], *exact)
 
 
+def _version_at(fact: DataFrame, ts: str, history: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    """``versions_at`` for one history: facts go through the ordered pass whole, and those without a key or time past it."""
+    keys, time_type = [f"_k{i}" for i in range(len(on))], history.schema[FROM].dataType
+    asked = fact.withColumns({k: column(f).try_cast(history.schema[d].dataType) for k, (f, d) in zip(keys, on.items())})
+    asked = asked.withColumns({
+        "_at": column(ts).cast(time_type), "_turn": F.lit(1), "_fact": F.struct(*[column(c) for c in fact.columns]),
+        "_tie": F.xxhash64(*[column(c) for c in fact.columns])})
+    versions = _known(_sided(history, keys, list(on.values()), FROM, 0), keys).withColumn("_version", F.struct(FROM, TO))
+    both = _known(asked, keys).select(*keys, "_at", "_turn", "_tie", "_fact").unionByName(
+        versions.select(*keys, "_at", "_turn", "_version"), allowMissingColumns=True)
+    valid, open_at = F.col("_valid"), F.col("_valid")[TO].isNull() | (F.col("_at") < F.col("_valid")[TO])
+    found = _latest_versions(both, keys).select("_fact.*", F.when(valid.isNotNull() & open_at, valid[FROM]).alias("_from0"))
+    whole = reduce(and_, [column(k).isNotNull() for k in [*keys, "_at"]])
+    past = asked.filter(~whole).select(*[column(c) for c in fact.columns], F.lit(None).cast(time_type).alias("_from0"))
+    return found.unionByName(past)
+
+
 def _spelled(df: DataFrame, keys: list[str]) -> DataFrame:
     """With ``_key``: the keys as one text, so that histories with keys of any type share a column."""
     texts = [column(k).cast("string") for k in keys]

@@ -1,14 +1,14 @@
-"""Neighbouring rows of a key in order, without putting a whole key into one task.
+"""Neighbouring rows of a key in order, without putting a hot key into one task.
 
-A window partitioned by key alone hands every row of a hot key to one task. Here rows are first dealt to ranges of (key, order, tie) of
-about equal size, whatever the keys: a hot key fills many ranges, many small keys share one. Windows run per (key, range), a range to a task. A key goes on from
-one range to the next only as the last of the one and the first of the other, so all that must cross is one row per range. Keys and order
-must not be NULL.
+A window partitioned by key hands every row of a key to one task, which serves as long as no key has far more rows than others. Keys are
+counted first. Those with more rows than half a task's share are dealt to ranges of (key, order, tie) of about equal size: a hot key
+fills many ranges. Their windows run per (key, range), a range to a task. A key goes on from one range to the next only as the last of
+the one and the first of the other, so all that must cross is one row per range. Keys and order must not be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -19,49 +19,80 @@ from siltstone.sinks.staging import stage
 
 RANGE = "_range"
 
+# Rows up to which no key is hot, whatever the number of tasks.
+_FEW = 1_000
+
 
 def _all(names: Sequence[str]) -> list[Column]:
     return [column(n) for n in names]
 
 
 @dataclass(frozen=True)
-class Ranges:
-    """Rows with the number of their range: as written, and how many numbers there are."""
+class Ordered:
+    """Rows whose keys are whole (``n`` is 0), or numbered by range, as written, and how many numbers there are."""
 
     table: DataFrame
-    n: int
+    keys: tuple[str, ...]
+    n: int = 0
 
     @property
-    def dealt(self) -> DataFrame:
-        """Every range in a task of its own, which windows by (key, range) take as it is."""
+    def rows(self) -> DataFrame:
+        """All rows; every range in a task of its own, which windows by (key, range) take as it is."""
         return self.deal(self.table)
 
     def deal(self, rows: DataFrame) -> DataFrame:
         """Rows chosen from the table, dealt like it."""
-        return rows.repartitionById(self.n, column(RANGE))
-
-
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequence[str] = ()) -> Ranges:
-    """``df`` dealt to ranges and written once, with the number of each row's range.
+        return rows.repartitionById(self.n, column(RANGE)) if self.n else rows
+
+    def window(self, order: Sequence[str]):
+        return Window.partitionBy(*_all([*self.keys, *([RANGE] if self.n else [])])).orderBy(*_all(order))
+
+    def spanning(self, rows: DataFrame) -> DataFrame:
+        """Rows of the keys that go on from the range before; there is one such key in a range at most."""
+        key = F.struct(*_all(self.keys))
+        ends = self.table.groupBy(RANGE).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+        before = F.lag("_last").over(Window.orderBy(RANGE))
+        going_on = ends.withColumn("_before", before).filter("_first = _before").select(RANGE, "_first.*")
+        return rows.join(F.broadcast(going_on), [RANGE, *self.keys], "left_semi")
+
+
+def _hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int] | None:
+    """Keys with more rows than half a task's share, and the number of ranges of that size their rows fill; None if there are none.
+
+    The keys are counted with a partial aggregate. With P tasks there can be no more than 2 P such keys, and only those come back."""
+    spark = df.sparkSession
+    most, total = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), Observation("rows")
+    counted = df.groupBy(*_all(keys)).agg(F.count(F.lit(1)).alias("_rows")).observe(total, F.sum("_rows").alias("total"))
+    top = counted.filter(F.col("_rows") > _FEW).orderBy(F.col("_rows").desc()).limit(most).collect()
+    share = max((total.get["total"] or 0) / most, _FEW)
+    hot = [r for r in top if r["_rows"] > share]
+    if not hot:
+        return None
+    schema = df.select(*_all(keys)).schema
+    return spark.createDataFrame([tuple(r)[:-1] for r in hot], schema), int(sum(r["_rows"] for r in hot) // share) + 1
+
+
+def in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[Ordered], DataFrame], tie: Sequence[str] = (),
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """What ``work`` makes of ``df``, done for hot keys by range and for all others by key.
 
-    Rows equal in keys, order and ``tie`` share a range, so name a ``tie`` where many rows of a key may fall on one moment. The table is
-    written because a range is found by sampling: read twice, it must be the same. Adaptive execution joins ranges that are small.
+    Rows equal in keys, order and ``tie`` share a range, so name a ``tie`` where many rows of a key may fall on one moment. ``counted`` are rows
+    with the same keys to count instead, where they are quicker to come by. Rows of hot keys are written, numbered, before the work: a range is
+    found by sampling, and read twice, it must be the same.
     """
+    found = _hot_keys(df if counted is None else counted, keys)
+    if found is None:
+        return work(Ordered(df, tuple(keys)))
+    hot, n = found
     last = Observation("ranges")
-    dealt = df.repartitionByRange(*_all([*keys, *order, *tie])).withColumn(RANGE, F.spark_partition_id())
+    some = df.join(F.broadcast(hot), list(keys), "left_semi")
+    dealt = some.repartitionByRange(n, *_all([*keys, *order, *tie])).withColumn(RANGE, F.spark_partition_id())
     written = stage(dealt.observe(last, F.max(RANGE).alias("last")), "ranged")
-    return Ranges(written, (last.get["last"] or 0) + 1)
-
-
-def _here(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*_all([*keys, RANGE])).orderBy(*_all(order))
-
-
-def spanning(ranges: Ranges, keys: Sequence[str]) -> DataFrame:
-    """(range, keys) of the keys that go on from the range before: one row per range at most."""
-    key = F.struct(*_all(keys))
-    ends = ranges.table.groupBy(RANGE).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    return ends.withColumn("_before", F.lag("_last").over(Window.orderBy(RANGE))).filter("_first = _before").select(RANGE, "_first.*")
+    ranged = Ordered(written, tuple(keys), (last.get["last"] or 0) + 1)
+    others = df.join(F.broadcast(hot), list(keys), "left_anti")
+    return work(Ordered(others, tuple(keys))).unionByName(work(ranged).drop(RANGE))
 
 
 def _crossing(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, step: int) -> DataFrame:
@@ -92,27 +123,33 @@ def _with_crossing(rows: DataFrame, keys: Sequence[str], crossing: DataFrame) ->
 
 
 def neighbour(
-    rows: DataFrame, edges: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, step: int
+    part: Ordered, rows: DataFrame, order: Sequence[str], value: Column, name: str, step: int, edges: DataFrame | None = None
 ) -> DataFrame:
     """Add ``value`` (never NULL) of the previous (``step=-1``) or next (``step=1``) row of the same key.
 
-    ``rows`` are dealt by range, and (keys, order) is unique. What crosses is taken from ``edges``: for the previous row the whole table that
-    ``rows`` were chosen from, for the next one rows that hold at least those of ``spanning`` keys.
+    ``rows`` are chosen from those of ``part``, and (keys, order) is unique. What crosses from range to range is taken from ``edges``: by default
+    from all of the table, which is right for the previous row of any rows and for the next one of all; for the next one of
+    some, from rows that hold at least these of ``spanning`` keys.
     """
     look = F.lag if step < 0 else F.lead
-    here = _here(keys, order)
+    here = part.window(order)
+    if not part.n:
+        return rows.withColumn(name, look(value).over(here))
     at_edge = look(F.lit(True)).over(here).isNull()
     inside = rows.withColumns({"_inside": look(value).over(here), "_at_edge": at_edge})
-    crossed = _with_crossing(inside, keys, _crossing(edges, keys, order, value, step))
+    crossed = _with_crossing(inside, part.keys, _crossing(part.table if edges is None else edges, part.keys, order, value, step))
     return crossed.withColumn(name, F.when(F.col("_at_edge"), F.col("_crossed")).otherwise(F.col("_inside"))).drop("_inside", "_at_edge", "_crossed")
 
 
-def last_known(ranges: Ranges, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def last_known(part: Ordered, order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the latest non-NULL ``value`` at or before each row of the same key.
 
     ``order`` must put a value that applies from a moment on ahead of the rows of that moment.
     """
-    upto = _here(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ranges.dealt.withColumn("_inside", F.last(column(value), ignorenulls=True).over(upto))
-    crossed = _with_crossing(inside, keys, _crossing(ranges.table, keys, order, column(value), -1))
+    upto = part.window(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.last(column(value), ignorenulls=True).over(upto)
+    if not part.n:
+        return part.rows.withColumn(name, latest)
+    inside = part.rows.withColumn("_inside", latest)
+    crossed = _with_crossing(inside, part.keys, _crossing(part.table, part.keys, order, column(value), -1))
     return crossed.withColumn(name, F.coalesce("_inside", "_crossed")).drop("_inside", "_crossed")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from siltstone.operators import history as H
+from siltstone.operators import ordered
 from siltstone.sinks.staging import stage
 from siltstone.sinks.tables import save_snapshot
 from frames import rows
 
 
 @pytest.fixture
-def many_ranges(spark):
-    """As many ranges as shuffle partitions, as with much data."""
+def many_ranges(spark, monkeypatch):
+    """Many tasks, and keys of a few rows hot already, as with much data."""
+    monkeypatch.setattr(ordered, "_FEW", 5)
     kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", "12")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -169,7 +171,7 @@ HOT = 6_000
 
 def hot_rows(spark):
     """A third of all rows are one key's and fall on one day; every row is a change."""
-    even = [(f"k{i % 100}", "xyz"[i // 100 % 3], i % 7, "n", T1 + timedelta(hours=i // 100)) for i in range(2 * HOT)]
+    even = [(f"k{i % 1000}", "xyz"[i // 1000 % 3], i % 7, "n", T1 + timedelta(hours=i // 1000)) for i in range(2 * HOT)]
     hot = [("hot", "xyz"[i % 3], i % 7, "n", T2 + timedelta(seconds=i)) for i in range(HOT)]
     return spark.createDataFrame(even + hot, SCHEMA + ", at timestamp_ntz").repartition(5)
 
@@ -189,7 +191,7 @@ def test_replay_spreads_a_hot_key_of_one_day(spark, many_ranges):
 
 def test_asof_spreads_a_hot_key_and_a_hot_moment(spark, many_ranges):
     versions = spark.createDataFrame(
-        [(f"k{i}", "x", T1, None) for i in range(100)] + [("hot", "x", T1, T2), ("hot", "y", T2, None)], "k string, a string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+        [(f"k{i}", "x", T1, None) for i in range(1000)] + [("hot", "x", T1, T2), ("hot", "y", T2, None)], "k string, a string, valid_from timestamp_ntz, valid_to timestamp_ntz")
     facts = hot_rows(spark).selectExpr("k AS code", "CASE WHEN k = 'hot' THEN TIMESTAMP_NTZ'2024-02-10' ELSE at END AS ts", "hash(at, k) AS n")
     joined = H.asof_merge_join(facts, versions, {"code": "k"}, "ts")
     sizes = per_task(joined)
@@ -197,10 +199,16 @@ def test_asof_spreads_a_hot_key_and_a_hot_moment(spark, many_ranges):
     assert joined.filter("code = 'hot'").select("a").distinct().collect()[0][0] == "y"
 
 
-def test_ordered_work_needs_no_shuffle_by_key_alone(spark, many_ranges):
-    """Windows take the ranges as they are dealt; no exchange is by the key alone."""
+def test_hot_rows_are_dealt_by_range_once(spark, many_ranges):
+    """Windows take the ranges as they are dealt, and rows of keys that are not hot are shuffled by key."""
     plan = H.scd2_replay(hot_rows(spark), "k", ["a", "b"], "at")._jdf.queryExecution().executedPlan().toString()
-    assert "shufflepartitionidpassthrough" in plan and not re.search(r"hashpartitioning\(k#", plan)
+    assert "shufflepartitionidpassthrough" in plan and "hashpartitioning(k#" in plan and "_range" not in "".join(
+        re.findall(r"hashpartitioning\((k#[^)]*)\)", plan))
+
+
+def test_without_a_hot_key_nothing_is_written(spark):
+    plan = H.scd2_replay(hot_rows(spark).filter("k <> 'hot'"), "k", ["a", "b"], "at")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan and "_range" not in plan
 
 
 def one_by_one(spark, data, checks, **options):
