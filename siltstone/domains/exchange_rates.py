@@ -61,6 +61,7 @@ CURRENCY_KEY = "short_code"
 CURRENCY_CHECK_COLS = (
     "name", "code", "precision", "subunit", "symbol", "symbol_first", "decimal_mark", "thousands_separator",
 )
+# The dimension's columns.
 DIM_CURRENCIES = {
     "currency_key": "short_code",
     "name": "name",
@@ -73,6 +74,7 @@ DIM_CURRENCIES = {
     "thousands_separator": "thousands_separator",
 }
 
+# Columns that must be filled, and declared checks. Uniqueness of the dimension is on the version, since a key may have several.
 _STAGED_CURRENCY_COLUMNS = (
     "id", "name", "short_code", "code", "precision", "subunit", "symbol", "symbol_first", "decimal_mark",
 )
@@ -81,7 +83,6 @@ _DIM_COLUMNS = (
     "valid_from", "is_current",
 )
 
-# Declared checks. Uniqueness of the dimension is on the version, since a key may have several.
 CHECKS = (
     *[Check("not_null", "currencies", c) for c in _STAGED_CURRENCY_COLUMNS],
     Check("unique", "currencies", "short_code"),

@@ -890,12 +890,19 @@ def _table_name(spark: SparkSession, name: str) -> tuple[str, str]:
     return "siltstone_" + path.rsplit("/", 1)[1].replace("-", "_"), path
 
 
+def _unnamed(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A frame of a table's files, whose name is dropped from the catalogue; the files stay."""
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
 @query
 def materialize_table(spark, folder):
     name, path = _table_name(spark, "dim")
     customers = scd2_dim(spark, folder)
     K.materialize_table(customers, name, path)
-    return K.materialize_table(customers.filter("is_current"), name, path)
+    built = K.materialize_table(customers.filter("is_current"), name, path)
+    return _unnamed(spark, name, spark.read.schema(built.schema).parquet(path))
 
 
 @query
@@ -907,7 +914,7 @@ def load_stage(spark, folder):
     spark.catalog.createTable(name, path=path, source="parquet", schema=definition)
     K.load_stage(orders.filter(F.col("o_totalprice") < 100000), name)
     K.load_stage(orders, name)
-    return spark.table(name)
+    return _unnamed(spark, name, spark.read.schema(spark.table(name).schema).parquet(path))
 
 
 @query
@@ -915,7 +922,8 @@ def register_layer(spark, folder):
     name, _ = _table_name(spark, "external")
     lines = table(spark, folder, "lineitem")
     SRC.register_layer(spark, name, f"{folder}/lineitem.parquet", lines.schema)
-    return spark.sql(f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM {name} GROUP BY ALL")
+    counted = spark.sql(f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM {name} GROUP BY ALL")
+    return _unnamed(spark, name, stage(counted, "counted"))
 
 
 # --- recipes ---------------------------------------------------------------------------------

@@ -63,11 +63,16 @@ def write_quarantine(rejected: DataFrame, path: str, batch_col: str = "_batch_id
 
 
 def _clear_batches(staged: DataFrame, path: str, batch_col: str, fmt: str) -> None:
-    """Empty the quarantine of batches that were seen and rejected nothing. The list has one value per batch of the run."""
+    """Empty the quarantine of batches that were seen and rejected nothing, where it still holds rows of an earlier run of theirs: the
+    list has no more values than stored partitions that the run makes stale, and mostly none."""
     batch = column(batch_col)
+    stored = find_layer(staged.sparkSession, path, fmt)
+    if stored is None:
+        return
     clean = staged.groupBy(batch.alias("batch")).agg(F.bool_or("_rejected").alias("rejected")).filter("NOT rejected").select("batch")
-    if find_layer(staged.sparkSession, path, fmt) is not None:
-        _empty_partitions(staged.drop("_rejected"), path, batch_col, [r["batch"] for r in clean.collect()], fmt)
+    held = stored.select(batch.cast(staged.schema[batch_col].dataType).alias("held")).distinct()
+    stale = clean.join(held, F.col("batch").eqNullSafe(F.col("held")), "left_semi")
+    _empty_partitions(staged.drop("_rejected"), path, batch_col, [r["batch"] for r in stale.collect()], fmt)
 
 
 def _empty_partitions(like: DataFrame, path: str, name: str, values: Iterable[Any], fmt: str = "parquet") -> None:
@@ -102,12 +107,13 @@ def write_split(
         counts, F.count(F.lit(1)).alias("n_input"), F.count_if(bad).alias("n_rejected")
     )
     staged = stage(seen, "split")
+    # The quarantine first: a run that breaks off between the two leaves rejected rows kept and the valid table of the run before.
+    write_quarantine(staged.filter("_rejected").drop("_rejected"), quarantine_path, batch_col, fmt)
+    _clear_batches(staged, quarantine_path, batch_col, fmt)
     valid = staged.filter(~F.col("_rejected")).drop("_rejected", ERRORS)
     if unique:
         valid = dedupe_by_key(valid, list(unique))
     write_layer(valid, valid_path, "overwrite", partition_by, fmt=fmt)
-    write_quarantine(staged.filter("_rejected").drop("_rejected"), quarantine_path, batch_col, fmt)
-    _clear_batches(staged, quarantine_path, batch_col, fmt)
     found = counts.get
     return {**found, "n_valid": found["n_input"] - found["n_rejected"]}
 
