@@ -7,7 +7,6 @@ marked as rejected where that centroid is farther than it was for the texts it w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ from siltstone.llm.common import crc_of_id, table, texts
 #: Features, longest n-gram in bytes, texts per language that centroids are learned from, centroids per language, and the share of
 #: those texts that may lie beyond the distance of rejection.
 FEATURES, LONGEST, SAMPLE, CENTROIDS, BEYOND = 4096, 3, 400, 4, 0.005
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of other characters stay; the rest counts as a space.
 _LETTERS = np.where(np.array([chr(i).isalpha() or i > 127 for i in range(256)]), np.arange(256), 32).astype(np.uint32)
 
@@ -44,7 +42,7 @@ def vector(text: str, idf: np.ndarray) -> np.ndarray:
 
 
 def is_text(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)

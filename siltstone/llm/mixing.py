@@ -23,6 +23,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """What a document is drawn by: its id and its text, so that documents without an id, or that share one, are drawn apart."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def bucket(key: Column, seed: int) -> Column:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
@@ -83,11 +88,11 @@ def mixed(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, weights: tupl
     """``docs`` with every row repeated as often as the mix reads it: columns, names and order of columns stay.
 
     Size is the number of words; a null text has none. Documents without words are read with their source and weigh
-    nothing; in a corpus without a word none is taken. Equal ids share a bucket, so repeated rows stay together. A null id
-    has a bucket of its own; a null source is a source."""
+    nothing; in a corpus without a word none is taken. Rows equal in id and text share a bucket and stay together; other rows that share an
+    id, or have none, are drawn apart. A null source is a source."""
     row = fresh("row", docs.columns)
     sizes = docs.select(
-        F.struct(*docs.columns).alias(row), F.col("source"), F.col("doc_id").alias("key"),
+        F.struct(*docs.columns).alias(row), F.col("source"), mix_key(F.col("doc_id"), F.col("text")).alias("key"),
         word_count(F.col("text")).alias("size"))
     plan = rates(sizes.select("source", "key", "size"), seed, epochs, weights).withColumnRenamed("source", "of_source")
     copies = F.col("times") + (bucket(F.col("key"), seed) <= F.col("cut")).cast("long")
@@ -100,9 +105,10 @@ def mixed(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, weights: tupl
 def op9_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; see ``mixed`` for nulls, empty texts and repeated rows."""
     sizes = table(spark, sf_dir, "documents").select(
-        "source", F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"))
+        "source", F.col("doc_id").cast("long").alias("doc_id"), mix_key(F.col("doc_id"), F.col("text")).alias("key"),
+        word_count(F.col("text")).alias("size"))
     return _taken(staged(sizes, "sizes"), SEED, EPOCHS, WEIGHTS).select(
-        F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target",
+        "doc_id", "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -110,7 +116,7 @@ def op9_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS INTEGER) AS bucket
+    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 3) AS INTEGER) AS bucket
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

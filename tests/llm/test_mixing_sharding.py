@@ -41,6 +41,19 @@ def test_taken_comes_near_targets_and_repeats(spark, small):
     assert all(abs(got[s] - wanted[s]) <= largest[s] for s in got)
 
 
+def test_rows_without_an_id_or_sharing_one_come_near_targets(spark, documents, tmp_path):
+    rows = [(None if i % 2 else 7, f"w{i} x y z", None, "abc"[i % 3]) for i in range(3000)] + [(5, None, None, "a"), (6, "v " * 20_000, None, "b")]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    taken, target, largest = {}, {}, {}
+    got = mixing.op9_capped_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = r["source_size"], r["target"]
+        taken[s], target[s], largest[s] = taken.get(s, 0) + r["taken"], r["target"], max(largest.get(s, 0), r["size"])
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= max(largest[s], 40) for s in taken)
+
+
 def test_mixed_rows(documents):
     docs = documents([(1, "a b c", None, "x"), (1, "a b c", None, "x"), (2, None, None, None), (None, "d", None, "y")]).selectExpr("*", "1 AS copies", "2 AS cut", "3 AS row")
     out = mixing.mixed(docs)

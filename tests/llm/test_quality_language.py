@@ -1,5 +1,6 @@
 """Quality rules and language identification."""
 
+import math
 import re
 import zlib
 
@@ -70,10 +71,53 @@ def test_held_out_accuracy(spark, small):
 
 
 def test_language_edges(documents):
-    rows = [(1, "the cat sat on the mat", "en"), (2, "der Hund lag im Garten", "de"), (3, None, "en"), (4, "123 !?", None), (5, "", None), (6, "the mat", None), (None, "der Garten", None)]
+    rows = [(1, "the cat sat on the mat", "en"), (2, "der Hund lag im Garten", "de"), (3, None, "en"), (4, "123 !?", None), (5, "", None), (6, "the mat", None), (8, "½ ² ① Ⅷ _", None), (None, "der Garten", None)]
     model = language.learn(documents(rows))
     got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language.predicted(documents(rows), model).collect()}
-    assert got == {1: ("en", True), 2: ("de", True), 3: ("und", False), 4: ("und", False), 5: ("und", False), 6: ("en", True), None: ("de", True)}
+    assert got == {1: ("en", True), 2: ("de", True), 3: ("und", False), 4: ("und", False), 5: ("und", False), 6: ("en", True), 8: ("und", False), None: ("de", True)}
     bare = language.learn(documents([(1, "abc")]))
     assert [r["lang_pred"] for r in language.predicted(documents([(1, "abc")]), bare).collect()] == ["und"]
     assert language.predicted(documents([]), model).count() == 0
+
+
+def plain_vector(text, idf):
+    """Hashed n-grams of a text counted one by one."""
+    raw = bytearray()
+    for b in f" {text.lower()} ".encode():
+        b = b if chr(b).isalpha() or b > 127 else 32
+        if not (b == 32 and raw and raw[-1] == 32):
+            raw.append(b)
+    counts = [0] * language.FEATURES
+    for n in range(1, language.LONGEST + 1):
+        for i in range(len(raw) - n + 1):
+            key = 0
+            for b in raw[i : i + n]:
+                key = (key * 257 + b + 1) % 2**32
+            counts[(key * 2654435761 % 2**32) >> 20] += 1
+    v = [math.log1p(c) * w for c, w in zip(counts, idf)]
+    norm = math.sqrt(sum(x * x for x in v))
+    return [x / norm for x in v]
+
+
+def test_predictions_and_frequencies_against_plain_cosines(spark, documents, prose):
+    rows = [r for r in prose if r[1]][:60]
+    docs = documents([(*r[:3],) for r in rows] + [(900, "x y z q", "xx"), (901, "x y z q", "xx"), (902, "a" * 50_000, None)])
+    model = language.learn(docs)
+    labelled = [r.text for r in docs.collect() if r.lang is not None]
+    seen = [sum(v > 0 for v in column) for column in zip(*(plain_vector(t, [1] * language.FEATURES) for t in labelled))]
+    assert all(abs(a - math.log((1 + len(labelled)) / (1 + n)) - 1) < 1e-9 for a, n in zip(model.idf, seen))
+    got = {r.doc_id: r for r in language.predicted(docs, model).collect()}
+    for doc_id, text in [(r.doc_id, r.text) for r in docs.collect()]:
+        v = plain_vector(text, model.idf)
+        near = [sum(a * b for a, b in zip(v, centre)) for centre in model.matrix]
+        best = max(near)
+        of = {lang for lang, x in zip(model.languages, near) if x > best - 1e-9}
+        assert got[doc_id].lang_pred in of and abs(got[doc_id].score - min(max(best, 0), 1)) < 1e-6
+
+
+def test_language_ties_repeats_and_clashing_names(documents):
+    rows = [(1, "same words here", "bb"), (2, "same words here", "aa"), (2, "same words here", "aa"), (3, "other text", "cc")]
+    docs = documents(rows).selectExpr("*", "1 AS key", "2 AS rank", "'x' AS lang_pred", "0 AS score")
+    model = language.learn(docs)
+    got = [(r.doc_id, r.lang_pred) for r in language.predicted(docs, model).collect()]
+    assert sorted(got) == [(1, "aa"), (2, "aa"), (2, "aa"), (3, "cc")]
