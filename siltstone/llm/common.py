@@ -19,13 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, and a lost executor costs no more
-    than a reread. The folder is the session's ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    than a reread. ``codec`` compresses in another way than the session's. The folder is the session's ``spark.checkpoint.dir``, or the warehouse where that is unset."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/siltstone-llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ context to none. Texts are scored with that tree as it stands after training.
 
 What a text needs is the value of each word (for the base) and of each run of ``DEPTH + 1`` bytes. Texts go in blocks: a block
 names its distinct words and runs once, gets their values from corpus-wide counts, and adds them up. No count is ever
-held whole in one place: runs are counted by shuffle, and trees are built per context of two bytes.
+held whole in one place: runs are counted by shuffle, and subtrees are built in tasks dealt by their whole context.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import crc_of_id, staged, table, texts
 
 #: Bytes of context, bytes of text in a block, and bytes whose runs are sorted at a time.
-DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 24_000_000, 2_000_000
+DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 16_000_000, 2_000_000
 _END = b"\n"
 _END_KEY = xxhash.xxh3_64_intdigest(_END)
 
@@ -74,81 +74,93 @@ def _share(own: np.ndarray, longer: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
 
 
-def _heap(leaves: np.ndarray) -> np.ndarray:
-    """Counts of all prefixes of a byte's bits: entry 1 is none, 2v and 2v + 1 extend v by a 0 and a 1."""
-    out = np.zeros((len(leaves), 512))
-    out[:, 256:] = leaves
-    for v in range(255, 0, -1):
-        out[:, v] = out[:, 2 * v] + out[:, 2 * v + 1]
-    return out
+_MID = (1 << (8 * (DEPTH - 1))) - 1
 
 
-class _Subtree:
-    """The contexts of ``DEPTH`` and ``DEPTH - 1`` bytes that end in the same ``DEPTH - 1``: at most 65,536 runs."""
+class _Subtrees:
+    """Nodes of ``DEPTH`` and ``DEPTH - 1`` bytes of context that some runs pass, whole subtrees of the latter, laid out flat: only what a run
+    passes has a place, however many contexts there are. A node is its context and the bits of the next byte read so far."""
 
     def __init__(self, run: np.ndarray, n: np.ndarray) -> None:
-        self.next = (run & 255).astype(int)
-        oldest, self.row = np.unique(run >> (8 * DEPTH), return_inverse=True)
-        leaves = np.zeros((len(oldest), 256))
-        np.add.at(leaves, (self.row, self.next), n)
-        self.deep = _heap(leaves)
-        self.shallow = self.deep.sum(0)
-        left, right = np.arange(256) * 2, np.arange(256) * 2 + 1
-        self.longer = log_kt(self.deep[:, left], self.deep[:, right]).sum(0)
-        self.own = log_kt(self.shallow[left], self.shallow[right])
-        self.share = _share(self.own, self.longer)
-
-    def roots(self) -> tuple[np.ndarray, ...]:
-        """Nodes that a run passes, their zeros, ones and weighted probabilities."""
-        seen = np.unique(np.concatenate([(self.next | 256) >> (8 - i) for i in range(8)]))
-        return seen, self.shallow[2 * seen], self.shallow[2 * seen + 1], _weighted(self.own, self.longer)[seen]
-
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each of the eight bits: node, bit and its probability by both depths."""
+        run = run.astype(np.int64)
+        key = (((run >> 8) & _MID) << 16) | ((run >> (8 * DEPTH)) << 8) | (run & 255)  # shorter context, oldest byte, next byte
+        order = np.argsort(key, kind="stable")
+        self.run, key, n = run[order], key[order], n[order].astype(float)
+        next_byte, context = key & 255, key >> 16
+        self._levels, names, parts = [], [], []
         for i in range(8):
-            node = (self.next | 256) >> (8 - i)
-            bit = (self.next >> (7 - i)) & 1
-            child = 2 * node + bit
-            deep = (self.deep[self.row, child] + 0.5) / (self.deep[self.row, node] + 1)
-            own = (self.shallow[child] + 0.5) / (self.shallow[node] + 1)
-            yield node, bit, self.share[node] * own + (1 - self.share[node]) * deep
-
-
-_MID = (1 << (8 * (DEPTH - 1))) - 1
-
-
-def _subtrees(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, _Subtree]]:
-    run, n = group["run"].to_numpy(), group["n"].to_numpy()
-    order = np.argsort((run >> 8) & _MID, kind="stable")
-    run, n = run[order], n[order]
-    contexts, begins = np.unique((run >> 8) & _MID, return_index=True)
-    for context, b, e in zip(contexts.tolist(), begins, [*begins[1:], len(run)], strict=True):
-        yield context, run[b:e], _Subtree(run[b:e], n[b:e])
-
-
-def _roots(group: pd.DataFrame) -> pd.DataFrame:
-    parts = [
-        pd.DataFrame(dict(zip(("node", "zeros", "ones", "weighted"), tree.roots(), strict=True))).assign(context=context)
-        for context, _, tree in _subtrees(group)]
-    return pd.concat(parts)[["context", "node", "zeros", "ones", "weighted"]]
-
-
-def _values(group: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-    """log10 probability of the last byte of each run, ``above`` saying what shorter contexts add for each node."""
-    if not len(group):
-        return pd.DataFrame({"run": [], "value": []}).astype({"run": "int64", "value": "float64"})
-    mixes = {c: g for c, g in above.groupby("context")}
-    out = []
-    for context, run, tree in _subtrees(group):
-        mix = mixes[context]
-        at = np.zeros(256, int)
-        at[mix["node"].to_numpy()] = np.arange(len(mix))
-        factor, added = mix["factor"].to_numpy(), mix[["zero", "one"]].to_numpy()
-        value = np.zeros(len(run))
-        for node, bit, p in tree.bits():
-            value += np.log10(added[at[node], bit] + factor[at[node]] * p)
-        out.append(pd.DataFrame({"run": run, "value": value}))
-    return pd.concat(out)
+            bit = (next_byte >> (7 - i)) & 1
+            begins = np.flatnonzero(np.diff(key >> (8 - i), prepend=-1))
+            of_row = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+            ones, both = np.add.reduceat(n * bit, begins), np.add.reduceat(n, begins)
+            name = (context[begins] << 9) | ((next_byte[begins] | 256) >> (8 - i))
+            shallow, of_node = np.unique(name, return_inverse=True)
+            sums = [np.bincount(of_node, x, len(shallow)) for x in (both - ones, ones, log_kt(both - ones, ones))]
+            names.append(shallow)
+            parts.append(np.array(sums))
+            self._levels.append((bit, of_row, ones, both, of_node, len(shallow)))
+        self.names = np.concatenate(names)
+        self.zeros, self.ones, longer = np.concatenate(parts, axis=1)
+        own = log_kt(self.zeros, self.ones)
+        self.weighted, self._share = _weighted(own, longer), _share(own, longer)
+
+    def values(self, names: np.ndarray, factor: np.ndarray, zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each run, in the order of ``run``, from what shorter contexts add for each of the nodes
+        (``names``, rising): zero or one, and factor times what is known here."""
+        at = np.searchsorted(names, self.names)
+        value, first = np.zeros(len(self.run)), 0
+        for bit, of_row, ones, both, of_node, n in self._levels:
+            here = slice(first, first + n)
+            share, shallow = self._share[here], (self.ones[here] + 0.5) / (self.zeros[here] + self.ones[here] + 1)
+            p = (share * shallow)[of_node] + (1 - share)[of_node] * (ones + 0.5) / (both + 1)  # of a 1, at each deep node
+            up = at[here][of_node]
+            told = np.log10(np.array([zero[up] + factor[up] * (1 - p), one[up] + factor[up] * p]))
+            value += told[bit, of_row]
+            first += n
+        return value
+
+
+#: Runs whose subtrees are laid out together; one subtree has at most 65,536.
+_RUNS = 200_000
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows that come sorted by a column, some ``_RUNS`` at a time and never parting equal ones."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < _RUNS:
+            continue
+        table_ = pa.Table.from_batches(held)
+        marks = table_.column(column).to_numpy()
+        edges = np.flatnonzero(marks[1:] != marks[:-1])
+        if len(edges):
+            end = int(edges[-1]) + 1
+            yield table_.slice(0, end)
+            held, rows = table_.slice(end).to_batches(), len(marks) - end
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _whole(batches, "mid"):
+        trees = _Subtrees(part.column("run").to_numpy(), part.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(trees.names >> 9), pa.array((trees.names & 511).astype(np.int32)), pa.array(trees.zeros), pa.array(trees.ones), pa.array(trees.weighted)],
+            names=["context", "node", "zeros", "ones", "weighted"])
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of runs and, for the same contexts, of what shorter contexts add for each node."""
+    for part in _whole(batches, "mid"):
+        is_run = part.column("node").to_numpy() < 0
+        column = lambda name, rows: part.column(name).to_numpy()[rows]  # noqa: E731, B023
+        trees = _Subtrees(column("run", is_run), column("n", is_run))
+        names = (column("mid", ~is_run) << 9) | column("node", ~is_run)
+        order = np.argsort(names)
+        value = trees.values(names[order], *(column(c, ~is_run)[order] for c in ("factor", "zero", "one")))
+        yield pa.RecordBatch.from_arrays([pa.array(trees.run), pa.array(value)], names=["run", "value"])
 
 
 def _level(lower: DataFrame) -> DataFrame:
@@ -169,10 +181,14 @@ def _level(lower: DataFrame) -> DataFrame:
 
 
 def run_values(counts: DataFrame) -> DataFrame:
-    """(run, value) from (run, n): log10 probability of the run's last byte after the others. Runs with n = 0 get theirs too."""
-    short = ((F.col("run").bitwiseAND(F.lit((1 << 24) - 1))) / 256).cast("long")  # the last two bytes of context
-    counts = counts.withColumn("part", short)
-    roots = staged(counts.groupBy("part").applyInPandas(_roots, "context long, node int, zeros double, ones double, weighted double"), "roots")
+    """(run, value) from (run, n), each run once: log10 probability of the run's last byte after the others. Runs with n = 0 get theirs too.
+
+    Subtrees are dealt by the whole of their context, as many tasks as runs ask for, so no ending of a context is one task's."""
+    spark = counts.sparkSession
+    counts = counts.withColumn("mid", F.shiftright("run", 8).bitwiseAND(F.lit(_MID)))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // _RUNS + 1))
+    dealt = counts.repartition(tasks, "mid").sortWithinPartitions("mid")
+    roots = staged(dealt.select("mid", "run", "n").mapInArrow(_roots, "context long, node int, zeros double, ones double, weighted double"), "roots")
     levels, lower, of = [], roots, roots
     for depth in range(DEPTH - 2, -1, -1):
         level = staged(_level(lower.withColumn("shorter", F.col("context").bitwiseAND(F.lit((1 << (8 * depth)) - 1)))), "level")
@@ -185,8 +201,9 @@ def run_values(counts: DataFrame) -> DataFrame:
             here, (F.col("context").bitwiseAND(F.lit((1 << (8 * depth)) - 1)) == F.col("shorter")) & (F.col("node") == F.col("n"))
         ).select("context", "node", (F.col("factor") * F.col("f")).alias("factor"), (F.col("z") + F.col("f") * F.col("zero")).alias("zero"),
                  (F.col("o") + F.col("f") * F.col("one")).alias("one"))
-    above = above.withColumn("part", F.col("context").bitwiseAND(F.lit(0xFFFF)))
-    return counts.groupBy("part").cogroup(above.groupBy("part")).applyInPandas(_values, "run long, value double")
+    both = counts.select("mid", "run", "n", F.lit(-1).alias("node"), *[F.lit(0.0).alias(c) for c in ("factor", "zero", "one")]).unionByName(
+        above.select(F.col("context").alias("mid"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("n"), "node", "factor", "zero", "one"))
+    return both.repartition(tasks, "mid").sortWithinPartitions("mid").mapInArrow(_values, "run long, value double")
 
 
 def _bodies(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -233,36 +250,37 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _named(bodies: DataFrame, words: bool) -> DataFrame:
-    """(block, key, n): distinct words or runs of each block as a task reads it, and how often training texts there have them."""
+def _named(bodies: DataFrame) -> DataFrame:
+    """(block, word, key, n): distinct words (by hash) and runs of each block as a task reads it, and how often training texts there have them."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, train: list[bytes], held: list[bytes]) -> pa.RecordBatch:
-            if words:
-                seen: Counter[bytes] = Counter()
-                for x in train:
-                    seen.update(x.split())
-                seen[_END] = len(train)
-                for x in held:
-                    seen.update(dict.fromkeys((w for w in x.split() if w not in seen), 0))
-                keys, n = _word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
-            else:
-                parts = [np.unique(runs(c), return_counts=True) for c in _chunks(train)]
-                keys, n = _added(parts + [(k, np.zeros(len(k))) for k in (np.unique(runs(c)) for c in _chunks(held))])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(n)], names=["block", "key", "n"])
+        def out(block: int, train: list[bytes], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            seen: Counter[bytes] = Counter()
+            for x in train:
+                seen.update(x.split())
+            seen[_END] = len(train)
+            for x in held:
+                seen.update(dict.fromkeys((w for w in x.split() if w not in seen), 0))
+            yield batch_of(block, True, _word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+            parts = [np.unique(runs(c), return_counts=True) for c in _chunks(train)]
+            yield batch_of(block, False, *_added(parts + [(k, np.zeros(len(k))) for k in (np.unique(runs(c)) for c in _chunks(held))]))
+
+        def batch_of(block: int, word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), word)), pa.array(keys), pa.array(n)], names=["block", "word", "key", "n"])
 
         now, train, held = None, [], []
         for batch in batches:
             for block, is_held, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if block != now:
                     if now is not None:
-                        yield out(now, train, held)
+                        yield from out(now, train, held)
                     now, train, held = block, [], []
                 (held if is_held else train).append(x)
         if now is not None:
-            yield out(now, train, held)
+            yield from out(now, train, held)
 
-    return bodies.select("block", "held_out", "body").mapInArrow(name, "block long, key long, n long")
+    return bodies.select("block", "held_out", "body").mapInArrow(name, "block long, word boolean, key long, n long")
 
 
 def _scored(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
@@ -282,38 +300,35 @@ def _scored(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
         c = np.array([known[w] for w in words] + [ends])
         found, n = np.unique(runs([x]), return_counts=True)
         score = float((run_value[np.searchsorted(run_keys, found)] * n).sum())
-        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score))
-    n_tokens, n_known, logs, scores = zip(*out, strict=True) if out else ((),) * 4
+        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(x)))
+    n_tokens, n_known, logs, scores, lengths = zip(*out, strict=True) if out else ((),) * 5
     return pd.DataFrame({
-        "doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool), "n_tokens": n_tokens, "n_known": n_known, "logs": logs, "score": scores})
+        "doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool), "n_tokens": n_tokens, "n_known": n_known, "logs": logs, "score": scores,
+        "bits_per_byte": lengths})
 
 
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows that are not
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row; rows that are not
     ``held_out`` are learned from.
 
-    ``score`` is the log10 probability of the token sequence; over the length of ``body`` it is the code length per byte. A null
+    ``score`` is the log10 probability of the token sequence, ``bits_per_byte`` its code length over the length of ``body``. A null
     or empty text is its end alone. Repeated rows are learned from and scored each. With nothing to learn from, every bit has the
     chance of one half, and the base falls back on its smoothing. An empty table gives none."""
-    bodies = staged(_bodies(docs, held_out), "bodies")
-    by_key = Window.partitionBy("key")
-    words = staged(
-        _named(bodies, words=True).withColumn("value", F.sum("n").over(by_key).cast("double"))
-        .withColumn("turn", F.row_number().over(by_key.orderBy("block"))).select("block", "key", "value", (F.col("turn") == 1).alias("first")), "words")
-    once = words.where("first").agg(F.sum("value").cast("long").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
+    bodies = staged(_bodies(docs, held_out), "bodies", "zstd")
+    named = staged(_named(bodies), "named", "zstd")
+    counts = staged(named.groupBy("word", "key").agg(F.sum("n").alias("n")), "counts", "zstd")
+    once = counts.where("word").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = once["n"] or 0, once["v"]
-    named = staged(_named(bodies, words=False), "runs")
-    counts = staged(named.groupBy(F.col("key").alias("run")).agg(F.sum("n").alias("n")), "run-counts")
-    values = run_values(counts)
-    keyed = (
-        words.select("block", "key", "value", F.lit(True).alias("word"))
-        .unionByName(named.join(values, named["key"] == values["run"]).select("block", "key", "value", F.lit(False).alias("word"))))
+    values = run_values(counts.where("NOT word").select(F.col("key").alias("run"), "n")).select(
+        F.lit(False).alias("of_word"), F.col("run").alias("of_key"), "value")
+    values = values.unionByName(counts.where("word").select(F.lit(True).alias("of_word"), F.col("key").alias("of_key"), F.col("n").cast("double").alias("value")))
+    keyed = named.join(values, (F.col("word") == F.col("of_word")) & (F.col("key") == F.col("of_key"))).select("block", "key", "value", "word")
     done = bodies.groupBy("block").cogroup(keyed.groupBy("block")).applyInPandas(
-        _scored, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+        _scored, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double")
     spread = math.log10(n + 0.1 * (v + 1))
     return done.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), "score")
+        (F.col("logs") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), "score", "bits_per_byte")
 
 
 def op8_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

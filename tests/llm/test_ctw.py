@@ -91,3 +91,42 @@ def test_the_fifth_byte_of_context_tells(documents):
     df = documents(rows)
     got = {r["doc_id"]: r["score"] for r in ctw.scored(df, df["doc_id"] > 10).collect()}
     assert got[11] > got[12] + 1
+
+
+def test_chunks_of_subtrees_change_nothing(spark, small, prose, monkeypatch, documents):
+    """Few runs laid out at a time give the values of all at once; bits per byte are the score over the bytes."""
+    df = documents([r[:2] for r in prose[:80]] + [(5001, "z" * 30_000 + " " + "é日本 " * 3000), (5002, "q")])
+    df = df.withColumn("key", df["lang"]).withColumn("run", df["lang"]).withColumn("block", df["lang"])
+    held_out = df["doc_id"] % 4 == 0
+    want = {r.doc_id: (r.score, r.base_score, r.n_known) for r in ctw.scored(df, held_out).collect()}
+    monkeypatch.setattr(ctw, "_RUNS", 500)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 20_000)
+    got = ctw.scored(df, held_out).collect()
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert len(got) == len(want)
+    for r in got:
+        assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip((r.score, r.base_score, r.n_known), want[r.doc_id]))
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / len(ctw.body(texts[r.doc_id])))
+
+
+def test_subtrees_in_parts_equal_subtrees_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    run = np.unique(rng.integers(97, 101, (4000, ctw.DEPTH + 1)) @ (256 ** np.arange(ctw.DEPTH, -1, -1)))
+    mid, n = (run >> 8) & ctw._MID, rng.integers(0, 5, len(run))
+    order = np.argsort(mid, kind="stable")
+    rows = pa.table({"mid": mid[order], "run": run[order], "n": n[order]})
+
+    def roots(size, per_batch):
+        monkeypatch.setattr(ctw, "_RUNS", size)
+        made = pa.Table.from_batches(ctw._roots(iter(rows.to_batches(per_batch)))).to_pylist()
+        return sorted((r["context"], r["node"], r["zeros"], r["ones"], round(r["weighted"], 9)) for r in made)
+
+    whole = roots(10**9, 10**9)
+    assert len(whole) == len({r[:2] for r in whole}) and roots(100, 37) == whole
+    for context, node, zeros, ones, _ in whole[::50]:
+        depth = node.bit_length() - 1
+        own = [(r & 255, k) for r, m, k in zip(run, mid, n) if m == context and ((r & 255) | 256) >> (8 - depth) == node]
+        assert (zeros, ones) == tuple(sum(k for b, k in own if b >> (7 - depth) & 1 == bit) for bit in (0, 1))
