@@ -1,26 +1,27 @@
-"""Operator 1: line dedup by an edit join on segments and rare grams.
-
-Near copies lie within a twentieth of the shorter line's length, and within two edits where that is less. For two edits a line
-is cut into three segments, so two lines within that distance share a segment whole. Segments of every line are looked up by the
-substrings, of lines up to that much longer, that can match them. For more edits the grams of a line are ranked, the rarer the
-earlier, by an order that all lines share. A line is entered under its first grams, as many as hold one more than its edits that do
-not overlap. One of those outlives the edits, so of two near copies, that which stops earlier has a gram the other is entered
-under too. What shares a segment or a gram is sifted by length and parities of character pairs and verified by a banded
-bit-parallel edit distance. Equal lines are one class throughout. In each group of equal keys one line meets all others first; only
-what is still apart after that meets again, in blocks bounded in rows, so a group of near copies is not spelled out in pairs.
+"""Operator 1: line dedup by a segment-partition edit join.
+
+Near copies lie within a twentieth of the shorter line's length, and within two edits where that is less. Lines fall into classes of length.
+In each a line is cut into one segment more than the edits allowed there, all of one width, and entered under them. Of two near copies a
+segment outlives the edits whole, and in the longer one it begins no further from its place than it has segments before it. So a line looks
+up, for each segment number, its substrings that begin that near, in its own class and in the one below if an edited line can come from there.
+
+Substrings far outnumber segments, and hardly any of them is a segment of another line. So the segments are first noted in a filter, a
+fixed number of bits for each, and only substrings that it may hold leave the scan; segments leave it if another line may have the same, or
+if such a substring asks for them. What meets there is sifted by length and parities of character pairs and verified by a banded
+bit-parallel edit distance. Equal lines are one class throughout. In each group of equal keys one line meets all others first; only what is
+still apart after that meets again, in blocks bounded in rows, so a group of near copies is not spelled out in pairs.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,18 +30,10 @@ from siltstone.llm.common import BLANKS, components, fresh, key_filter, passes,
 #: Edits allowed between near copies at least, per cent of the shorter line's length allowed, and the fewest code points of a line that
 #: edits are allowed in.
 EDITS, PERCENT, LEAST_CHARS = 2, 5, 20
-#: Code points of the shorter line from which more than ``EDITS`` are allowed, and length of the grams of such pairs: one more than the
-#: edits fit side by side.
-_LONG, _GRAM = (EDITS + 1) * 100 // PERCENT, 11
-#: Least lengths of the classes that such lines are entered in, each a fifth above the one before.
-_CLASSES = [_LONG]
-while _CLASSES[-1] < 1 << 31:
-    _CLASSES.append(_CLASSES[-1] * 6 // 5)
-#: Rounds of choosing grams apart, counters of grams, parts of the documents they are learned from, and longs of parities.
-_ROUNDS, _SLOT_BITS, _SAMPLE, _WORDS = 8, 18, 4, 4
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Lines of a group of equal keys in one block.
-_BLOCK = 2048
+#: Longs of parities.
+_WORDS = 4
+#: Lines of a group of equal keys in one block, and code points of lines cut at a time.
+_BLOCK, _CHUNK = 2048, 1_000_000
 _PARITIES = [f"parity{i}" for i in range(_WORDS)]
 
 
@@ -49,27 +42,22 @@ def edits(chars: int) -> int:
     return max(EDITS, chars * PERCENT // 100)
 
 
-@lru_cache(maxsize=20_000)
-def plan(length: int, edits: int = EDITS) -> tuple[tuple[int, int, int, int], ...]:
-    """(begin, end, seed, role) of the segments of a line (role 0), and of its substrings that can equal a segment of a line
-    as long or up to ``edits`` shorter (role 1).
-
-    Substrings of a segment lie within as many places as edits can have shifted it from the left and, counted from the
-    right, from there; only those in both ranges are needed."""
-    out = []
-    for other in range(length, max(LEAST_CHARS, length - edits) - 1, -1):
-        parts, begin = edits + 1, 0
-        for i in range(parts):
-            width = other // parts + (1 if i >= parts - other % parts else 0)
-            seed = other * parts + i
-            if other == length:
-                out.append((begin, begin + width, seed, 0))
-            shift, right = length - other, parts - 1 - i
-            first = max(begin - i, begin + shift - right, 0)
-            last = min(begin + i, begin + shift + right, length - width)
-            out += [(at, at + width, seed, 1) for at in range(first, last + 1)]
-            begin += width
-    return tuple(out)
+#: Least lengths of the classes, each a fifth above the one before.
+_CLASSES = [LEAST_CHARS]
+while _CLASSES[-1] < 1 << 31:
+    _CLASSES.append(_CLASSES[-1] * 6 // 5)
+
+
+def layout(kind: int) -> tuple[int, int]:
+    """Edits to reckon with in a class, and the width of its segments."""
+    most = edits(_CLASSES[kind + 1] - 1)
+    return most, _CLASSES[kind] // (most + 1)
+
+
+def classes_of(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each length, and the lowest class that a line of that length can be edited from."""
+    shortest = np.maximum(chars - np.maximum(EDITS, chars * PERCENT // 100), LEAST_CHARS)
+    return np.searchsorted(_CLASSES, chars, "right") - 1, np.searchsorted(_CLASSES, shortest, "right") - 1
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -157,146 +145,225 @@ def _marks(docs: DataFrame) -> DataFrame:
         mark, "doc_id long, line int, h1 long, h2 long, chars int, " + ", ".join(f"{x} long" for x in _PARITIES))
 
 
-def _hashed(codes: np.ndarray) -> np.ndarray:
-    """A hash of the gram that begins at each code point; the last ``_GRAM - 1`` have none."""
-    out = np.full(max(len(codes) - _GRAM + 1, 0), _GRAM, np.uint64)
-    for k in range(_GRAM):
-        out = (out ^ (out >> np.uint64(29)) ^ codes[k : k + len(out)]) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(31))
-
-
-def _codes(found: list[str]) -> np.ndarray:
-    """Code points of all lines on end."""
-    return np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.uint64)
-
-
-def _slots(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-
-def _common(docs: DataFrame) -> np.ndarray:
-    """Of each of a fixed number of counters, how many doublings its grams stand above the mean. That only says which grams of a line are
-    taken first, so that common passages come last; results do not depend on it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << _SLOT_BITS, np.int64)
+_SPREAD, _STEP, _WHOLE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+_ODD, _BASE, _INVERSE = np.uint64(_SPREAD), np.uint64(_STEP), np.uint64(pow(_STEP, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
+class Cut:
+    """Some lines of one class on end, with a hash of every substring as wide as the class's segments."""
+
+    def __init__(self, found: list[str], kind: int) -> None:
+        self.kind, (self.most, self.width) = kind, layout(kind)
+        self.chars = np.array([len(x) for x in found], np.int64)
+        self.begins = np.cumsum(self.chars) - self.chars
+        codes = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        ahead = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes)))])
+        n = max(len(codes) - self.width + 1, 0)
+        self._hash = (ahead[self.width : self.width + n] - ahead[:n]) * _powers(_INVERSE, n)
+
+    def keys(self, number: int, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of the substrings at places of lines, as the segment of that number."""
+        salt = np.uint64(((self.kind << 32 | number) * 2 + 1) * _SPREAD & _WHOLE)
+        return _mixed(self._hash[self.begins[line] + place] + salt)
+
+    def segments(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of a segment, and the line and key of everyone's."""
+        line = np.arange(len(self.chars))
+        for number in range(self.most + 1):
+            yield number, line, self.keys(number, line, np.full(len(line), number * self.width))
+
+    def substrings(self, own: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Number of a segment, and line, place and key of the substrings that can be that segment of another line. ``own`` says that these lines
+        have segments of this class themselves, which are left out."""
+        for number in range(self.most + 1):
+            shift = np.arange(-number, number + 1)
+            place = np.tile(number * self.width + (shift[shift != 0] if own else shift), (len(self.chars), 1))
+            line = np.repeat(np.arange(len(self.chars)), place.shape[1])
+            place = place.ravel()
+            fits = (place >= 0) & (place + self.width <= self.chars[line])
+            line, place = line[fits], place[fits]
+            yield number, line, place, self.keys(number, line, place)
+
+
+def _in_classes(found: dict[int, str], lower: bool) -> Iterator[tuple[np.ndarray, Cut, bool]]:
+    """Names of lines and the lines cut, by class, and whether it is theirs; with ``lower``, also by the class below where edits reach it."""
+    names, lines_ = np.array(list(found), np.int64), list(found.values())
+    own, lowest = classes_of(np.array([len(x) for x in lines_], np.int64))
+    for kind in np.unique(np.concatenate([own, lowest])).tolist():
+        for mine, of in ((True, own == kind), (False, (lowest <= kind) & (kind < own))):
+            at = np.flatnonzero(of)
+            if len(at) and (mine or lower):
+                yield names[at], Cut([lines_[i] for i in at.tolist()], kind), mine
+
+
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+    """Lines that edits are allowed in, by the first half of their hash, once for each batch and some ``_CHUNK`` code points at a time."""
+    for batch in batches:
+        ids, seen, held, size = batch.column(0).to_pylist(), set(), {}, 0
+        for i, text in texts(batch):
+            found = [x for _, x in _lines(text) if len(x) >= LEAST_CHARS] if ids[i] is not None else []
+            for line, key in zip(found, _keys(found)[:, 0].tolist() if found else [], strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    held[key] = line
+                    size += len(line)
+            if size > _CHUNK:
+                yield held
+                held, size = {}, 0
+        if held:
+            yield held
+
+
+#: Bits of a filter for each key at least, of a part of it, and of all of it at most (64 MB); places of a key in it. More keys are worked
+#: off in slices, each with a filter of its own.
+_BITS_EACH, _PART_BITS, _MOST_BITS, _PLACES = 10, 16, 29, 4
+
+
+class Filter:
+    """Whether a key may be held, and whether it may be held twice. Built of parts by a shuffle; a key is a few bits, wherever it lies."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.once = np.zeros(max(1 << (bits - 3), 1), np.uint8)
+        self.twice = np.zeros_like(self.once)
+
+    @staticmethod
+    def for_keys(n: int) -> int:
+        return min(max((n * _BITS_EACH).bit_length(), _PART_BITS), _MOST_BITS)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
+        return _mixed(keys + np.uint64((turn + 1) * _STEP & _WHOLE)) >> np.uint64(64 - bits)
+
+    @staticmethod
+    def among(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+        """Which ``keys`` may be held."""
+        left = np.arange(len(keys))
+        for turn in range(_PLACES):
+            at = Filter.places(keys[left], bits, turn)
+            left = left[(held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return left
+
+    @staticmethod
+    def noted(parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+        """(part, places): the places of keys, twice at most, by part of the filter."""
+        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        # A key noted twice counts twice in each of its places, and so do two keys in one.
+        at = np.sort(np.concatenate([Filter.places(keys, bits, turn) for turn in range(_PLACES)]))
+        at = at[(np.arange(len(at)) < 2) | (at != np.roll(at, 2))]
+        part = (at >> np.uint64(_PART_BITS)).astype(np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        raw = (at & np.uint64((1 << _PART_BITS) - 1)).astype("<u2")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[edges[:-1]], pa.int64()), pa.array([raw[b:e].tobytes() for b, e in zip(edges, edges[1:], strict=False)], pa.binary())],
+            names=["part", "places"])
+
+    @classmethod
+    def of(cls, noted: DataFrame, bits: int) -> Filter:
+        """From rows of ``noted``, added up by part in tasks; what comes back is the filter, of a size with a bound."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out(part: int, counts: np.ndarray) -> pa.RecordBatch:
+                packed = [np.packbits(counts >= n, bitorder="little").tobytes() for n in (1, 2)]
+                return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "once", "twice"])
+
+            now, counts = None, None
+            for batch in batches:
+                for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if part != now:
+                        if now is not None:
+                            yield out(now, counts)
+                        now, counts = part, np.zeros(1 << _PART_BITS, np.int64)
+                    counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << _PART_BITS)
+            if now is not None:
+                yield out(now, counts)
+
+        made, size = cls(bits), 1 << (_PART_BITS - 3)
+        for row in noted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, once binary, twice binary").toLocalIterator():
+            for held, name in ((made.once, "once"), (made.twice, "twice")):
+                held[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row[name], np.uint8)
+        return made
+
+
+_SHARED = "key long, line long, place int, number int"
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(t) for c, t in zip(columns, types, strict=True)], names=["key", "line", "place", "number"])
+
+
+def _shared(docs: DataFrame, segments: int) -> DataFrame:
+    """(key, line, place, number) of segments (``number`` from 0) and of substrings (``number`` -1) that another line may share; the rest, far the
+    most, does not leave the scan. ``segments`` is how many there are, which says how large a filter and how many slices of keys it takes."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slices = -(-segments * _BITS_EACH >> _MOST_BITS) or 1
+    out = [_slice_rows(source, Filter.for_keys(segments // slices + 1), slices, n) for n in range(slices)]
+    shared = out[0]
+    for more in out[1:]:
+        shared = shared.unionByName(more)
+    return shared
+
+
+def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataFrame:
+    """``_shared`` for the keys of one slice."""
+
+    def mine(keys: np.ndarray) -> np.ndarray:
+        return np.arange(len(keys)) if slices == 1 else np.flatnonzero(_mixed(keys) % np.uint64(slices) == np.uint64(slice_))
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _distinct_lines(batches):
+            keys = [k for _, cut, _ in _in_classes(found, False) for _, _, k in cut.segments()]
+            yield Filter.noted([k[mine(k)] for k in keys], bits)
+
+    known = Filter.of(source.mapInArrow(note, "part long, places binary"), bits)
+    once, twice = known.once, known.twice
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _distinct_lines(batches):
+            parts = []
+            for names, cut, own in _in_classes(found, True):
+                for _, line, place, keys in cut.substrings(own):
+                    at = mine(keys)
+                    at = at[Filter.among(once, bits, keys[at])]
+                    if len(at):
+                        parts.append((keys[at], names[line[at]], place[at], np.full(len(at), -1)))
+            yield _rows(parts)
+
+    asked = staged(source.mapInArrow(ask, _SHARED), "asked", "zstd")
+
+    def note_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = set(), 0
-            for _, text in texts(batch):
-                held.update(x for _, x in _lines(text) if len(x) >= _LONG)
-                size += len(text)
-                if size > 1_000_000:
-                    n += np.bincount(_slots(_hashed(_codes(list(held)))), minlength=len(n))
-                    held, size = set(), 0
-            n += np.bincount(_slots(_hashed(_codes(list(held)))), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
-
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_SAMPLE)) == 0).select("doc_id", "text").mapInArrow(count, "slot int, n long")
-    counts, out = staged(sample.groupBy("slot").agg(F.sum("n").alias("n")), "counters"), np.zeros(1 << _SLOT_BITS, np.uint8)
-    mean = max((counts.agg(F.sum("n").alias("n")).first()["n"] or 0) / len(out), 8.0)
-    for row in counts.where(F.col("n") >= 4 * mean).collect():  # a quarter of the counters at most
-        out[row["slot"]] = int(np.log2(row["n"] / mean)) - 1
-    return out
-
-
-def _least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least of the ``width`` entries before each one, and after it."""
-    low, reach = np.concatenate([np.full(width, _LAST), x, np.full(2 * width, _LAST)]), 1
-    while reach < width:
-        step = min(reach, width - reach)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        reach += step
-    return low[: len(x)], low[width + 1 : width + 1 + len(x)]
-
-
-def entries(found: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line number) of each gram that lines are entered under: of each line all grams up to a rank that leaves one more than
-    its edits without overlap, or all there are where a few rounds find no such rank."""
-    codes, chars = _codes(found), np.array([len(x) for x in found], np.int64)
-    ends, hashed = np.cumsum(chars), _hashed(codes)
-    line = np.repeat(np.arange(len(chars)), chars)[: len(hashed)]
-    valid = np.arange(len(hashed)) + _GRAM <= ends[line]
-    rank = (common[_slots(hashed)].astype(np.uint64) << np.uint64(56)) | (hashed & np.uint64((1 << 56) - 1))
-    allowed = np.array([edits(x) for x in chars.tolist()], np.int64)
-    limit, open_, width = np.full(len(chars), _LAST), np.ones(len(chars), bool), _GRAM - 1
-    left, chosen, active = np.where(valid, rank, _LAST), np.zeros(len(hashed), bool), np.arange(len(hashed))
-    for _ in range(_ROUNDS):
-        here = left[active]
-        before, after = _least(here, width)
-        at = np.flatnonzero((here != _LAST) & (here < before) & (here <= after))
-        if not len(at):
-            break
-        chosen[active[at]] = True
-        around = at[:, None] + np.arange(-width, width + 1)  # entries between lines are none, so this keeps within the line
-        left[active[np.clip(around.ravel(), 0, len(active) - 1)]] = _LAST
-        ready = open_ & (np.bincount(line[chosen], minlength=len(chars)) > allowed)
-        at = np.flatnonzero(chosen & ready[line])
-        at = at[np.lexsort((rank[at], line[at]))]
-        which, begins = np.unique(line[at], return_index=True)
-        limit[which] = rank[at[begins + allowed[which]]]
-        open_ &= ~ready
-        active = active[open_[line[active]]]
-    at = np.flatnonzero(valid & (rank <= limit[line]))
-    at = at[np.lexsort((hashed[at], line[at]))]
-    new = np.ones(len(at), bool)
-    new[1:] = (hashed[at[1:]] != hashed[at[:-1]]) | (line[at[1:]] != line[at[:-1]])
-    return hashed[at[new]], line[at[new]]
-
-
-def gram_keys(found: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line number, role) of lines of ``_LONG`` code points or more: their grams in the class of their length (role 0), and in the
-    next one if the edits can make them as long (role 1)."""
-    hashed, line = entries(found, common)
-    chars = np.array([len(x) for x in found], np.int64)
-    own = np.searchsorted(_CLASSES, chars, "right")
-    next_ = np.searchsorted(_CLASSES, chars + np.array([edits(x) for x in chars.tolist()]), "right")
-    more = np.flatnonzero((own != next_)[line])
-    kind = np.concatenate([own[line], next_[line[more]]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = np.concatenate([np.arange(len(line)), more])
-    return (hashed[at] ^ kind) | np.uint64(1), line[at], (np.arange(len(at)) >= len(line)).astype(np.int64)
-
-
-def _shared(docs: DataFrame) -> DataFrame:
-    """(key, line) for each segment and substring of each line that may be in a pair with ``EDITS``, and for each gram that each
-    line that may be in another is entered under: ``line`` is h1 with the role in its last bit; the last bit of ``key`` says that it is
-    a gram's."""
-    common = _common(docs)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-
-        def out(held: dict[int, str]) -> pa.RecordBatch:
-            keys, names, counts, roles = [], [], [], []
-            for name, line in held.items():
-                if len(line) < _LONG + EDITS:
-                    steps = plan(len(line))
-                    keys += [digest(line[a:b], c) for a, b, c, _ in steps]
-                    roles += [r for _, _, _, r in steps]
-                    names.append(name)
-                    counts.append(len(steps))
-            of = np.repeat(np.array(names, np.int64), counts) | np.array(roles, np.int64)
-            long_ = {name: line for name, line in held.items() if len(line) >= _LONG}
-            grams, at, role = gram_keys(list(long_.values()), common) if long_ else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
-            all_keys = np.concatenate([np.array(keys, np.uint64) & ~np.uint64(1), grams]).view(np.int64)
-            all_of = np.concatenate([of, np.array(list(long_), np.int64)[at] | role])
-            return pa.RecordBatch.from_arrays([pa.array(all_keys), pa.array(all_of)], names=["key", "of"])
+            yield Filter.noted([batch.column(0).to_numpy().view(np.uint64)], asked_bits)
 
-        for batch in batches:
-            ids, seen, held, size = batch.column(0).to_pylist(), set(), {}, 0
-            for i, text in texts(batch):
-                found = [x for _, x in _lines(text) if len(x) >= LEAST_CHARS] if ids[i] is not None else []
-                for line, key in zip(found, _keys(found)[:, 0].tolist() if found else [], strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        held[key] = line
-                        size += len(line)
-                if size > 500_000:
-                    yield out(held)
-                    held, size = {}, 0
-            yield out(held)
+    asked_bits = Filter.for_keys(asked.count())
+    wanted = Filter.of(asked.select("key").mapInArrow(note_asked, "part long, places binary"), asked_bits).once
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _distinct_lines(batches):
+            parts = []
+            for names, cut, _ in _in_classes(found, False):
+                for number, line, keys in cut.segments():
+                    at = mine(keys)
+                    at = at[np.union1d(Filter.among(twice, bits, keys[at]), Filter.among(wanted, asked_bits, keys[at]))]
+                    if len(at):
+                        parts.append((keys[at], names[line[at]], np.full(len(at), number * cut.width), np.full(len(at), number)))
+            yield _rows(parts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "key long, of long")
+    return asked.unionByName(source.mapInArrow(tell, _SHARED))
 
 
 def _may_match(x: str, y: str) -> Column:
@@ -344,16 +411,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near("line_a", "line_b")).select("a", "b")
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, segments: int) -> DataFrame:
     """(node, component) of lines (h1) with a near copy."""
-    group = Window.partitionBy("key")
-    line, probe = F.col("of").bitwiseAND(F.lit(-2)), F.col("of").bitwiseAND(F.lit(1)) == 1
-    shared = staged(
-        _shared(docs)
-        .select("key", line.alias("line"), probe.alias("probe"))
-        .withColumn("first", F.min(F.when(~F.col("probe"), F.col("line"))).over(group))
-        .withColumn("other", F.max("line").over(group) != F.min("line").over(group))
-        .where("first IS NOT NULL AND other").drop("other").distinct(), "shared")
+    probe = F.col("number") < 0
+    rows = staged(_shared(docs, segments).distinct(), "shared", "zstd")
+    first = F.min(F.when(~probe, F.col("line"))).alias("first")
+    met = rows.groupBy("key").agg(first, (F.min("line") != F.max("line")).alias("other")).where("first IS NOT NULL AND other").drop("other")
+    shared = staged(rows.join(met, "key"), "met", "zstd")
     ordered = (F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b"))
     star = staged(_alike(shared.where("line != first").select(*ordered).distinct(), classes), "star")
     links = staged(_verified(star, docs), "line-links")
@@ -362,15 +426,14 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         shared.join(parts, shared["line"] == parts["node"], "left").withColumn("part", F.coalesce("component", "line")).drop("node", "component")
         .join(classes.select(F.col("h1").alias("line"), "chars", *_PARITIES), "line"))
     apart = named.groupBy("key").agg((F.min("part") != F.max("part")).alias("apart")).where("apart").select("key")
-    named = staged(named.join(apart, "key", "left_semi").where("line != first"), "apart")
+    named = staged(named.join(apart, "key", "left_semi").where("line != first"), "apart", "zstd")
     sizes = named.groupBy("key").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
     dealt = named.join(sizes, "key")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = dealt.withColumn("row", F.pmod(F.xxhash64("line"), F.col("blocks"))).withColumn("column", every)
     right = dealt.withColumn("column", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks"))).withColumn("row", every)
-    gram = F.col("key").bitwiseAND(F.lit(1)) == 1
-    x = _side(left.where("NOT probe"), "x", "line", "key", "row", "column", F.col("part").alias("part_x"))
-    y = _side(right.where(F.col("probe") | gram), "y", "line", "key", "row", "column", "probe", F.col("part").alias("part_y"))
+    x = _side(left.where(~probe), "x", "line", "key", "row", "column", F.col("part").alias("part_x"))
+    y = _side(right, "y", "line", "key", "row", "column", probe.alias("probe"), F.col("part").alias("part_y"))
     rest = (
         x.join(y, (x["key"] == y["key"]) & (x["row"] == y["row"]) & (x["column"] == y["column"]) & (F.col("probe") | (F.col("x") < F.col("y"))) & (F.col("part_x") != F.col("part_y")) & _may_match("x", "y"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
@@ -378,6 +441,11 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return components(links.unionByName(_verified(rest, docs)))
 
 
+def _segments(chars: Column) -> Column:
+    """How many segments a line of so many code points has, or a few more."""
+    return F.floor(chars * (PERCENT * 6 / 500)) + EDITS + 1
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, line, h1, near): lines to go, by number from 0. Of lines that are equal or linked by near copies, the first by
     doc_id and number stays; ``near`` says that no equal line comes earlier, only a near copy."""
@@ -386,7 +454,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = staged(
         marks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("chars").alias("chars"), *(F.min(p).alias(p) for p in _PARITIES)), "line-classes")
     clear = classes.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("top"), F.min("chars").alias("chars"), *(F.min(p).alias(p) for p in _PARITIES)).where("h2 = top")
-    parts = staged(_links(docs, clear.where(F.col("chars") >= LEAST_CHARS)), "parts")
+    clear = clear.where(F.col("chars") >= LEAST_CHARS)
+    segments = classes.where(F.col("chars") >= LEAST_CHARS).agg(F.sum(_segments(F.col("chars")))).first()[0] or 0
+    parts = staged(_links(docs, clear, int(segments)), "parts")
     linked = classes.join(parts, classes["h1"] == parts["node"])
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     of_part = linked.join(heads, "component").select("h1", "h2", "first", "head")

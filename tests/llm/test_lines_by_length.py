@@ -9,9 +9,6 @@ from test_lines import edit_distance
 
 from siltstone.llm import lines
 
-NONE = np.zeros(1 << lines._SLOT_BITS, np.uint8)
-
-
 def edited(draw, line, n, letters="xyz"):
     for _ in range(n):
         i, kind = draw.randrange(len(line)), draw.randrange(3)
@@ -19,18 +16,48 @@ def edited(draw, line, n, letters="xyz"):
     return line
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(60, 260), st.sampled_from(["a", "ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz "]), st.randoms(use_true_random=False), st.booleans())
-def test_long_lines_within_the_edits_share_a_gram(length, alphabet, draw, ranked):
-    common = np.random.default_rng(length).integers(0, 9, len(NONE)).astype(np.uint8) if ranked else NONE
+def entered(line, lower):
+    """Keys that a line is entered under, and those that it asks for."""
+    told, asked = set(), set()
+    for _, cut, own in lines._in_classes({2: line}, lower):
+        if own:
+            told |= {int(k[0]) for _, _, k in cut.segments()}
+        asked |= {int(k) for _, _, _, keys in cut.substrings(own) for k in keys}
+    return told, asked
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(20, 400), st.sampled_from(["a", "ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz "]), st.randoms(use_true_random=False))
+def test_lines_within_the_edits_share_a_segment(length, alphabet, draw):
     a = "".join(draw.choice(alphabet) for _ in range(length))
-    b = edited(draw, a, lines.edits(length), alphabet + "x")
-    if min(len(a), len(b)) < lines._LONG or edit_distance(a, b) > lines.edits(min(len(a), len(b))):
+    b = edited(draw, a, draw.randrange(lines.edits(length) + 1), alphabet + "x")
+    a, b = sorted((a, b), key=len)
+    if len(a) < lines.LEAST_CHARS or edit_distance(a, b) > lines.edits(len(a)):
         return
-    others = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(60, 90))) for _ in range(3)]
-    keys, line, role = lines.gram_keys([others[0], a, others[1], b, others[2]], common)
-    sides = {(i, r): set(keys[(line == i) & (role == r)].tolist()) for i in (1, 3) for r in (0, 1)}
-    assert sides[1, 0] & sides[3, 0] or sides[1, 0] & sides[3, 1] or sides[1, 1] & sides[3, 0]
+    told, _ = entered(a, False)
+    own, asked = entered(b, True)
+    assert told & (own | asked)
+
+
+def test_a_line_asks_for_each_segment_at_no_more_places_than_it_may_be_moved():
+    cut = next(c for _, c, _ in lines._in_classes({2: "".join(chr(97 + i * i % 23) for i in range(300))}, False))
+    assert sum(len(k) for *_, k in cut.substrings(True)) <= (cut.most + 1) ** 2
+    assert len(list(cut.segments())) == cut.most + 1 and (cut.most + 1) * cut.width <= 300
+    assert all(lines.layout(kind)[1] > 0 and lines.layout(kind)[0] >= lines.edits(lines._CLASSES[kind + 1] - 1) for kind in range(40))
+
+
+def test_the_filter_forgets_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    bits = lines.Filter.for_keys(len(keys))
+    batches = [lines.Filter.noted([keys[:2000], keys[:10]], bits), lines.Filter.noted([keys[1900:]], bits), lines.Filter.noted([], bits)]
+    noted = spark.createDataFrame([r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))], "part long, places binary")
+    made = lines.Filter.of(noted, bits)
+    assert len(lines.Filter.among(made.once, bits, keys)) == 3000
+    again = np.concatenate([keys[:10], keys[1900:2000]])
+    assert len(lines.Filter.among(made.twice, bits, again)) == 110
+    others = rng.integers(0, 1 << 63, 20000).astype(np.uint64)
+    assert len(lines.Filter.among(made.once, bits, others)) < 600 and len(lines.Filter.among(made.twice, bits, keys)) < 400
 
 
 def expected(found):
@@ -62,6 +89,29 @@ def test_long_near_copies_go(documents):
     assert {i for i, text in got.items() if text} == {i for i in range(len(found)) if of[i] == i}
 
 
+def test_slices_of_keys_change_nothing(documents, monkeypatch):
+    draw = random.Random(7)
+    found = ["".join(draw.choice("abcdefgh ") for _ in range(draw.choice((24, 50, 90, 130)))) for _ in range(30)]
+    found += [edited(draw, x, draw.choice((1, 2, lines.edits(len(x))))) for x in found]
+    docs = documents(list(enumerate(found)))
+    whole = sorted(map(tuple, lines._shared(docs, 600).distinct().collect()))
+    monkeypatch.setattr(lines, "_MOST_BITS", lines._PART_BITS)
+    monkeypatch.setattr(lines, "_BITS_EACH", 400)
+    assert -(-600 * lines._BITS_EACH >> lines._MOST_BITS) > 2
+    parts = sorted(map(tuple, lines._shared(docs, 600).distinct().collect()))
+
+    def met(rows):
+        by_key = {}
+        for key, line, _, number in rows:
+            by_key.setdefault(key, set()).add((line, number))
+        return {k: v for k, v in by_key.items() if len({x for x, _ in v}) > 1 and any(n >= 0 for _, n in v)}
+
+    assert met(whole) == met(parts) and len(met(whole)) > 20
+    of = expected(found)
+    got = {r["doc_id"]: r["text"] for r in lines.cleaned(docs).collect()}
+    assert {i for i, text in got.items() if text} == {i for i in range(len(found)) if of[i] == i}
+
+
 def test_a_hot_group_meets_in_blocks(documents, monkeypatch):
     monkeypatch.setattr(lines, "_BLOCK", 4)
     draw = random.Random(5)
