@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import fresh, staged, table, texts
+from siltstone.llm.common import byte_letters, fresh, staged, table, texts
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points of texts aligned at once and of the longest word kept; words and token ids kept by a worker. When full it starts again,
@@ -90,7 +90,7 @@ class Words:
         quick = _quick(a_path)
         self._encoded_a = quick or (lambda text: self._a.encode(text, add_special_tokens=False).ids)
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        letters = _byte_letters()
+        letters = byte_letters()
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.a_bytes = [bytes(letters[c] for c in self._a.id_to_token(i)) if all(c in letters for c in self._a.id_to_token(i) or "\0") else b"" for i in range(self._a.get_vocab_size())]
         self.b_bytes = [
@@ -233,7 +233,7 @@ def _quick(path: str) -> Callable[[str], list[int]] | None:
     if any(made["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
         return None
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-    letters, special = _byte_letters(), {t["content"] for t in made.get("added_tokens", [])}
+    letters, special = byte_letters(), {t["content"] for t in made.get("added_tokens", [])}
     plain = {t: i for t, i in vocab.items() if t not in special}
     in_order = [vocab.get(a + b) for a, b in pairs]
     if in_order != list(range(256, 256 + len(pairs))) or set(plain) != {*letters, *(a + b for a, b in pairs)}:
@@ -244,13 +244,6 @@ def _quick(path: str) -> Callable[[str], list[int]] | None:
     return tiktoken.Encoding("plain", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
 def overlaps(
     own: np.ndarray, other: np.ndarray, own_first: np.ndarray, own_n: np.ndarray, other_first: np.ndarray, other_n: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -106,3 +106,10 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def crc_of_id(column: str | Column = "doc_id") -> Column:
     """Unsigned CRC-32 of an id's decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}

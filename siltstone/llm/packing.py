@@ -8,9 +8,11 @@ number says which copy of which pattern holds them.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, table, texts
+from siltstone.llm.common import byte_letters, staged, table, texts
 
 CAPACITY, VOCABULARY, END_ID = 4096, "word_bpe_49k.json", 1
 #: Words whose ids a worker keeps; when full it starts again, so memory is bounded and results are not touched.
@@ -27,6 +29,39 @@ _STOPS = b".,!?;:"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words of letters that neither folding nor composing can make something else of, and a byte that no text holds, for a word's end.
+_PLAIN, _WORD_END = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"), b"\xff"
+# Fixed value: where the vocabulary cuts a text before merging.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _merges(path: str) -> Callable[[bytes], list[int]] | None:
+    """Ids of a word of letters and a word's end, from a file's own merges, where they are bytes, bytes that end a word, and merges in order of
+    their ids: joining a byte to the end then comes before every merge. It takes a tenth of the time. None for any other file."""
+    with open(path, encoding="utf-8") as lines:
+        made = json.load(lines)
+    model, steps = made["model"], (made.get("normalizer") or {}).get("normalizers", [])
+    cut = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or [x.get("type") for x in steps] != ["NFC", "Replace", "Lowercase"]:
+        return None
+    if cut.get("pattern") != {"Regex": _CUTS} or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    letters, vocab = byte_letters(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [vocab.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))):
+        return None
+    if {vocab.get(c) for c in letters} != set(range(256)) or {vocab.get(f"{c}</w>") for c in letters} != set(range(256, 512)):
+        return None
+    import tiktoken
+
+    spelled = lambda t: bytes(letters[c] for c in t.removesuffix("</w>")) + (_WORD_END if t.endswith("</w>") else b"")
+    ranks = {spelled(t): i for t, i in vocab.items() if i < 512 + len(pairs)}
+    ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
+    own = ranks.pop(_WORD_END, None)  # the byte itself gives way to the end; words of letters never hold it
+    ranks[_WORD_END] = len(vocab) + 256
+    return None if own is None else tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 def word_ids(path: str):
     """text -> its token ids as little-endian uint32 bytes. Words between ASCII blanks are encoded once and kept: the
     vocabulary's rules never look across a blank, nor from a letter or digit into the stops after it, and fold case first. A text with a
@@ -36,6 +71,7 @@ def word_ids(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    merge = _merges(path)
     known: dict[bytes, bytes] = {}
 
     def learn(words: set[bytes]) -> None:
@@ -45,6 +81,10 @@ def word_ids(path: str):
             if len(stem) < len(w) and stem[-1:].isalnum():
                 ended[w] = stem, w[len(stem) :]
         new = [w for w in {x for w in words for x in ended.get(w, (w,))} if w not in known]
+        if merge is not None:
+            plain = [w for w in new if _PLAIN.fullmatch(w.decode())]
+            known.update((w, np.array(merge(w.decode().lower().encode() + _WORD_END), "<u4").tobytes()) for w in plain)
+            new = [w for w in new if w not in known]
         made = tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
         raw = np.array(made.ids, "<u4").tobytes()
         edges = (4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(new) + 1))).tolist()

@@ -23,7 +23,7 @@ def tools():
     a = Tokenizer.from_file(PATHS[0])
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    letters = A._byte_letters()
+    letters = A.byte_letters()
     return (
         lambda t: [(i, bytes(letters[c] for c in a.id_to_token(i))) for i in a.encode(" " + t, add_special_tokens=False).ids],
         lambda t: [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(t)])

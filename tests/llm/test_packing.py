@@ -63,3 +63,32 @@ def test_places(documents, tokenizer):
             wanted[doc, n, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == wanted
     assert packing.pack(documents([]), packing.vocabulary()).count() == 0
+
+
+def test_merges_of_the_file_give_the_tokenizers_ids(tmp_path):
+    import json
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    merge, tokenizer, rng = packing._merges(path), Tokenizer.from_file(path), random.Random(1)
+    for _ in range(1500):
+        word = "".join(rng.choice("aAbethingßÿÄéÈzÞþð") for _ in range(rng.randrange(1, 120)))
+        assert packing._PLAIN.fullmatch(word) and merge(word.lower().encode() + packing._WORD_END) == tokenizer.encode(word, add_special_tokens=False).ids
+    made = json.loads(open(path, encoding="utf-8").read())
+    made["model"]["merges"] = made["model"]["merges"][::-1]
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    assert packing._merges(str(tmp_path / "other.json")) is None
+
+
+def test_long_words_and_clashing_names(documents):
+    rows = [(1, "x" * 40_000), (2, "Word, " * 20_000), (2, None), (None, "É́ K ﬁ")]
+    docs = documents(rows).selectExpr("*", "1 AS piece", "2 AS start", "3 AS length", "4 AS sequence_id")
+    packed = packing.pack(docs, packing.vocabulary()).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, None} and max(r["length"] for r in packed) == packing.CAPACITY
+    of_sequence = {}
+    for r in packed:
+        of_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(x)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) for x in of_sequence.values())
