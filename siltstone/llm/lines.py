@@ -15,7 +15,7 @@ still apart after that meets again, in blocks bounded in rows, so a group of nea
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,6 +160,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: In place of a segment's number.
+_ANY = 1 << 31
+
+
 class Cut:
     """Some lines of one class on end, with a hash of every substring as wide as the class's segments."""
 
@@ -172,28 +176,39 @@ class Cut:
         n = max(len(codes) - self.width + 1, 0)
         self._hash = (ahead[self.width : self.width + n] - ahead[:n]) * _powers(_INVERSE, n)
 
-    def keys(self, number: int, line: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of the substrings at places of lines, as the segment of that number."""
-        salt = np.uint64(((self.kind << 32 | number) * 2 + 1) * _SPREAD & _WHOLE)
-        return _mixed(self._hash[self.begins[line] + place] + salt)
+    def _key(self, salt: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return _mixed(self._hash[at] + (np.asarray(salt + (self.kind << 32), np.uint64) * np.uint64(2) + np.uint64(1)) * _ODD)
 
-    def segments(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Number of a segment, and the line and key of everyone's."""
+    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of the segment: every line, its key, and the key that segments of any number would have."""
         line = np.arange(len(self.chars))
         for number in range(self.most + 1):
-            yield number, line, self.keys(number, line, np.full(len(line), number * self.width))
-
-    def substrings(self, own: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Number of a segment, and line, place and key of the substrings that can be that segment of another line. ``own`` says that these lines
-        have segments of this class themselves, which are left out."""
-        for number in range(self.most + 1):
-            shift = np.arange(-number, number + 1)
-            place = np.tile(number * self.width + (shift[shift != 0] if own else shift), (len(self.chars), 1))
-            line = np.repeat(np.arange(len(self.chars)), place.shape[1])
-            place = place.ravel()
-            fits = (place >= 0) & (place + self.width <= self.chars[line])
-            line, place = line[fits], place[fits]
-            yield number, line, place, self.keys(number, line, place)
+            at = self.begins + number * self.width
+            yield line, self._key(np.full(len(line), number), at), self._key(np.full(len(line), _ANY), at)
+
+    def substrings(self, own: bool, may_hold: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of the substrings that can be a segment of another line, of those that ``may_hold`` picks: first whether they can be a
+        segment at all, then for each number whose place they are near enough to. ``own`` says that these lines have segments of this class
+        themselves. A substring equal to the line's own segment of that number is left out, as that one stands for it."""
+        line = np.repeat(np.arange(len(self.chars)), self.chars)[: len(self._hash)]
+        place = np.arange(len(line)) - self.begins[line]
+        at = np.flatnonzero((place + self.width <= self.chars[line]) & (place <= self.most * (self.width + 1)))
+        at = at[may_hold(self._key(np.full(len(at), _ANY), at))]
+        low = -(-place[at] // (self.width + 1))
+        n = np.maximum(np.minimum(place[at] // (self.width - 1), self.most) - low + 1, 0)
+        number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        at = np.repeat(at, n)
+        key = self._key(number, at)
+        if own:
+            other = np.flatnonzero(key != self._key(number, self.begins[line[at]] + number * self.width))
+            at, key = at[other], key[other]
+        picked = may_hold(key)
+        of, key = line[at[picked]], key[picked]
+        order = np.lexsort((key, of))
+        of, key = of[order], key[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+        return of[new], key[new]
 
 
 def _in_classes(found: dict[int, str], lower: bool) -> Iterator[tuple[np.ndarray, Cut, bool]]:
@@ -227,7 +242,7 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str
 
 #: Bits of a filter for each key at least, of a part of it, and of all of it at most (64 MB); places of a key in it. More keys are worked
 #: off in slices, each with a filter of its own.
-_BITS_EACH, _PART_BITS, _MOST_BITS, _PLACES = 10, 16, 29, 4
+_BITS_EACH, _PART_BITS, _MOST_BITS, _PLACES = 6, 16, 29, 3
 
 
 class Filter:
@@ -274,20 +289,21 @@ class Filter:
         """From rows of ``noted``, added up by part in tasks; what comes back is the filter, of a size with a bound."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out(part: int, counts: np.ndarray) -> pa.RecordBatch:
+            def out(part: int, held: list[bytes]) -> pa.RecordBatch:
+                counts = np.bincount(np.frombuffer(b"".join(held), "<u2"), minlength=1 << _PART_BITS)
                 packed = [np.packbits(counts >= n, bitorder="little").tobytes() for n in (1, 2)]
                 return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], names=["part", "once", "twice"])
 
-            now, counts = None, None
+            now, held = None, []
             for batch in batches:
                 for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if part != now:
-                        if now is not None:
-                            yield out(now, counts)
-                        now, counts = part, np.zeros(1 << _PART_BITS, np.int64)
-                    counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << _PART_BITS)
-            if now is not None:
-                yield out(now, counts)
+                        if held:
+                            yield out(now, held)
+                        now, held = part, []
+                    held.append(raw)
+            if held:
+                yield out(now, held)
 
         made, size = cls(bits), 1 << (_PART_BITS - 3)
         for row in noted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, once binary, twice binary").toLocalIterator():
@@ -296,22 +312,34 @@ class Filter:
         return made
 
 
-_SHARED = "key long, line long, place int, number int"
+_SHARED = "key long, line long, told boolean"
+#: Keys noted at a time.
+_NOTED = 2_000_000
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray]], told: bool) -> pa.RecordBatch:
+    keys, of = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of), pa.array(np.full(len(of), told))], names=["key", "line", "told"])
 
 
-def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(t) for c, t in zip(columns, types, strict=True)], names=["key", "line", "place", "number"])
+def _noting(parts: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Keys of a task noted in a filter, some at a time."""
+    held, n = [], 0
+    for keys in parts:
+        held.append(keys)
+        n += len(keys)
+        if n > _NOTED:
+            yield Filter.noted(held, bits)
+            held, n = [], 0
+    yield Filter.noted(held, bits)
 
 
 def _shared(docs: DataFrame, segments: int) -> DataFrame:
-    """(key, line, place, number) of segments (``number`` from 0) and of substrings (``number`` -1) that another line may share; the rest, far the
+    """(key, line, told) of segments (``told``) and of substrings that another line may share; the rest, far the
     most, does not leave the scan. ``segments`` is how many there are, which says how large a filter and how many slices of keys it takes."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slices = -(-segments * _BITS_EACH >> _MOST_BITS) or 1
-    out = [_slice_rows(source, Filter.for_keys(segments // slices + 1), slices, n) for n in range(slices)]
+    slices = -(-2 * segments * _BITS_EACH >> _MOST_BITS) or 1
+    out = [_slice_rows(source, Filter.for_keys(2 * segments // slices + 1), slices, n) for n in range(slices)]
     shared = out[0]
     for more in out[1:]:
         shared = shared.unionByName(more)
@@ -325,9 +353,14 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
         return np.arange(len(keys)) if slices == 1 else np.flatnonzero(_mixed(keys) % np.uint64(slices) == np.uint64(slice_))
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_lines(batches):
-            keys = [k for _, cut, _ in _in_classes(found, False) for _, _, k in cut.segments()]
-            yield Filter.noted([k[mine(k)] for k in keys], bits)
+        def keys() -> Iterator[np.ndarray]:
+            for found in _distinct_lines(batches):
+                for _, cut, _ in _in_classes(found, False):
+                    for _, key, plain in cut.segments():
+                        at = mine(key)
+                        yield np.concatenate([key[at], plain[at]])
+
+        return _noting(keys(), bits)
 
     known = Filter.of(source.mapInArrow(note, "part long, places binary"), bits)
     once, twice = known.once, known.twice
@@ -336,34 +369,31 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
         for found in _distinct_lines(batches):
             parts = []
             for names, cut, own in _in_classes(found, True):
-                for _, line, place, keys in cut.substrings(own):
-                    at = mine(keys)
-                    at = at[Filter.among(once, bits, keys[at])]
-                    if len(at):
-                        parts.append((keys[at], names[line[at]], place[at], np.full(len(at), -1)))
-            yield _rows(parts)
+                line, key = cut.substrings(own, lambda k: Filter.among(once, bits, k))
+                at = mine(key)
+                parts.append((key[at], names[line[at]]))
+            yield _rows(parts, False)
 
-    asked = staged(source.mapInArrow(ask, _SHARED), "asked", "zstd")
+    asked = staged(source.mapInArrow(ask, _SHARED).distinct(), "asked", "zstd")
+    asked_bits = Filter.for_keys(asked.count())
 
     def note_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield Filter.noted([batch.column(0).to_numpy().view(np.uint64)], asked_bits)
+        return _noting((batch.column(0).to_numpy().view(np.uint64) for batch in batches), asked_bits)
 
-    asked_bits = Filter.for_keys(asked.count())
     wanted = Filter.of(asked.select("key").mapInArrow(note_asked, "part long, places binary"), asked_bits).once
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _distinct_lines(batches):
             parts = []
             for names, cut, _ in _in_classes(found, False):
-                for number, line, keys in cut.segments():
-                    at = mine(keys)
-                    at = at[np.union1d(Filter.among(twice, bits, keys[at]), Filter.among(wanted, asked_bits, keys[at]))]
+                for line, key, _ in cut.segments():
+                    at = mine(key)
+                    at = at[np.union1d(Filter.among(twice, bits, key[at]), Filter.among(wanted, asked_bits, key[at]))]
                     if len(at):
-                        parts.append((keys[at], names[line[at]], np.full(len(at), number * cut.width), np.full(len(at), number)))
-            yield _rows(parts)
+                        parts.append((key[at], names[line[at]]))
+            yield _rows(parts, True)
 
-    return asked.unionByName(source.mapInArrow(tell, _SHARED))
+    return asked.unionByName(source.mapInArrow(tell, _SHARED).distinct())
 
 
 def _may_match(x: str, y: str) -> Column:
@@ -413,9 +443,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, segments: int) -> DataFrame:
     """(node, component) of lines (h1) with a near copy."""
-    probe = F.col("number") < 0
-    rows = staged(_shared(docs, segments).distinct(), "shared", "zstd")
-    first = F.min(F.when(~probe, F.col("line"))).alias("first")
+    rows = staged(_shared(docs, segments), "shared", "zstd")
+    first = F.min(F.when(F.col("told"), F.col("line"))).alias("first")
     met = rows.groupBy("key").agg(first, (F.min("line") != F.max("line")).alias("other")).where("first IS NOT NULL AND other").drop("other")
     shared = staged(rows.join(met, "key"), "met", "zstd")
     ordered = (F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b"))
@@ -432,8 +461,8 @@ def _links(docs: DataFrame, classes: DataFrame, segments: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = dealt.withColumn("row", F.pmod(F.xxhash64("line"), F.col("blocks"))).withColumn("column", every)
     right = dealt.withColumn("column", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks"))).withColumn("row", every)
-    x = _side(left.where(~probe), "x", "line", "key", "row", "column", F.col("part").alias("part_x"))
-    y = _side(right, "y", "line", "key", "row", "column", probe.alias("probe"), F.col("part").alias("part_y"))
+    x = _side(left.where("told"), "x", "line", "key", "row", "column", F.col("part").alias("part_x"))
+    y = _side(right, "y", "line", "key", "row", "column", (~F.col("told")).alias("probe"), F.col("part").alias("part_y"))
     rest = (
         x.join(y, (x["key"] == y["key"]) & (x["row"] == y["row"]) & (x["column"] == y["column"]) & (F.col("probe") | (F.col("x") < F.col("y"))) & (F.col("part_x") != F.col("part_y")) & _may_match("x", "y"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
