@@ -5,9 +5,9 @@ it holds how often a 0 and a 1 came next in the training texts. A Krichevsky-Tro
 mixed with what the contexts one byte longer say, in the proportion that the training texts bear out, from the longest
 context to none. Texts are scored with that tree as it stands after training.
 
-What a text needs is the value of each word (for the base) and of each run of ``DEPTH + 1`` bytes. Texts go in blocks: a block
-names its distinct words and runs once, gets their values from corpus-wide counts, and adds them up. No count is ever
-held whole in one place: runs are counted by shuffle, and subtrees are built in tasks dealt by their whole context.
+What a text needs is the value of each word (for the base) and of each run of ``DEPTH + 1`` bytes. Both are counted by shuffle, and
+subtrees are built in tasks dealt by their whole context. While words and runs are few enough for every task, their values go to all;
+beyond that texts go in blocks, each of which names its distinct words and runs and gets the values of these.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import crc_of_id, staged, table, texts
 
 #: Bytes of context, bytes of text in a block, and bytes whose runs are sorted at a time.
-DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 16_000_000, 2_000_000
+DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 24_000_000, 2_000_000
 _END = b"\n"
 _END_KEY = xxhash.xxh3_64_intdigest(_END)
 
@@ -283,28 +283,77 @@ def _named(bodies: DataFrame) -> DataFrame:
     return bodies.select("block", "held_out", "body").mapInArrow(name, "block long, word boolean, key long, n long")
 
 
-def _scored(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
-    """Sums over the texts of a block: tokens, known tokens, log10(count + 0.1) and the run values."""
-    is_word = keyed["word"].to_numpy()
-    key, value = keyed["key"].to_numpy(), keyed["value"].to_numpy()
-    run_keys, first = np.unique(key[~is_word], return_index=True)
-    run_value = value[~is_word][first]
-    word_count = dict(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
-    known: dict[bytes, float] = {}
-    ends, out = word_count.get(int(np.uint64(_END_KEY).view(np.int64)), 0.0), []
-    for x in texts_of["body"]:
-        words = x.split()
+#: Words and runs whose values may be broadcast (16 bytes each, 96 MB); with more, each block of texts gets its own by a shuffle.
+_SENT = 6_000_000
+#: Words whose counts a scorer keeps by their bytes.
+_KEPT = 300_000
+
+
+class Scorer:
+    """Sums over a text, from values by rising keys of words (their counts) and of runs."""
+
+    def __init__(self, word_keys: np.ndarray, word_values: np.ndarray, run_keys: np.ndarray, run_values: np.ndarray) -> None:
+        self._words, self._counts, self._runs, self._values = word_keys, word_values, run_keys, run_values
+        self._known: dict[bytes, float] = {}
+
+    def _count(self, words: list[bytes]) -> np.ndarray:
+        known = self._known
         new = list({w for w in words if w not in known})
         if new:
-            known.update(zip(new, (word_count[k] for k in _word_keys(new).tolist()), strict=True))
-        c = np.array([known[w] for w in words] + [ends])
-        found, n = np.unique(runs([x]), return_counts=True)
-        score = float((run_value[np.searchsorted(run_keys, found)] * n).sum())
-        out.append((len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(x)))
-    n_tokens, n_known, logs, scores, lengths = zip(*out, strict=True) if out else ((),) * 5
-    return pd.DataFrame({
-        "doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool), "n_tokens": n_tokens, "n_known": n_known, "logs": logs, "score": scores,
-        "bits_per_byte": lengths})
+            if len(known) + len(new) > _KEPT:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, self._counts[np.searchsorted(self._words, _word_keys(new))].tolist(), strict=True))
+        return np.array([known[w] for w in words])
+
+    def of(self, text: bytes) -> tuple[int, int, float, float, float]:
+        """Tokens, known tokens, log10(count + 0.1) summed, log10 probability and bits per byte of a body."""
+        c = self._count([*text.split(), _END])
+        found, n = np.unique(runs([text]), return_counts=True)
+        score = float((self._values[np.searchsorted(self._runs, found)] * n).sum())
+        return len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(text)
+
+
+_SUMS = ("n_tokens", "n_known", "logs", "score", "bits_per_byte")
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"
+
+
+def _arrays(keys: np.ndarray, values: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, ...]:
+    out = []
+    for of in (is_word, ~is_word):
+        found, first = np.unique(keys[of], return_index=True)
+        out += [found, values[of][first]]
+    return tuple(out)
+
+
+def _scored_block(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
+    scorer = Scorer(*_arrays(keyed["key"].to_numpy(), keyed["value"].to_numpy(), keyed["word"].to_numpy(bool)))
+    sums = [scorer.of(x) for x in texts_of["body"]]
+    return pd.DataFrame({"doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool)} | dict(
+        zip(_SUMS, zip(*sums, strict=True) if sums else [()] * len(_SUMS), strict=True)))
+
+
+def _scored_by_all(docs: DataFrame, arrays: tuple[np.ndarray, ...]) -> DataFrame:
+    """Sums of every text, where the values of all words and runs are few enough to go to every task."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*arrays)
+        for batch in batches:
+            sums = [scorer.of(body(text)) for _, text in texts(batch, "text")]
+            columns = list(zip(*sums, strict=True)) if sums else [()] * len(_SUMS)
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "held_out", *_SUMS])
+
+    return docs.mapInArrow(score, _SCORES)
+
+
+def _scored_by_block(bodies: DataFrame, values: DataFrame) -> DataFrame:
+    """Sums of every text by blocks, each of which gets the values of its own words and runs."""
+    bodies = staged(bodies, "bodies", "zstd")
+    named = _named(bodies)
+    keyed = named.join(values, (F.col("word") == F.col("of_word")) & (F.col("key") == F.col("of_key"))).select("block", "key", "value", "word")
+    return bodies.groupBy("block").cogroup(keyed.groupBy("block")).applyInPandas(_scored_block, _SCORES)
 
 
 def scored(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -314,17 +363,20 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     ``score`` is the log10 probability of the token sequence, ``bits_per_byte`` its code length over the length of ``body``. A null
     or empty text is its end alone. Repeated rows are learned from and scored each. With nothing to learn from, every bit has the
     chance of one half, and the base falls back on its smoothing. An empty table gives none."""
-    bodies = staged(_bodies(docs, held_out), "bodies", "zstd")
-    named = staged(_named(bodies), "named", "zstd")
-    counts = staged(named.groupBy("word", "key").agg(F.sum("n").alias("n")), "counts", "zstd")
-    once = counts.where("word").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    bodies = _bodies(docs, held_out)
+    counts = staged(_named(bodies).groupBy("word", "key").agg(F.sum("n").alias("n")), "counts", "zstd")
+    once = counts.agg(
+        F.sum(F.when(F.col("word"), F.col("n"))).alias("n"), F.count(F.when(F.col("word") & (F.col("n") > 0), 1)).alias("v"), F.count("*").alias("keys")).first()
     n, v = once["n"] or 0, once["v"]
     values = run_values(counts.where("NOT word").select(F.col("key").alias("run"), "n")).select(
         F.lit(False).alias("of_word"), F.col("run").alias("of_key"), "value")
     values = values.unionByName(counts.where("word").select(F.lit(True).alias("of_word"), F.col("key").alias("of_key"), F.col("n").cast("double").alias("value")))
-    keyed = named.join(values, (F.col("word") == F.col("of_word")) & (F.col("key") == F.col("of_key"))).select("block", "key", "value", "word")
-    done = bodies.groupBy("block").cogroup(keyed.groupBy("block")).applyInPandas(
-        _scored, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double")
+    if once["keys"] <= _SENT:
+        held = values.toArrow()
+        arrays = _arrays(*(held.column(c).to_numpy() for c in ("of_key", "value", "of_word")))
+        done = _scored_by_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), arrays)
+    else:
+        done = _scored_by_block(bodies, values)
     spread = math.log10(n + 0.1 * (v + 1))
     return done.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

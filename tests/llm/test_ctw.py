@@ -93,13 +93,14 @@ def test_the_fifth_byte_of_context_tells(documents):
     assert got[11] > got[12] + 1
 
 
-def test_chunks_of_subtrees_change_nothing(spark, small, prose, monkeypatch, documents):
-    """Few runs laid out at a time give the values of all at once; bits per byte are the score over the bytes."""
+def test_blocks_with_values_of_their_own_change_nothing(spark, small, prose, monkeypatch, documents):
+    """Texts in many blocks, each given its values by a shuffle, score as with all values at hand; bits per byte are the score over the bytes."""
     df = documents([r[:2] for r in prose[:80]] + [(5001, "z" * 30_000 + " " + "é日本 " * 3000), (5002, "q")])
     df = df.withColumn("key", df["lang"]).withColumn("run", df["lang"]).withColumn("block", df["lang"])
     held_out = df["doc_id"] % 4 == 0
     want = {r.doc_id: (r.score, r.base_score, r.n_known) for r in ctw.scored(df, held_out).collect()}
     monkeypatch.setattr(ctw, "_RUNS", 500)
+    monkeypatch.setattr(ctw, "_SENT", 0)
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 20_000)
     got = ctw.scored(df, held_out).collect()
     texts = {r.doc_id: r.text for r in df.collect()}
