@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import crc_of_id, staged, table, texts
 
 #: Bytes of context, bytes of text in a block, and bytes whose runs are sorted at a time.
-DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 24_000_000, 2_000_000
+DEPTH, BLOCK_BYTES, CHUNK_BYTES = 5, 10_000_000, 1_000_000
 _END = b"\n"
 _END_KEY = xxhash.xxh3_64_intdigest(_END)
 

@@ -33,7 +33,7 @@ EDITS, PERCENT, LEAST_CHARS = 2, 5, 20
 #: Longs of parities.
 _WORDS = 4
 #: Lines of a group of equal keys in one block, and code points of lines cut at a time.
-_BLOCK, _CHUNK = 2048, 1_000_000
+_BLOCK, _CHUNK = 2048, 250_000
 _PARITIES = [f"parity{i}" for i in range(_WORDS)]
 
 
