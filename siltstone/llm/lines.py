@@ -508,10 +508,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     names = []
     for name in ("n_lines", "n_exact", "n_near"):
         names.append(fresh(name, [*docs.columns, *names]))
-    marker = fresh("gone", docs.columns)
+    marker, of = fresh("gone", docs.columns), fresh("gone_of", docs.columns)
     joined = docs.join(
-        gone.select(F.col("doc_id").alias(f"{marker}_id"), F.col("gone").alias(marker)),
-        docs["doc_id"].cast("long") == F.col(f"{marker}_id"), "left").drop(f"{marker}_id")
+        gone.select(F.col("doc_id").alias(of), F.col("gone").alias(marker)), docs["doc_id"].cast("long") == F.col(of), "left").drop(of)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
     at, kept_names = docs.columns.index("text"), docs.columns
 
