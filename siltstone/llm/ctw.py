@@ -251,7 +251,8 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _named(bodies: DataFrame) -> DataFrame:
-    """(block, word, key, n): distinct words (by hash) and runs of each block as a task reads it, and how often training texts there have them."""
+    """(block, word, key, n, held): distinct words (by hash) and runs of each block as a task reads it, how often training texts there have
+    them, and of words whether a held-out text there has them."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(block: int, train: list[bytes], held: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -259,15 +260,18 @@ def _named(bodies: DataFrame) -> DataFrame:
             for x in train:
                 seen.update(x.split())
             seen[_END] = len(train)
-            for x in held:
-                seen.update(dict.fromkeys((w for w in x.split() if w not in seen), 0))
-            yield batch_of(block, True, _word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+            asked = {w for x in held for w in x.split()} | ({_END} if held else set())
+            seen.update(dict.fromkeys(asked - seen.keys(), 0))
+            yield batch_of(
+                block, True, _word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter((w in asked for w in seen), bool, len(seen)))
             parts = [np.unique(runs(c), return_counts=True) for c in _chunks(train)]
-            yield batch_of(block, False, *_added(parts + [(k, np.zeros(len(k))) for k in (np.unique(runs(c)) for c in _chunks(held))]))
+            keys, n = _added(parts + [(k, np.zeros(len(k))) for k in (np.unique(runs(c)) for c in _chunks(held))])
+            yield batch_of(block, False, keys, n, np.zeros(len(keys), bool))
 
-        def batch_of(block: int, word: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def batch_of(block: int, word: bool, keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), word)), pa.array(keys), pa.array(n)], names=["block", "word", "key", "n"])
+                [pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), word)), pa.array(keys), pa.array(n), pa.array(asked)],
+                names=["block", "word", "key", "n", "held"])
 
         now, train, held = None, [], []
         for batch in batches:
@@ -280,35 +284,44 @@ def _named(bodies: DataFrame) -> DataFrame:
         if now is not None:
             yield from out(now, train, held)
 
-    return bodies.select("block", "held_out", "body").mapInArrow(name, "block long, word boolean, key long, n long")
+    return bodies.select("block", "held_out", "body").mapInArrow(name, "block long, word boolean, key long, n long, held boolean")
 
 
-#: Words and runs whose values may be broadcast (16 bytes each, 96 MB); with more, each block of texts gets its own by a shuffle.
-_SENT = 6_000_000
+#: Words and runs whose values may be broadcast (16 bytes each, 64 MB); with more, each block of texts gets its own by a shuffle.
+_SENT = 4_000_000
 #: Words whose counts a scorer keeps by their bytes.
-_KEPT = 300_000
+_KEPT = 200_000
 
 
 class Scorer:
-    """Sums over a text, from values by rising keys of words (their counts) and of runs."""
+    """Sums over a text, from values by rising keys of words (their counts) and of runs. A word without a value is one that no training text
+    has, or one that stands once, in a training text: its count is 1 in a training text and 0 in one held out."""
 
     def __init__(self, word_keys: np.ndarray, word_values: np.ndarray, run_keys: np.ndarray, run_values: np.ndarray) -> None:
         self._words, self._counts, self._runs, self._values = word_keys, word_values, run_keys, run_values
         self._known: dict[bytes, float] = {}
 
-    def _count(self, words: list[bytes]) -> np.ndarray:
+    def _count(self, words: list[bytes], held_out: bool) -> np.ndarray:
         known = self._known
         new = list({w for w in words if w not in known})
         if new:
             if len(known) + len(new) > _KEPT:
                 known.clear()
                 new = list(set(words))
-            known.update(zip(new, self._counts[np.searchsorted(self._words, _word_keys(new))].tolist(), strict=True))
-        return np.array([known[w] for w in words])
-
-    def of(self, text: bytes) -> tuple[int, int, float, float, float]:
+            keys = _word_keys(new)
+            at = np.searchsorted(self._words, keys)
+            counts = np.full(len(new), -1.0)
+            has = np.flatnonzero(at < len(self._words))
+            has = has[self._words[at[has]] == keys[has]]
+            counts[has] = self._counts[at[has]]
+            known.update(zip(new, counts.tolist(), strict=True))
+        c = np.array([known[w] for w in words])
+        c[c < 0] = 0.0 if held_out else 1.0
+        return c
+
+    def of(self, text: bytes, held_out: bool) -> tuple[int, int, float, float, float]:
         """Tokens, known tokens, log10(count + 0.1) summed, log10 probability and bits per byte of a body."""
-        c = self._count([*text.split(), _END])
+        c = self._count([*text.split(), _END], held_out)
         found, n = np.unique(runs([text]), return_counts=True)
         score = float((self._values[np.searchsorted(self._runs, found)] * n).sum())
         return len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(text)
@@ -328,7 +341,7 @@ def _arrays(keys: np.ndarray, values: np.ndarray, is_word: np.ndarray) -> tuple[
 
 def _scored_block(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
     scorer = Scorer(*_arrays(keyed["key"].to_numpy(), keyed["value"].to_numpy(), keyed["word"].to_numpy(bool)))
-    sums = [scorer.of(x) for x in texts_of["body"]]
+    sums = [scorer.of(x, bool(held)) for x, held in zip(texts_of["body"], texts_of["held_out"], strict=True)]
     return pd.DataFrame({"doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool)} | dict(
         zip(_SUMS, zip(*sums, strict=True) if sums else [()] * len(_SUMS), strict=True)))
 
@@ -339,7 +352,8 @@ def _scored_by_all(docs: DataFrame, arrays: tuple[np.ndarray, ...]) -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*arrays)
         for batch in batches:
-            sums = [scorer.of(body(text)) for _, text in texts(batch, "text")]
+            held = batch.column(1).to_pylist()
+            sums = [scorer.of(body(text), held[i]) for i, text in texts(batch, "text")]
             columns = list(zip(*sums, strict=True)) if sums else [()] * len(_SUMS)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -364,13 +378,15 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
     or empty text is its end alone. Repeated rows are learned from and scored each. With nothing to learn from, every bit has the
     chance of one half, and the base falls back on its smoothing. An empty table gives none."""
     bodies = _bodies(docs, held_out)
-    counts = staged(_named(bodies).groupBy("word", "key").agg(F.sum("n").alias("n")), "counts", "zstd")
+    counts = staged(_named(bodies).groupBy("word", "key").agg(F.sum("n").alias("n"), F.bool_or("held").alias("held")), "counts", "zstd")
+    told = F.col("word") & ((F.col("n") > 1) | ((F.col("n") == 1) & F.col("held")))  # the rest of the words need no value (see Scorer)
     once = counts.agg(
-        F.sum(F.when(F.col("word"), F.col("n"))).alias("n"), F.count(F.when(F.col("word") & (F.col("n") > 0), 1)).alias("v"), F.count("*").alias("keys")).first()
+        F.sum(F.when(F.col("word"), F.col("n"))).alias("n"), F.count(F.when(F.col("word") & (F.col("n") > 0), 1)).alias("v"),
+        F.count(F.when(~F.col("word") | told, 1)).alias("keys")).first()
     n, v = once["n"] or 0, once["v"]
     values = run_values(counts.where("NOT word").select(F.col("key").alias("run"), "n")).select(
         F.lit(False).alias("of_word"), F.col("run").alias("of_key"), "value")
-    values = values.unionByName(counts.where("word").select(F.lit(True).alias("of_word"), F.col("key").alias("of_key"), F.col("n").cast("double").alias("value")))
+    values = values.unionByName(counts.where(told).select(F.lit(True).alias("of_word"), F.col("key").alias("of_key"), F.col("n").cast("double").alias("value")))
     if once["keys"] <= _SENT:
         held = values.toArrow()
         arrays = _arrays(*(held.column(c).to_numpy() for c in ("of_key", "value", "of_word")))
