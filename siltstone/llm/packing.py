@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,7 +61,8 @@ def _merges(path: str) -> Callable[[bytes], list[int]] | None:
     ranks |= {bytes([b]): len(vocab) + b for b in range(256) if bytes([b]) not in ranks}
     own = ranks.pop(_WORD_END, None)  # the byte itself gives way to the end; words of letters never hold it
     ranks[_WORD_END] = len(vocab) + 256
-    return None if own is None else tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    plain = array("I").itemsize == 4 and sys.byteorder == "little"  # ids are kept as little-endian 32-bit numbers
+    return None if own is None or not plain else tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
 def word_ids(path: str):
@@ -82,9 +85,15 @@ def word_ids(path: str):
                 ended[w] = stem, w[len(stem) :]
         new = [w for w in {x for w in words for x in ended.get(w, (w,))} if w not in known]
         if merge is not None:
-            plain = [w for w in new if _PLAIN.fullmatch(w.decode())]
-            known.update((w, np.array(merge(w.decode().lower().encode() + _WORD_END), "<u4").tobytes()) for w in plain)
-            new = [w for w in new if w not in known]
+            rest = []
+            for w in new:
+                if w.isalpha():  # ASCII letters, folded already
+                    known[w] = array("I", merge(w + _WORD_END)).tobytes()
+                elif _PLAIN.fullmatch(text := w.decode()):
+                    known[w] = array("I", merge(text.lower().encode() + _WORD_END)).tobytes()
+                else:
+                    rest.append(w)
+            new = rest
         made = tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
         raw = np.array(made.ids, "<u4").tobytes()
         edges = (4 * np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
@@ -95,13 +104,15 @@ def word_ids(path: str):
         if any(s in text for s in special):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.encode().lower().split()
-        new = {w for w in words if w not in known}
-        if new:
+        found = list(map(known.get, words))
+        if None in found:
+            new = {w for w, ids in zip(words, found, strict=True) if ids is None}
             if len(known) + 2 * len(new) > _KEPT_WORDS:
                 known.clear()
                 new = set(words)
             learn(new)
-        return b"".join(map(known.__getitem__, words))
+            found = map(known.__getitem__, words)
+        return b"".join(found)
 
     return of
 
