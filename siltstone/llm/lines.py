@@ -179,12 +179,12 @@ class Cut:
     def _key(self, salt: np.ndarray, at: np.ndarray) -> np.ndarray:
         return _mixed(self._hash[at] + (np.asarray(salt + (self.kind << 32), np.uint64) * np.uint64(2) + np.uint64(1)) * _ODD)
 
-    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By number of the segment: every line, its key, and the key that segments of any number would have."""
-        line = np.arange(len(self.chars))
-        for number in range(self.most + 1):
-            at = self.begins + number * self.width
-            yield line, self._key(np.full(len(line), number), at), self._key(np.full(len(line), _ANY), at)
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all segments of all lines: the line, the key, and the key that segments of any number would have."""
+        number = np.tile(np.arange(self.most + 1), len(self.chars))
+        line = np.repeat(np.arange(len(self.chars)), self.most + 1)
+        at = self.begins[line] + number * self.width
+        return line, self._key(number, at), self._key(np.full(len(at), _ANY), at)
 
     def substrings(self, own: bool, may_hold: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of the substrings that can be a segment of another line, of those that ``may_hold`` picks: first whether they can be a
@@ -259,7 +259,8 @@ class Filter:
 
     @staticmethod
     def places(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
-        return _mixed(keys + np.uint64((turn + 1) * _STEP & _WHOLE)) >> np.uint64(64 - bits)
+        spread = _mixed(keys + np.uint64(turn * _STEP & _WHOLE)) if turn else keys  # keys are mixed already
+        return spread >> np.uint64(64 - bits)
 
     @staticmethod
     def among(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
@@ -356,9 +357,9 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
         def keys() -> Iterator[np.ndarray]:
             for found in _distinct_lines(batches):
                 for _, cut, _ in _in_classes(found, False):
-                    for _, key, plain in cut.segments():
-                        at = mine(key)
-                        yield np.concatenate([key[at], plain[at]])
+                    _, key, plain = cut.segments()
+                    at = mine(key)
+                    yield np.concatenate([key[at], plain[at]])
 
         return _noting(keys(), bits)
 
@@ -384,14 +385,11 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _distinct_lines(batches):
-            parts = []
-            for names, cut, _ in _in_classes(found, False):
-                for line, key, _ in cut.segments():
-                    at = mine(key)
-                    at = at[np.union1d(Filter.among(twice, bits, key[at]), Filter.among(wanted, asked_bits, key[at]))]
-                    if len(at):
-                        parts.append((key[at], names[line[at]]))
-            yield _rows(parts, True)
+            parts = [(key, names[line]) for names, cut, _ in _in_classes(found, False) for line, key, _ in [cut.segments()]]
+            key, line = (np.concatenate(c) for c in zip(*parts, strict=True))
+            at = mine(key)
+            at = at[np.union1d(Filter.among(twice, bits, key[at]), Filter.among(wanted, asked_bits, key[at]))]
+            yield _rows([(key[at], line[at])], True)
 
     return asked.unionByName(source.mapInArrow(tell, _SHARED).distinct())
 

@@ -21,7 +21,7 @@ def entered(line, lower):
     told, asked, every = set(), set(), lambda keys: np.arange(len(keys))
     for _, cut, own in lines._in_classes({2: line}, lower):
         if own:
-            told |= {int(k[0]) for _, k, _ in cut.segments()}
+            told |= set(cut.segments()[1].tolist())
         asked |= set(cut.substrings(own, every)[1].tolist())
     return told, asked
 
@@ -43,7 +43,7 @@ def test_a_line_asks_for_each_segment_at_no_more_places_than_it_may_be_moved():
     cut = next(c for _, c, _ in lines._in_classes({2: "".join(chr(97 + i * i % 23) for i in range(300))}, False))
     assert len(cut.substrings(True, lambda keys: np.arange(len(keys)))[1]) <= (cut.most + 1) ** 2
     assert len(cut.substrings(True, lambda keys: np.zeros(0, int))[1]) == 0
-    assert len(list(cut.segments())) == cut.most + 1 and (cut.most + 1) * cut.width <= 300
+    assert len(cut.segments()[0]) == cut.most + 1 and (cut.most + 1) * cut.width <= 300
     assert all(lines.layout(kind)[1] > 0 and lines.layout(kind)[0] >= lines.edits(lines._CLASSES[kind + 1] - 1) for kind in range(40))
 
 
