@@ -664,6 +664,16 @@ def scd2_backdated(spark, folder):
     return history
 
 
+@query
+def scd2_stored_backdated(spark, folder):
+    """The same into a stored history, which keeps the moments it has seen."""
+    batches, path, taken = _three_batches(spark, folder), staging_path(spark, "history"), staging_path(spark, "taken")
+    for at in ("1997-01-01", "1998-01-01", "1996-01-01", "1997-01-01"):
+        history = K.splice_snapshot(
+            spark, path, taken, batches[at], "c_custkey", ["c_nationkey", "c_mktsegment"], at, "invalidate", TimestampNTZType())
+    return history
+
+
 @query
 def scd2_stored_deletes(spark, folder):
     """Stored snapshots that close what vanished: some customers first, then all of them."""

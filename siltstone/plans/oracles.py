@@ -340,6 +340,7 @@ ORACLES["scd2_backdated"] = _islands("""states AS (
   FROM customer WHERE c_nationkey NOT IN (3, 4)
   UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment, TIMESTAMP '1998-01-01' FROM customer WHERE c_nationkey <> 5)""",
     "c_custkey", ("c_nationkey", "c_mktsegment"))
+ORACLES["scd2_stored_backdated"] = ORACLES["scd2_backdated"]
 ORACLES["scd2_stored_deletes"] = f"""
 SELECT c_custkey, c_name, c_mktsegment, {_FIRST} AS valid_from,
   CASE WHEN c_custkey % 3 = 0 THEN {_SECOND} ELSE TIMESTAMP '2000-01-01' END AS valid_to FROM customer"""

@@ -10,10 +10,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from siltstone.functions.values import column
 from siltstone.operators.batches import dedupe_by_key
-from siltstone.operators.history import TO, scd2_snapshot
+from siltstone.operators.history import TO, scd2_snapshot, scd2_splice
 from siltstone.operators.incremental import upsert_delete_insert, upsert_latest
 from siltstone.operators.validation import ERRORS
 from siltstone.sinks.staging import stage
@@ -240,6 +241,41 @@ def save_snapshot(
     return _stored_history(spark, path).drop(_CLOSED)
 
 
+def splice_snapshot(
+    spark: SparkSession,
+    path: str,
+    taken_path: str,
+    source: DataFrame,
+    key: str | Sequence[str],
+    check_cols: Sequence[str],
+    as_of: str | datetime,
+    hard_deletes: str = "ignore",
+    time_type: DataType | None = None,
+) -> DataFrame:
+    """Take a snapshot of any age (see ``scd2_splice``) into a stored history, which is returned; ``taken_path`` keeps the moments taken.
+
+    The history is laid out as by ``save_snapshot``. Only versions that were open at the snapshot's time or opened later are read and
+    written again; the moment is added last, so a run that broke off is done again.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    stored, taken = _stored_history(spark, path), find_layer(spark, taken_path)
+    label = _closing_label(F.lit(as_of).cast("timestamp_ntz"))
+    if stored is None or taken is None:
+        touched, after = None, scd2_snapshot(None, source, keys, list(check_cols), as_of, time_type=time_type)
+    else:
+        touched = stored.filter((F.col(_CLOSED) == _OPEN) | (F.col(_CLOSED) >= label))  # labels sort as times do
+        after = scd2_splice(touched.drop(_CLOSED), taken, source, keys, list(check_cols), as_of, hard_deletes)
+    after = stage(after.withColumn(_CLOSED, F.coalesce(_closing_label(F.col(TO)), F.lit(_OPEN))), "splice")
+    # Labels whose versions all moved to others: no more than snapshots taken since.
+    gone = [] if touched is None else [
+        r[0] for r in touched.select(_CLOSED).distinct().join(after.select(column(_CLOSED).alias("kept")).distinct(), F.col(_CLOSED) == F.col("kept"), "left_anti").collect()]
+    write_layer(after, path, "overwrite", [_CLOSED], keys, replace_partitions=True)
+    _empty_partitions(after, path, _CLOSED, gone)
+    at = spark.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("at"))
+    write_layer(at if taken is None else at.join(taken, "at", "left_anti"), taken_path, "append")
+    return _stored_history(spark, path).drop(_CLOSED)
+
+
 def _stored_history(spark: SparkSession, path: str) -> DataFrame | None:
     found = find_layer(spark, path)
     return None if found is None else found.withColumn(_CLOSED, F.col(_CLOSED).cast("string"))

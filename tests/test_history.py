@@ -10,7 +10,7 @@ from pyspark.sql.types import TimestampNTZType
 from siltstone.operators import history as H
 from siltstone.operators import ordered
 from siltstone.sinks.staging import stage
-from siltstone.sinks.tables import save_snapshot
+from siltstone.sinks.tables import save_snapshot, splice_snapshot
 from frames import rows
 
 
@@ -284,6 +284,24 @@ def test_batches_in_any_order_give_one_history(spark, seed):
     assert rows(spliced(spark, data, order, "invalidate")) == islands(data)
 
 
+def test_stored_batches_in_any_order(spark, tmp_path):
+    data = vanishing(11, keys=6, days=5)
+    times = sorted({r[4] for r in data})
+    paths = str(tmp_path / "history"), str(tmp_path / "taken")
+
+    def take(at):
+        source = spark.createDataFrame([r[:4] for r in data if r[4] == at], SCHEMA)
+        return splice_snapshot(spark, *paths, source, "k", ["a", "b"], at, "invalidate", TimestampNTZType())
+
+    for i in (2, 0, 4, 1, 1):
+        got = take(times[i])
+    assert rows(got) == islands([r for r in data if r[4] != times[3]])
+    early = {p.name for p in (tmp_path / "history").glob(f"closed_at={times[1]:%Y%m%d}*/*.parquet")}
+    assert early and rows(take(times[3])) == islands(data)
+    assert early == {p.name for p in (tmp_path / "history").glob(f"closed_at={times[1]:%Y%m%d}*/*.parquet")}
+    assert sorted(r[0] for r in spark.read.parquet(paths[1]).collect()) == times
+
+
 def test_any_order_without_deletes(spark):
     data = random_batches(3, keys=6, days=5)
     order = sorted({r[4] for r in data})
