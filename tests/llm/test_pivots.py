@@ -51,3 +51,23 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (None, None), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, pivots.near_vectors(df).collect()), key=str) == [(3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)]
     assert pivots.near_vectors(df.limit(0)).count() == 0
+
+
+def test_clashing_names_change_nothing(spark):
+    rows = [(i, [float(i % 3 == k) + 0.001 * i for k in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = sorted(map(tuple, pivots.near_vectors(df).collect()))
+    for name in ("id", "v", "vector", "node", "component", "key", "a", "b", "rank", "kept", "n_links"):
+        df = df.withColumn(name, df["vec_id"])
+    assert sorted(map(tuple, pivots.near_vectors(df).collect())) == plain
+
+
+def test_recall_on_an_uneven_set(spark):
+    """Half of the vectors crowd around one direction, the rest lie anywhere: at least nine links of ten are found, and none that is none."""
+    draw = np.random.default_rng(8)
+    crowd = draw.normal(size=32)
+    rows = [(i, (crowd + draw.normal(size=32) * 0.35).tolist() if i % 2 else draw.normal(size=32).tolist()) for i in range(600)]
+    rows += [(1000 + i, (np.array(rows[i][1]) * 2 + draw.normal(size=32) * 0.02).tolist()) for i in range(0, 600, 5)]
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {r[0]: r[1] for r in expected(rows)[0]}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values()) > 0

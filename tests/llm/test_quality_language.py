@@ -121,3 +121,16 @@ def test_language_ties_repeats_and_clashing_names(documents):
     model = language.learn(docs)
     got = [(r.doc_id, r.lang_pred) for r in language.predicted(docs, model).collect()]
     assert sorted(got) == [(1, "aa"), (2, "aa"), (2, "aa"), (3, "cc")]
+
+
+def test_repeated_words_among_very_many_distinct_ones():
+    """Beyond 2^20 distinct words pairs are numbered anew; the count stays."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for _ in range(20):
+        number = draw.integers(0, 9, 300)
+        assert quality.repeated_words(number, 1 << 21) == quality.repeated_words(number, 9)
+    words = [f"w{i}" for i in range((1 << 20) + 10)] + ["w1", "w2", "w3"]
+    got = quality.measure(" ".join(words), quality.References([], None, [], []))
+    assert (got["n_words"], got["n_repeat_words"], got["kept"]) == (len(words), 6, True)
