@@ -303,8 +303,9 @@ class Scorer:
 
     def _count(self, words: list[bytes], held_out: bool) -> np.ndarray:
         known = self._known
-        new = list({w for w in words if w not in known})
-        if new:
+        found = list(map(known.get, words))
+        if None in found:
+            new = list({w for w, c in zip(words, found, strict=True) if c is None})
             if len(known) + len(new) > _KEPT:
                 known.clear()
                 new = list(set(words))
@@ -315,16 +316,26 @@ class Scorer:
             has = has[self._words[at[has]] == keys[has]]
             counts[has] = self._counts[at[has]]
             known.update(zip(new, counts.tolist(), strict=True))
-        c = np.array([known[w] for w in words])
+            found = list(map(known.__getitem__, words))
+        c = np.array(found)
         c[c < 0] = 0.0 if held_out else 1.0
         return c
 
-    def of(self, text: bytes, held_out: bool) -> tuple[int, int, float, float, float]:
-        """Tokens, known tokens, log10(count + 0.1) summed, log10 probability and bits per byte of a body."""
-        c = self._count([*text.split(), _END], held_out)
-        found, n = np.unique(runs([text]), return_counts=True)
-        score = float((self._values[np.searchsorted(self._runs, found)] * n).sum())
-        return len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(text)
+    def of(self, bodies: list[bytes], held_out: list[bool]) -> list[tuple[int, int, float, float, float]]:
+        """Of each body: tokens, known tokens, log10(count + 0.1) summed, log10 probability and bits per byte. The runs of some bodies are looked
+        up together, each once."""
+        out = []
+        first = 0
+        for part in _chunks(bodies):
+            runs_of = [np.unique(runs([x]), return_counts=True) for x in part]
+            all_ = np.unique(np.concatenate([found for found, _ in runs_of]))
+            values = self._values[np.searchsorted(self._runs, all_)]
+            for x, held, (found, n) in zip(part, held_out[first : first + len(part)], runs_of, strict=True):
+                c = self._count([*x.split(), _END], held)
+                score = float((values[np.searchsorted(all_, found)] * n).sum())
+                out.append((len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum()), score, -score * math.log2(10) / len(x)))
+            first += len(part)
+        return out
 
 
 _SUMS = ("n_tokens", "n_known", "logs", "score", "bits_per_byte")
@@ -341,7 +352,7 @@ def _arrays(keys: np.ndarray, values: np.ndarray, is_word: np.ndarray) -> tuple[
 
 def _scored_block(texts_of: pd.DataFrame, keyed: pd.DataFrame) -> pd.DataFrame:
     scorer = Scorer(*_arrays(keyed["key"].to_numpy(), keyed["value"].to_numpy(), keyed["word"].to_numpy(bool)))
-    sums = [scorer.of(x, bool(held)) for x, held in zip(texts_of["body"], texts_of["held_out"], strict=True)]
+    sums = scorer.of(texts_of["body"].tolist(), texts_of["held_out"].astype(bool).tolist())
     return pd.DataFrame({"doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"].astype(bool)} | dict(
         zip(_SUMS, zip(*sums, strict=True) if sums else [()] * len(_SUMS), strict=True)))
 
@@ -352,12 +363,15 @@ def _scored_by_all(docs: DataFrame, arrays: tuple[np.ndarray, ...]) -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*arrays)
         for batch in batches:
-            held = batch.column(1).to_pylist()
-            sums = [scorer.of(body(text), held[i]) for i, text in texts(batch, "text")]
-            columns = list(zip(*sums, strict=True)) if sums else [()] * len(_SUMS)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "held_out", *_SUMS])
+            for begin in range(0, batch.num_rows, 512):
+                yield summed(scorer, batch.slice(begin, 512))
+
+    def summed(scorer: Scorer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums = scorer.of([body(text) for _, text in texts(batch, "text")], batch.column(1).to_pylist())
+        columns = list(zip(*sums, strict=True)) if sums else [()] * len(_SUMS)
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "held_out", *_SUMS])
 
     return docs.mapInArrow(score, _SCORES)
 

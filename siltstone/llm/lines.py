@@ -375,7 +375,7 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
                 parts.append((key[at], names[line[at]]))
             yield _rows(parts, False)
 
-    asked = staged(source.mapInArrow(ask, _SHARED).distinct(), "asked", "zstd")
+    asked = staged(source.mapInArrow(ask, _SHARED), "asked", "zstd")  # equal lines of other batches repeat rows, which does no harm
     asked_bits = Filter.for_keys(asked.count())
 
     def note_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +391,7 @@ def _slice_rows(source: DataFrame, bits: int, slices: int, slice_: int) -> DataF
             at = at[np.union1d(Filter.among(twice, bits, key[at]), Filter.among(wanted, asked_bits, key[at]))]
             yield _rows([(key[at], line[at])], True)
 
-    return asked.unionByName(source.mapInArrow(tell, _SHARED).distinct())
+    return asked.unionByName(source.mapInArrow(tell, _SHARED))
 
 
 def _may_match(x: str, y: str) -> Column:
