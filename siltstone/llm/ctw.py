@@ -244,6 +244,12 @@ def _word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, rising; sorting them is several times as fast as the hashing of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])]
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of their numbers."""
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
@@ -265,7 +271,7 @@ def _named(bodies: DataFrame) -> DataFrame:
             yield batch_of(
                 block, True, _word_keys(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter((w in asked for w in seen), bool, len(seen)))
             parts = [np.unique(runs(c), return_counts=True) for c in _chunks(train)]
-            keys, n = _added(parts + [(k, np.zeros(len(k))) for k in (np.unique(runs(c)) for c in _chunks(held))])
+            keys, n = _added(parts + [(k, np.zeros(len(k))) for k in (_distinct(runs(c)) for c in _chunks(held))])
             yield batch_of(block, False, keys, n, np.zeros(len(keys), bool))
 
         def batch_of(block: int, word: bool, keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
@@ -328,7 +334,7 @@ class Scorer:
         first = 0
         for part in _chunks(bodies):
             runs_of = [np.unique(runs([x]), return_counts=True) for x in part]
-            all_ = np.unique(np.concatenate([found for found, _ in runs_of]))
+            all_ = _distinct(np.concatenate([found for found, _ in runs_of]))
             values = self._values[np.searchsorted(self._runs, all_)]
             for x, held, (found, n) in zip(part, held_out[first : first + len(part)], runs_of, strict=True):
                 c = self._count([*x.split(), _END], held)
