@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import byte_letters, staged, table, texts
 
 CAPACITY, VOCABULARY, END_ID = 4096, "word_bpe_49k.json", 1
-#: Words whose ids a worker keeps; when full it starts again, so memory is bounded and results are not touched.
-_KEPT_WORDS = 600_000
-_STOPS = b".,!?;:"
+#: Words whose ids a worker keeps; when full it drops the later half, as frequent words come first, so memory is bounded and results are
+#: not touched.
+_KEPT_WORDS = 1_200_000
+_STOPS = string.punctuation.encode()
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,8 +70,8 @@ def _merges(path: str) -> Callable[[bytes], list[int]] | None:
 
 def word_ids(path: str):
     """text -> its token ids as little-endian uint32 bytes. Words between ASCII blanks are encoded once and kept: the
-    vocabulary's rules never look across a blank, nor from a letter or digit into the stops after it, and fold case first. A text with a
-    special token's string is encoded as it stands."""
+    vocabulary's rules never look across a blank, nor from a letter or digit into the ASCII signs that end a word, and fold case first. A text
+    with a special token's string is encoded as it stands."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -80,8 +83,10 @@ def word_ids(path: str):
     def learn(words: set[bytes]) -> None:
         ended = {}
         for w in words:
+            if w.isalpha():
+                continue
             stem = w.rstrip(_STOPS)
-            if len(stem) < len(w) and stem[-1:].isalnum():
+            if len(stem) < len(w) and (stem[-1:].isalnum() or _PLAIN.fullmatch(stem.decode())):
                 ended[w] = stem, w[len(stem) :]
         new = [w for w in {x for w in words for x in ended.get(w, (w,))} if w not in known]
         if merge is not None:
@@ -108,8 +113,9 @@ def word_ids(path: str):
         if None in found:
             new = {w for w, ids in zip(words, found, strict=True) if ids is None}
             if len(known) + 2 * len(new) > _KEPT_WORDS:
-                known.clear()
-                new = set(words)
+                for w in list(islice(known, _KEPT_WORDS // 2, None)):
+                    del known[w]
+                new = {w for w in words if w not in known}
             learn(new)
             found = map(known.__getitem__, words)
         return b"".join(found)

@@ -92,3 +92,37 @@ def test_long_words_and_clashing_names(documents):
     for r in packed:
         of_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert all(sorted(x)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:])) for x in of_sequence.values())
+
+
+class Counting:
+    """A tokenizer that notes the words it is asked for."""
+
+    def __init__(self, real):
+        self.real, self.asked = real, []
+
+    def encode(self, text, is_pretokenized=False, add_special_tokens=True):
+        self.asked += text if is_pretokenized else []
+        return self.real.encode(text, is_pretokenized=is_pretokenized, add_special_tokens=add_special_tokens)
+
+    def __getattr__(self, name):
+        return getattr(self.real, name)
+
+
+def test_signs_behind_words_and_words_met_first_cost_no_more_encoding(tokenizer, monkeypatch):
+    import tokenizers
+
+    made = Counting(tokenizer)
+    monkeypatch.setattr(tokenizers.Tokenizer, "from_file", lambda path: made)
+    ids = packing.word_ids(packing.vocabulary())
+    plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("raesco$$$ heit*** osó, ÑciÉ.%%% a'' it's' x.'s $$$ 'll, b_ c-' ΣΑΣ. é! é̸= d≠ 9's' ...'t", "a$ b% $"):
+        assert ids(text) == plain(text)
+    assert not {"raesco$$$", "heit***", "osó,", "ÑciÉ.%%%", "a$"} & set(made.asked)
+    monkeypatch.setattr(packing, "_KEPT_WORDS", 40)
+    ids = packing.word_ids(packing.vocabulary())
+    ids("1-a 1-b 1-c 1-d")
+    made.asked.clear()
+    for i in range(30):
+        text = f"1-a 1-b 2-{i} 3-{i} 4-{i} 5-{i}"
+        assert ids(text) == plain(text)
+    assert not {"1-a", "1-b"} & set(made.asked) and len(made.asked) == 120
