@@ -1,6 +1,7 @@
 """What staged tables leave on disk."""
 
 import glob
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -29,3 +30,36 @@ def test_candidates_are_staged_once(documents, monkeypatch):
     got = {r["doc_id"]: r["n_near"] for r in lines.cleaned(docs).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
     assert "shared" not in labels and labels.count("asked") == labels.count("told") == 1
+
+
+def folder(spark):
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).removeprefix("file:")
+    return f"{root.rstrip('/')}/siltstone-llm"
+
+
+def tables(spark):
+    return set(os.listdir(folder(spark))) if os.path.isdir(folder(spark)) else set()
+
+
+def test_what_is_staged_in_passing_goes_but_for_what_is_kept(spark):
+    before = tables(spark)
+    with common.passing() as outer:
+        with common.passing() as inner:
+            common.staged(spark.range(3), "gone")
+            kept = inner.keep(common.staged(spark.range(5), "kept"))
+            also = inner.keep(common.staged(spark.range(7), "also"))
+        assert kept.count() == 5 and {x.split("-")[0] for x in tables(spark) - before} == {"kept", "also"}
+        outer.keep(kept)
+    assert kept.count() == 5 and {x.split("-")[0] for x in tables(spark) - before} == {"kept"}
+    assert also.schema == kept.schema
+    common.staged(spark.range(2), "alone")
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"kept", "alone"}
+
+
+def test_lines_leave_one_table(spark, documents):
+    before = tables(spark)
+    base = "a line that is long enough to be edited, and then some more of it"
+    docs = documents([(1, base), (2, base.replace("long", "lung")), (3, base), (4, "another line that stands quite alone here")])
+    done = lines.cleaned(docs)
+    assert {x.split("-")[0] for x in tables(spark) - before} == {"repeats"}
+    assert {r["doc_id"]: (r["n_exact"], r["n_near"]) for r in done.collect()} == {1: (0, 0), 2: (0, 1), 3: (1, 0), 4: (0, 0)}
