@@ -57,9 +57,23 @@ def test_what_is_staged_in_passing_goes_but_for_what_is_kept(spark):
 
 
 def test_lines_leave_one_table(spark, documents):
-    before = tables(spark)
+    before, batch = tables(spark), spark.conf.get(lines._BATCH_BYTES[0])
     base = "a line that is long enough to be edited, and then some more of it"
     docs = documents([(1, base), (2, base.replace("long", "lung")), (3, base), (4, "another line that stands quite alone here")])
     done = lines.cleaned(docs)
     assert {x.split("-")[0] for x in tables(spark) - before} == {"repeats"}
     assert {r["doc_id"]: (r["n_exact"], r["n_near"]) for r in done.collect()} == {1: (0, 0), 2: (0, 1), 3: (1, 0), 4: (0, 0)}
+    assert spark.conf.get(lines._BATCH_BYTES[0]) == batch
+
+
+def test_lines_are_sought_in_batches_bounded_in_bytes(documents, monkeypatch):
+    """Filters are sent apart from the code of tasks, and no task holds more texts at once than the setting says."""
+    seen, real = [], lines.staged
+
+    def noted(df, label, codec=None):
+        seen.append((label, df.sparkSession.conf.get(lines._BATCH_BYTES[0])))
+        return real(df, label, codec)
+
+    monkeypatch.setattr(lines, "staged", noted)
+    lines.repeats(documents([(1, "a line that is long enough to be edited"), (2, "a line that is lung enough to be edited")]))
+    assert {size for label, size in seen if label in ("asked", "told", "marks")} == {str(lines._BATCH_BYTES[1])}
