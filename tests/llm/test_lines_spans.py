@@ -60,3 +60,31 @@ def test_many_pairs_are_compared_as_one_by_one(draw, alphabet):
     pairs = list(zip(x, y, strict=True))
     assert lines.all_within(x, y).tolist() == [lines.within(a, b, lines.edits(min(len(a), len(b)))) for a, b in pairs]
     assert lines.all_within([], []).tolist() == []
+
+
+def test_only_repeated_lines_are_shuffled_and_each_is_there_once(documents, monkeypatch):
+    labels, real = {}, lines.staged
+
+    def staged(df, label, codec=None):
+        labels[label] = made = real(df, label, codec)
+        return made
+
+    monkeypatch.setattr(lines, "staged", staged)
+    found = [f"line number {i} of its own, {i * 7919} and {i * 104729}" for i in range(40)]
+    rows = [(i, f"{x}\na line that all of the documents have") for i, x in enumerate(found)] + [(100 + i, x) for i, x in enumerate(found[:3])]
+    docs = documents(rows).repartition(8)
+    marks = lines._marks(docs)
+    classes = marks.groupBy("h1").count().withColumnRenamed("count", "n")
+    got = lines._distinct(docs, lines._spans({0: 300}), [], classes).collect()
+    assert sorted(r["line"] for r in got) == sorted([*found, "a line that all of the documents have"])
+    shuffled = {r["line"] for r in labels["dealt"].where("repeated").collect()}
+    assert {*found[:3], "a line that all of the documents have"} <= shuffled and len(shuffled) < 10
+
+
+def test_own_segments_that_no_other_line_has_are_not_asked_for():
+    line = "".join(chr(97 + i * i % 23) + chr(97 + i * 7 % 26) for i in range(600))
+    cut = next(c for _, c, _ in lines._in_classes({2: line}, False))
+    own = set(cut._any(cut._hash(cut.begins[0] + np.arange(cut.most + 1) * cut.width)).tolist())
+    held = lambda keys: np.flatnonzero([k in own or k >> 63 for k in keys.tolist()])  # noqa: E731  own places, then any number
+    every, none = (lambda keys: np.arange(len(keys))), (lambda keys: np.zeros(0, int))
+    assert len(cut.substrings(True, held, every)[1]) > 0 and len(cut.substrings(True, held, none)[1]) == 0
